@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, quality
+from . import bpe, langid, packing, quality, substring_dedup
 from .common import documents
 
 
@@ -37,6 +37,11 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(docs, model, keep=["doc_id"])
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut_up = packing.pieces(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     items = cut_up.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -48,6 +53,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_language_id": op2_language_id,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_substring_dedup": op5_substring_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
