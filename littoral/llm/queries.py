@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, quality, substring_dedup
+from . import bpe, langid, line_dedup, packing, quality, substring_dedup
 from .common import documents
 
 
@@ -42,6 +42,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.drop_repeated_runs(documents(spark, sf_dir))
+    return done.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("kept", F.lit(""))).alias("kept_md5"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut_up = packing.pieces(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     items = cut_up.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -54,7 +59,8 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE_SQL}
