@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, line_dedup, packing, quality, substring_dedup
+from . import bpe, hilbert_shards, langid, line_dedup, packing, quality, substring_dedup
 from .common import documents
 
 
@@ -47,6 +47,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("kept", F.lit(""))).alias("kept_md5"))
 
 
+def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang", "source")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    meta = docs.select("doc_id", "lang", "source", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
+    placed = hilbert_shards.assign(meta, ["lang", "source", "size"], "doc_id")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut_up = packing.pieces(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     items = cut_up.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -60,6 +68,7 @@ QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op7_hilbert_sharding": op7_hilbert_sharding,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
