@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hilbert_shards, jaccard_join, langid, line_dedup, packing, quality, substring_dedup
+from . import ann_tree, bpe, hilbert_shards, jaccard_join, langid, line_dedup, mtree, packing, quality, substring_dedup
 from .common import documents
 
 
@@ -59,6 +59,19 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(documents(spark, sf_dir))
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return table, table.filter("vec_id % 20 = 0")
+
+
+def op3_kmeans_tree_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_tree.search(*_vectors(spark, sf_dir))[0]
+
+
+def op10_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.search(*_vectors(spark, sf_dir))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut_up = packing.pieces(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     items = cut_up.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -75,6 +88,8 @@ QUERIES = {
     "op7_hilbert_sharding": op7_hilbert_sharding,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op3_kmeans_tree_ann": op3_kmeans_tree_ann,
+    "op10_mtree_topk": op10_mtree_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE_SQL}
