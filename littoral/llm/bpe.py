@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import small
 from .pretoken import CachedEncoder
 
 #: One per worker process and vocabulary file, kept from task to task.
@@ -35,8 +36,6 @@ class MergeReplay:
         key = left << 24 | right
         rank = self.made_by.get(key)
         if rank is None:
-            if len(self.made_by) > 1_000_000:
-                self.made_by.clear()
             rank = self.made_by[key] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
         return rank
 
@@ -79,32 +78,7 @@ class MergeReplay:
         before = np.arange(-1, len(flat) - 1)
         before[np.concatenate(([0], ends[:-1]))] = -1
         after, before, made = after.tolist(), before.tolist(), self.made
-
-        def merge(p: int, rank: int) -> int:
-            """Merge p with its right neighbour; returns the lowest rank of the pairs that arise (or a large number)."""
-            q = after[p]
-            n = after[p] = after[q]
-            ids[p], ids[q] = rank, -1
-            least = 1 << 60
-            if n >= 0:
-                before[n] = p
-                r = made(rank, ids[n])
-                if r >= 0:
-                    least = r
-                    if r not in index:
-                        index[r] = []
-                        heappush(heap, r)
-                    index[r].append(p)
-            left = before[p]
-            if left >= 0:
-                r = made(ids[left], rank)
-                if r >= 0:
-                    least = min(least, r)
-                    if r not in index:
-                        index[r] = []
-                        heappush(heap, r)
-                    index[r].append(left)
-            return least
+        made_by, tokens, get_rank = self.made_by, self.tokens, self.ranks.get
 
         def finish(p: int) -> None:
             """Lowest rank first, leftmost first, for the one word around p: where a merge made a pair of lower rank."""
@@ -119,13 +93,52 @@ class MergeReplay:
                     x = y
                 if where < 0:
                     return
-                merge(where, best)
+                q = after[where]
+                n = after[where] = after[q]
+                ids[where], ids[q] = best, -1
+                if n >= 0:
+                    before[n] = where
 
         while heap:
             rank = heappop(heap)
-            for p in sorted(index.pop(rank)):
-                if ids[p] >= 0 and (q := after[p]) >= 0 and made(ids[p], ids[q]) == rank and merge(p, rank) < rank:
+            places = index.pop(rank)
+            places.sort()
+            for p in places:
+                if ids[p] < 0 or (q := after[p]) < 0 or made_by.get(ids[p] << 24 | ids[q], -2) != rank and made(ids[p], ids[q]) != rank:
+                    continue  # a neighbour has merged with another since
+                n = after[p] = after[q]
+                ids[p], ids[q] = rank, -1
+                lower = False
+                if n >= 0:
+                    before[n] = p
+                    key = rank << 24 | ids[n]
+                    r = made_by.get(key)
+                    if r is None:
+                        r = made_by[key] = get_rank(tokens[rank] + tokens[ids[n]], -1)
+                    if r >= 0:
+                        lower = r < rank
+                        if r in index:
+                            index[r].append(p)
+                        else:
+                            index[r] = [p]
+                            heappush(heap, r)
+                left = before[p]
+                if left >= 0:
+                    key = ids[left] << 24 | rank
+                    r = made_by.get(key)
+                    if r is None:
+                        r = made_by[key] = get_rank(tokens[ids[left]] + tokens[rank], -1)
+                    if r >= 0:
+                        lower |= r < rank
+                        if r in index:
+                            index[r].append(left)
+                        else:
+                            index[r] = [left]
+                            heappush(heap, r)
+                if lower:
                     finish(p)
+        if len(made_by) > 1_000_000:
+            made_by.clear()
         left = np.array(ids, dtype=np.int64)
         kept = np.concatenate(([0], np.cumsum(left >= 0)))[ends] * 4
         data = left[left >= 0].astype("<u4").tobytes()
@@ -158,7 +171,7 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", out: str = "ids",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cached = _encoder(ranks_path)[1]
-        for batch in batches:
+        for batch in small(batches):
             ids = list(cached.encode(batch.column(text).to_pylist()))
             offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
@@ -175,7 +188,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = _encoder(ranks_path)[0].tokens.__getitem__
-        for batch in batches:
+        for batch in small(batches):
             column = batch.column(ids)
             values, ends = column.flatten().to_numpy(), np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             texts, begin = [], 0

@@ -54,6 +54,25 @@ def test_replay_is_exact_on_odd_words(spark):
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == own.encode_ordinary(word), word
 
 
+def test_plain_texts_split_alike():
+    """Each character by itself and between others, and random texts, against the tokenizers' own pattern."""
+    import random
+
+    import regex
+
+    from littoral.llm import pretoken
+
+    full = regex.compile(P.PATTERN).findall
+    fast = pretoken.CachedEncoder(P.PATTERN, lambda words: words).findall
+    chars = [chr(i) for i in range(0x300)]
+    rng = random.Random(1)
+    texts = [f"{a}{c}{b}" for c in chars for a, b in (("", ""), ("a", "b"), (" ", "1"), ("_", " ")) for _ in range(1)]
+    texts += ["".join(rng.choice(chars[:600] + [" ", " ", "'", "s", "\n"] * 30) for _ in range(40)) for _ in range(5000)]
+    texts += ["".join(rng.choice("abé Z_9'st\n\t.,;~ ") for _ in range(60)) for _ in range(5000)]
+    for t in texts:
+        assert fast(t) == full(t), t
+
+
 def test_packing_round_trip(spark, tmp_path):
     texts = TEXTS + corpus(spark)
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
