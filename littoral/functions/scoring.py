@@ -11,7 +11,8 @@ from .fixed import CERTAINTY, EDGES, OFFICIAL_DEFAULT, WATER, WEIGHTS
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """Null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def coherence(n_independent: Column, is_hearsay: Column) -> Column:

@@ -39,7 +39,7 @@ def readings(spark: SparkSession, d: str) -> DataFrame:
 
 def reports(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    row, col = 1300 + F.col("user_id") % 50, F.expr("8000 + user_id div 50")
+    row, col = 1300 + F.col("user_id") % 10, F.expr("8000 + user_id div 10 % 5")
     return e.select(
         F.col("event_id").alias("id"),
         F.col("user_id").alias("reporter_id"),
@@ -126,8 +126,8 @@ SQL: dict[str, str] = {
     "readings": f"SELECT event_id, 'st-' || (user_id % 2) AS station_id, {_sql_case(VARIABLES)} AS variable, epoch_us(ts) AS t, value FROM events",
     "reports": f"""SELECT event_id AS id, user_id AS reporter_id, epoch_us(ts) AS t, {_sql_case(HAZARDS)} AS hazard_type,
         ['new', 'corroborated', 'verified', 'rejected'][event_id % 4 + 1] AS status, event_id % 5 AS source,
-        1300 + user_id % 50 AS row, 8000 + user_id // 50 AS col, (1300 + user_id % 50) / 100 AS lat,
-        (8000 + user_id // 50) / 100 AS lon, value FROM events""",
+        1300 + user_id % 10 AS row, 8000 + user_id // 10 % 5 AS col, (1300 + user_id % 10) / 100 AS lat,
+        (8000 + user_id // 10 % 5) / 100 AS lon, value FROM events""",
     "stations": """SELECT s_suppkey AS station_id, (1280 + s_suppkey % 40) / 100 AS slat, (7990 + s_suppkey // 40 % 40) / 100 AS slon,
         ['water_level', 'wave_height', 'air_pressure'][s_suppkey % 3 + 1] AS variable, s_acctbal / 1000 AS z FROM supplier""",
     "requests": """SELECT c_custkey AS id, c_mktsegment AS category, (1280 + c_custkey % 60) / 100 AS lat,
