@@ -7,9 +7,10 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def name_score(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks, letter case and outer spaces aside."""
     return pd.Series([SequenceMatcher(None, x.strip().lower(), y.strip().lower()).ratio() if x and y else 0.0 for x, y in zip(a, b)])
