@@ -71,6 +71,8 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
             for k in range(0, len(rows), 20_000):
                 columns = zip(*rows[k : k + 20_000])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], PIECES.names)
+        encoder.words = {}  # workers live on for other stages, which need the memory
+        pa.default_memory_pool().release_unused()
 
     return df.select("doc_id", "text").mapInArrow(run, PIECES)
 
@@ -102,13 +104,14 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 def pack(items: DataFrame, capacity: int = 1024, slack: int = 4, per_task: int = 100_000, fan_in: int = 8) -> DataFrame:
     """Items (any columns, with ``length`` from 1 to ``capacity``) to sequences: adds sequence_id and offset.
 
-    Round 0 packs each partition's items best-fit where they lie. Bins with at most ``slack`` places left are done;
+    The items are checkpointed first: whatever made them isn't run beside the packing. Round 0 packs each partition's
+    items best-fit where they lie. Bins with at most ``slack`` places left are done;
     the others travel, with their contents, as items of the next round, in which ``fan_in`` partitions are packed as
     one. No task gets more than about ``per_task`` items. The rounds end with a single partition, or once a round
     joins less than one bin in 200: bins that are all over half full can't be joined by anyone. Each round is
     checkpointed, so that ids stay fixed when executors are lost. Columns named sequence_id and offset are replaced.
     """
-    items = items.drop("sequence_id", "offset")
+    items = cut(items.drop("sequence_id", "offset"))
     fields = T.StructType([*(T.StructField(f.name, f.dataType) for f in items.schema), T.StructField("offset", T.LongType())])
     schema = T.StructType(
         [

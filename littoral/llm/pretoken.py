@@ -28,7 +28,7 @@ class CachedEncoder:
     emptied between slices once it holds more than ``max_entries`` entries, which bounds a worker's memory.
     """
 
-    def __init__(self, pattern: str, encode_words: Callable[[list[str]], list[bytes]], max_entries: int = 900_000):
+    def __init__(self, pattern: str, encode_words: Callable[[list[str]], list[bytes]], max_entries: int = 400_000):
         full = regex.compile(pattern).findall
         self.findall = (lambda t: full(t) if _OTHER(t) else _PLAIN(t)) if pattern == public_tokenizers.PATTERN else full
         self.encode_words, self.max_entries = encode_words, max_entries
