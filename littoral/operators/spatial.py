@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import DEGREE_KM, disk, haversine_km, km_to_degrees, ring, square_cell
+from ..functions.geo import DEGREE_KM, haversine_km, km_to_degrees, ring, square_cell
 
 
 def _celled(df: DataFrame, side: float, lat: str, lon: str) -> DataFrame:
@@ -26,33 +26,30 @@ def within_km(left: DataFrame, right: DataFrame, km: float, on: list[str] | None
     return pairs.filter(F.col("distance_km") <= km).drop("_row", "_col")
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, name: str, side: float = 0.25, rounds: int = 5, at: tuple[str, str, str, str] = ("lat", "lon", "rlat", "rlon")) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, key: str, name: str, side: float = 0.25, rounds: int = 6, at: tuple[str, str, str, str] = ("lat", "lon", "rlat", "rlon")) -> DataFrame:
     """Each left row's nearest right row (ties: smaller name): key, name, distance_km.
 
-    Equal places are searched once. Round by round a place meets the right rows within k cells, k doubling; an answer
-    counts once it is nearer than anything outside that disk can be. Places left after the last round, far from all
-    right rows, are matched with the coarse summary of the others.
+    Equal places are searched once. Round by round a place meets the right rows of its cell and the eight around it, in
+    cells four times as wide each time; an answer counts once it is nearer than anything outside them can be. The last
+    cells span the globe, so only places that are far from all right rows get that far.
     """
     spots = left.select(*at[:2]).distinct()
-    r = _celled(right.select(name, *at[2:]), side, *at[2:])
-    todo, found, k = _celled(spots, side, *at[:2]), None, 1
+    todo, found = spots, None
     for i in range(rounds):
         last = i == rounds - 1
-        if last:
-            met = todo.drop("_row", "_col").join(r.drop("_row", "_col"), how="inner", on=F.lit(True))
-        else:
-            cells = todo.withColumn("_c", F.explode(disk(F.col("_row"), F.col("_col"), k))).withColumns({"_row": F.col("_c.row"), "_col": F.col("_c.col")}).drop("_c")
-            met = cells.join(r, ["_row", "_col"])
+        width = 360.0 if last else side * 4**i
+        r = _celled(right.select(name, *at[2:]), width, *at[2:])
+        cells = _celled(todo, width, *at[:2]).withColumn("_c", F.explode(ring(F.col("_row"), F.col("_col"))))
+        met = cells.withColumns({"_row": F.col("_c.row"), "_col": F.col("_c.col")}).drop("_c").join(r, ["_row", "_col"])
         d = haversine_km(*(F.col(c) for c in at))
         best = met.groupBy(*at[:2]).agg(F.min(F.struct(d.alias("d"), F.col(name).alias("name"))).alias("m")).select(*at[:2], "m.*")
         if not last:
-            sure = k * side * DEGREE_KM * F.cos(F.radians(F.abs(F.col(at[0])) + (k + 1) * side))
-            best = best.filter(F.col("d") <= sure)
+            edge = F.least(F.abs(F.col(at[0])) + 2 * width, F.lit(90.0))
+            best = best.filter(F.col("d") <= width * DEGREE_KM * F.cos(F.radians(edge)))
         found = best if found is None else found.unionByName(best)
         todo = todo.join(best.select(*at[:2]), list(at[:2]), "left_anti")
         if last or todo.isEmpty():
             break
-        k *= 4
     return left.join(found, list(at[:2])).select(key, F.col("name").alias(name), F.col("d").alias("distance_km"))
 
 
