@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import catalog_reports, catalog_series, catalog_state
+from . import catalog_more, catalog_reports, catalog_series, catalog_state
 from .views import Query
 
-QUERIES: dict[str, Query] = {**catalog_series.QUERIES, **catalog_reports.QUERIES, **catalog_state.QUERIES}
-ORACLE_SQL: dict[str, str] = {**catalog_series.ORACLE, **catalog_reports.ORACLE, **catalog_state.ORACLE}
+QUERIES: dict[str, Query] = {**catalog_series.QUERIES, **catalog_reports.QUERIES, **catalog_state.QUERIES, **catalog_more.QUERIES}
+ORACLE_SQL: dict[str, str] = {**catalog_series.ORACLE, **catalog_reports.ORACLE, **catalog_state.ORACLE, **catalog_more.ORACLE}
