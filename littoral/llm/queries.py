@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_tree, bpe, hilbert_shards, jaccard_join, langid, line_dedup, mtree, packing, quality, substring_dedup
+from . import ann_tree, bpe, hilbert_shards, jaccard_join, langid, line_dedup, mtree, oracles, packing, quality, substring_dedup
 from .common import documents
 
 
@@ -92,4 +92,4 @@ QUERIES = {
     "op10_mtree_topk": op10_mtree_topk,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL = oracles.ORACLE_SQL
