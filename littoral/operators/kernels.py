@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,6 +17,44 @@ def _cosine(a: np.ndarray, b: np.ndarray) -> float:
     return 0.0 if size == 0 else float(a @ b) / size
 
 
+class IncidentBook:
+    """Open incidents of one group, and the rule by which the next report joins one of them or opens another."""
+
+    def __init__(self, window_hours: float = 6.0, similarity: float = 0.5, most: int = 50):
+        self.width, self.similarity, self.most = int(window_hours * HOUR), similarity, most
+        self.incidents: list[dict] = []
+
+    def assign(self, r: dict) -> dict:
+        """The incident of the report r: id, t, row, col, lat, lon, v. Newest incidents are tried first."""
+        v = None if r["v"] is None else np.array(r["v"], dtype=float)
+        self.incidents = [i for i in self.incidents if i["seen"] >= r["t"] - self.width]
+        self.incidents.sort(key=lambda i: (-i["seen"], i["id"]))
+        home = next((i for i in self.incidents[: self.most] if self._fits(i, r, v)), None)
+        if home is None:
+            home = {"id": r["id"], "n": 0, "lat": 0.0, "lon": 0.0, "v": None, "cells": set(), "seen": r["t"]}
+            self.incidents.append(home)
+        n = home["n"]
+        home["lat"], home["lon"] = (home["lat"] * n + r["lat"]) / (n + 1), (home["lon"] * n + r["lon"]) / (n + 1)
+        if v is not None:
+            w = v if home["v"] is None else (home["v"] * n + v) / (n + 1)
+            size = np.linalg.norm(w)
+            home["v"] = w / size if home["v"] is not None and size > 0 else w
+        home["n"], home["seen"] = n + 1, max(home["seen"], r["t"])
+        home["cells"].add((r["row"], r["col"]))
+        return home
+
+    def _fits(self, i: dict, r: dict, v: np.ndarray | None) -> bool:
+        near = any(abs(a - r["row"]) <= 1 and abs(b - r["col"]) <= 1 for a, b in i["cells"])
+        return near and (v is None or i["v"] is None or _cosine(v, i["v"]) >= self.similarity)
+
+    def dump(self) -> str:
+        return json.dumps([{**i, "v": None if i["v"] is None else i["v"].tolist(), "cells": sorted(i["cells"])} for i in self.incidents])
+
+    def load(self, text: str) -> IncidentBook:
+        self.incidents = [{**i, "v": None if i["v"] is None else np.array(i["v"]), "cells": {tuple(c) for c in i["cells"]}} for i in json.loads(text)]
+        return self
+
+
 def merge_incidents(reports: DataFrame, group: list[str], window_hours: float = 6.0, similarity: float = 0.5, most: int = 50) -> DataFrame:
     """Assigns each report, oldest first, to the first open incident of its hazard that is near: seen within the window,
     with a cell in the report's 1-ring and, where both have vectors, a cosine of at least ``similarity``. Incidents are
@@ -23,35 +63,12 @@ def merge_incidents(reports: DataFrame, group: list[str], window_hours: float =
     ``group`` is the hazard and whatever parts reports that can never meet (a region several cells wide, say): each
     group is one task's sequence. Reports: id, t, row, col, lat, lon, v (array or null).
     """
-    width = int(window_hours * HOUR)
     kinds = dict(reports.dtypes)
     schema = ", ".join(f"{g} {kinds[g]}" for g in group) + ", id long, incident long, n long, lat double, lon double"
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "id"])
-        incidents: list[dict] = []
-        out = []
-        for r in pdf.to_dict("records"):
-            v = None if r["v"] is None else np.array(r["v"], dtype=float)
-            open_now = sorted((i for i in incidents if i["seen"] >= r["t"] - width), key=lambda i: (-i["seen"], i["id"]))[:most]
-            home = None
-            for i in open_now:
-                near = any(abs(a - r["row"]) <= 1 and abs(b - r["col"]) <= 1 for a, b in i["cells"])
-                if near and (v is None or i["v"] is None or _cosine(v, i["v"]) >= similarity):
-                    home = i
-                    break
-            if home is None:
-                home = {"id": r["id"], "n": 0, "lat": 0.0, "lon": 0.0, "v": None, "cells": set(), "seen": r["t"]}
-                incidents.append(home)
-            n = home["n"]
-            home["lat"], home["lon"] = (home["lat"] * n + r["lat"]) / (n + 1), (home["lon"] * n + r["lon"]) / (n + 1)
-            if v is not None:
-                w = v if home["v"] is None else (home["v"] * n + v) / (n + 1)
-                size = np.linalg.norm(w)
-                home["v"] = w / size if home["v"] is not None and size > 0 else w
-            home["n"], home["seen"] = n + 1, max(home["seen"], r["t"])
-            home["cells"].add((r["row"], r["col"]))
-            out.append((r["id"], home))
+        book = IncidentBook(window_hours, similarity, most)
+        out = [(r["id"], book.assign(r)) for r in pdf.sort_values(["t", "id"]).to_dict("records")]
         rows = [{"id": i, "incident": h["id"], "n": h["n"], "lat": round(h["lat"], 6), "lon": round(h["lon"], 6)} for i, h in out]
         frame = pd.DataFrame(rows, columns=["id", "incident", "n", "lat", "lon"])
         for g in group:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.fixed import TIERS
+from ..operators.kernels import IncidentBook
 
 SECOND = 1_000_000
 
@@ -122,3 +123,25 @@ def first_seen(stream: DataFrame, key: str, time: str, late: str = "24 hours") -
     """One row for each non-null key within the watermark: replays of a client's message are dropped."""
     keyed = stream.filter(F.col(key).isNotNull()).withWatermark(time, late)
     return keyed.dropDuplicatesWithinWatermark([key])
+
+
+def merge_incidents(stream: DataFrame, window_hours: float = 6.0) -> DataFrame:
+    """hazard_type, id, incident, n: each report's incident as it comes (hazard_type, t, id, row, col, lat, lon, v), by
+    the same rule as in batch. The state of a hazard is its incidents of the last hours."""
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        book = IncidentBook(window_hours)
+        if state.exists:
+            book.load(state.get[0])
+        rows = pd.concat(list(frames)).sort_values(["t", "id"]).to_dict("records")
+        out = []
+        for r in rows:
+            home = book.assign(r)
+            out.append((k[0], r["id"], home["id"], home["n"]))
+        state.update((book.dump(),))
+        yield pd.DataFrame(out, columns=["hazard_type", "id", "incident", "n"])
+
+    wanted = stream.select("hazard_type", "t", "id", "row", "col", "lat", "lon", "v")
+    return wanted.groupBy("hazard_type").applyInPandasWithState(
+        run, "hazard_type string, id long, incident long, n long", "book string", "append", GroupStateTimeout.NoTimeout
+    )

@@ -122,5 +122,16 @@ def test_alert_stream_only_rises(spark, tmp_path):
     assert got == [("advisory", "auto"), ("watch", "auto"), ("warning", "analyst"), (None, None), ("advisory", "auto")]
 
 
+def test_merge_stream_equals_batch(spark, tmp_path):
+    from littoral.operators.kernels import merge_incidents
+
+    rows = [{"hazard_type": "h", "t": START + i * 1_800_000_000, "id": i, "row": i * 7 % 5, "col": i * 3 % 4, "lat": 13.0, "lon": 80.0, "v": [1.0, i % 3 / 2] if i % 4 else None} for i in range(40)]
+    schema = "hazard_type string, t long, id long, row int, col int, lat double, lon double, v array<double>"
+    s = stream(spark, tmp_path / "in", [rows[:15], rows[15:16], rows[16:]], schema)
+    got = {r.id: r.incident for r in run_state(state.merge_incidents(s), "merged")}
+    batch = merge_incidents(spark.read.schema(schema).json(str(tmp_path / "in")), ["hazard_type"])
+    assert got == {r.id: r.incident for r in batch.collect()} and len(set(got.values())) > 1
+
+
 def test_overload():
     assert not pipeline.overloaded(None) and pipeline.overloaded({"sources": [{"metrics": {"numRowsOutstanding": "900"}}]})
