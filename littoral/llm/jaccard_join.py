@@ -23,36 +23,26 @@ from pyspark.sql import functions as F
 
 from .common import cut, partitions
 from .components import connected_components
+from .words import hashed, slices
 
 _PRIME = 0x9E3779B97F4A7C15
 
 
-class Shingler:
-    """Texts to sorted arrays of the 64-bit hashes of their distinct shingles; word hashes are cached (bounded)."""
-
-    def __init__(self, size: int, max_words: int = 300_000):
-        self.size, self.max_words, self.known = size, max_words, {}
-        self.powers = np.array([pow(_PRIME, j, 1 << 64) for j in range(size)], dtype=np.uint64)
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().split()
-        if not words:
-            return np.zeros(0, dtype=np.uint64)
-        known = self.known
-        if len(known) > self.max_words:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-        k = min(self.size, len(words))
-        n = len(words) - k + 1
-        out = np.full(n, k, dtype=np.uint64)
-        for j in range(k):
-            out += h[j : j + n] * self.powers[j]
-        out ^= out >> np.uint64(32)
-        out *= np.uint64(0xD6E8FEB86659FD93)
-        out ^= out >> np.uint64(32)
-        return np.unique(out)
+def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """For each text the sorted 64-bit hashes of its distinct shingles; a shorter text has one, of all its words."""
+    h, counts = hashed(texts)
+    powers = np.array([pow(_PRIME, j, 1 << 64) for j in range(size)], dtype=np.uint64)
+    ends = np.cumsum(counts)
+    out = []
+    whole = np.full(max(0, len(h) - size + 1), size, dtype=np.uint64)
+    for j in range(size):
+        whole += h[j : j + len(whole)] * powers[j]
+    for end, n in zip(ends.tolist(), counts.tolist()):
+        s = whole[end - n : end - size + 1] if n >= size else (np.uint64(n) + h[end - n : end] * powers[:n]).sum(keepdims=True, dtype=np.uint64)[: min(n, 1)]
+        s = s ^ (s >> np.uint64(32))
+        s = s * np.uint64(0xD6E8FEB86659FD93)
+        out.append(np.unique(s ^ (s >> np.uint64(32))))
+    return out
 
 
 def minhashes(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -83,11 +73,9 @@ def _signed(docs: DataFrame, size: int, trees: int, depth: int) -> DataFrame:
     b = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(size)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             keys, nodes, counts = [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingle(text)
+            for s in shingle_sets(batch.column("text"), size):
                 counts.append(len(s))
                 if not len(s):
                     keys.append(None)
@@ -106,11 +94,9 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     """(blocks, sid, copies, text) to (blocks, sid, copies, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(size)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                b = batch.slice(k, 1000)
-                sets = pa.array([shingle(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())
+            for b in slices(batch):
+                sets = pa.array([s.tobytes() for s in shingle_sets(b.column("text"), size)], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column("blocks"), b.column("sid"), b.column("copies"), sets], ["blocks", "sid", "copies", "shingles"])
 
     return docs.mapInArrow(run, "blocks array<struct<block:string,side:int>>, sid long, copies long, shingles binary")

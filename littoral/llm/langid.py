@@ -188,7 +188,7 @@ def fit(labelled: DataFrame, vocabulary: str, per_lang: int = 2_000, rounds: int
 class _Scorer:
     """Scores whole texts; what a space-delimited chunk adds is cached, up to max_entries chunks."""
 
-    def __init__(self, model: LanguageModel, max_entries: int = 400_000):
+    def __init__(self, model: LanguageModel, max_entries: int = 200_000):
         self.model, self.pieces, self.max_entries = model, _pieces(model.vocabulary), max_entries
         self._clear()
 

@@ -88,7 +88,7 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grades: np
     return p[:n_cols], np.cumsum(np.concatenate((p[n_cols : n_cols + 1], np.exp(p[n_cols + 1 :]))))
 
 
-def fit(docs: DataFrame, ratings: DataFrame, max_rows: int = 12_000, min_docs: int = 5, l2: float = 2e-4, steps: int = 250, rate: float = 0.05) -> OrdinalModel:
+def fit(docs: DataFrame, ratings: DataFrame, max_rows: int = 10_000, min_docs: int = 5, l2: float = 2e-4, steps: int = 250, rate: float = 0.05) -> OrdinalModel:
     """Learns from docs (doc_id, text) and ratings (doc_id, grade); the lowest grade counts if a document has several.
 
     ``max_rows`` bounds the sample: about that many rated documents, those with the lowest hash of doc_id. Their sparse
@@ -102,11 +102,11 @@ def fit(docs: DataFrame, ratings: DataFrame, max_rows: int = 12_000, min_docs: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [features(t) for t in b.column("text").to_pylist()]
-            columns = [b.column("grade"), pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.float64()))]
+            columns = [b.column("grade"), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays(columns, ["grade", "cols", "vals"])
 
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    got = sample.select("grade", "text").mapInArrow(run, "grade int, cols array<long>, vals array<double>").toArrow()
+    got = sample.select("grade", "text").mapInArrow(run, "grade int, cols array<int>, vals array<float>").toArrow()
     grades = got.column("grade").to_numpy()
     if len(set(grades.tolist())) < 2:
         return OrdinalModel()
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, ratings: DataFrame, max_rows: int = 12_000, min_docs: i
 
 
 class _Scorer:
-    def __init__(self, model: OrdinalModel, max_entries: int = 400_000):
+    def __init__(self, model: OrdinalModel, max_entries: int = 150_000):
         self.weights, self.max_entries = model.weights, max_entries
         self.word: dict[str, float] = {}
         self.shape: dict[str, float] = {}
