@@ -24,6 +24,7 @@ def _with_text(docs: DataFrame, text: str) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose probability of the top grade is at least one half."""
+    common.text_batches(spark)
     docs = docs.select(*COLUMNS)
     model = quality.fit(docs, quality.ratings(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return quality.grade(docs, model, keep=[*COLUMNS]).filter("keep").select(*COLUMNS)
