@@ -1,16 +1,18 @@
 """Exact substring dedup by super-k-mer partitioning.
 
 A window is ``width`` consecutive words. Its minimiser is the least hash among its runs of ``mer`` words, so equal
-windows have equal minimisers. Consecutive windows of a document that share a minimiser travel as one packed string to
-the minimiser's bucket; there the windows of all strings are sorted and those that start in more than one place counted.
-Words under such a window are removed.
+windows have equal minimisers. Consecutive windows of a document that share a minimiser form a super-k-mer. One whose
+minimiser stands in one place only holds no repeated window and stays where it is; each other one travels as one packed
+string to the minimiser's bucket, where the windows of all strings are sorted and those that start in more than one
+place counted. Words under such a window are removed.
 
-Buckets that would hold more than a fair share of a task (found on a hash sample of the documents) don't travel as
-strings: their windows are counted by 128-bit digest with map-side sums, and the repeated digests are joined back.
+Buckets that would hold more than a fair share of a task don't get strings: their windows are counted by 128-bit digest
+with map-side sums, and the repeated digests are joined back.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, partitions
+from .common import cut, drop_folder, ensure_checkpoint_dir, free_shuffles, partitions
+from .words import hashed, slices
 
-SLICE_CHARS, CACHED_WORDS = 4_000_000, 300_000
 _PRIME = 0x9E3779B97F4A7C15
+_INVERSE = pow(_PRIME, -1, 1 << 64)
 _PLACE = np.dtype([("row", "<i8"), ("start", "<i4")])
 
 
@@ -32,113 +35,88 @@ def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-def _powers(n: int) -> np.ndarray:
-    out, p = [], 1
-    for _ in range(n):
-        out.append(p)
-        p = p * _PRIME & (1 << 64) - 1
-    return np.array(out, dtype=np.uint64)
-
-
-class Splitter:
-    """Documents to super-k-mers, slice by slice."""
-
-    def __init__(self, width: int, mer: int):
-        self.width, self.mer, self.powers = width, mer, _powers(mer)
-        self.hashes: dict[bytes, int] = {}
-
-    def slices(self, rows: list[int], texts: list[str | None]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        begin = chars = 0
-        for i, text in enumerate(texts):
-            chars += len(text or "")
-            if chars >= SLICE_CHARS or i + 1 == len(texts):
-                got = self._slice(rows[begin : i + 1], texts[begin : i + 1])
-                if got:
-                    yield got
-                begin, chars = i + 1, 0
-
-    def _slice(self, rows: list[int], texts: list[str | None]):
-        """words; and for each super-k-mer: first word, number of windows, minimiser, the document's row, place in it."""
-        docs = [split_words(t) for t in texts]
-        lengths = np.array([len(d) for d in docs], dtype=np.int64)
-        words = [w for d in docs if len(d) >= self.width for w in d]
-        long = lengths >= self.width
-        if not words:
-            return None
-        known = self.hashes
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-        if len(known) > CACHED_WORDS:
-            self.hashes = {}
-        n = len(words) - self.mer + 1
-        mers = np.zeros(n, dtype=np.uint64)
-        for j in range(self.mer):
-            mers += h[j : j + n] * self.powers[j]
-        mers ^= mers >> np.uint64(31)
-        mers *= np.uint64(0xBF58476D1CE4E5B9)
-        mers ^= mers >> np.uint64(29)
-        span, low, step = self.width - self.mer + 1, mers, 1
-        while step * 2 <= span:  # minima over spans of doubling length, then the overlap of two of them
-            low = np.minimum(low[:-step], low[step:])
-            step *= 2
-        if span > step:
-            low = np.minimum(low[: len(low) - (span - step)], low[span - step :])
-        ends = np.cumsum(lengths[long])
-        firsts = ends - lengths[long]
-        doc = np.repeat(np.arange(len(ends)), lengths[long])[: len(low)]
-        at = np.arange(len(low))
-        valid = at + self.width <= ends[doc]
-        new = np.ones(len(low), dtype=bool)
-        new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
-        starts = np.flatnonzero(new & valid)
-        bound = np.flatnonzero(np.concatenate((new | ~valid, [True])))
-        counts = bound[np.searchsorted(bound, starts, side="right")] - starts
-        d = doc[starts]
-        owner = np.array(rows, dtype=np.int64)[np.flatnonzero(long)][d]
-        return words, starts, counts, low[starts].view(np.int64), owner, starts - firsts[d]
-
-
-def _minimisers(docs: DataFrame, width: int, mer: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(width, mer)
-        for b in batches:
-            for _, _, _, low, _, _ in splitter.slices(b.column("row").to_pylist(), b.column("text").to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(low)], ["bucket"])
-
-    return docs.mapInArrow(run, "bucket long")
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0 to base**(n-1), modulo 2**64."""
+    steps = np.full(n, base, dtype=np.uint64)
+    steps[:1] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
+def super_kmers(texts: pa.Array, width: int, mer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each super-k-mer: the number of its text, its first word there, its number of windows, its minimiser, and
+    in how many of its places the minimiser stands."""
+    h, counts = hashed(texts)
+    n = len(h) - mer + 1
+    span = width - mer + 1
+    if n < span:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none, none, none
+    mers = np.zeros(n, dtype=np.uint64)
+    for j, power in enumerate(_powers(_PRIME, mer)):
+        mers += h[j : j + n] * power
+    mers ^= mers >> np.uint64(31)
+    mers *= np.uint64(0xBF58476D1CE4E5B9)
+    mers ^= mers >> np.uint64(29)
+    low, step = mers, 1
+    while step * 2 <= span:  # minima over spans of doubling length, then the overlap of two of them
+        low = np.minimum(low[:-step], low[step:])
+        step *= 2
+    if span > step:
+        low = np.minimum(low[: len(low) - (span - step)], low[span - step :])
+    ends = np.cumsum(counts)
+    doc = np.repeat(np.arange(len(counts)), counts)[: len(low)]
+    valid = np.arange(len(low)) + width <= ends[doc]
+    new = np.ones(len(low), dtype=bool)
+    new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
+    starts = np.flatnonzero(new & valid)
+    bound = np.flatnonzero(np.concatenate((new | ~valid, [True])))
+    lengths = bound[np.searchsorted(bound, starts, side="right")] - starts
+    of = doc[starts]
+    if not len(starts):
+        return of, starts, lengths, starts, starts
+    covered = lengths + span - 1
+    first = np.cumsum(covered) - covered
+    at = np.arange(covered.sum()) - np.repeat(first - starts, covered)
+    times = np.add.reduceat((mers[at] == np.repeat(low[starts], covered)).astype(np.int64), first)
+    return of, starts - (ends - counts)[of], lengths, low[starts].view(np.int64), times
+
+
+def _references(rows: DataFrame, width: int, mer: int) -> DataFrame:
+    """Every super-k-mer as bucket, row, start, n, times: no words yet."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch):
+                of, start, n, bucket, times = super_kmers(b.column("text"), width, mer)
+                row = b.column("row").to_numpy()[of]
+                columns = [pa.array(bucket), pa.array(row), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(times.astype(np.int32))]
+                whole = pa.RecordBatch.from_arrays(columns, ["bucket", "row", "start", "n", "times"])
+                for k in range(0, whole.num_rows, 50_000):
+                    yield whole.slice(k, 50_000)
 
-def hot_buckets(docs: DataFrame, width: int, mer: int, one_in: int = 16) -> list[int]:
-    """Buckets that hold over a quarter of a partition's fair share, by a hash sample: under 4 for each partition."""
-    sample = docs.filter(F.pmod("row", F.lit(one_in)) == 0)
-    counts = cut(_minimisers(sample, width, mer).groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 8"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(32, total / (4 * partitions(docs.sparkSession)))
-    return [r.bucket for r in counts.filter(F.col("n") > least).select("bucket").collect()]
+    return rows.mapInArrow(run, "bucket long, row long, start int, n int, times int")
 
 
-def _packed(docs: DataFrame, width: int, mer: int, hot: list[int]) -> DataFrame:
-    """bucket, packed string, and the places where it stands: equal strings of a slice are one row."""
-    avoided = np.array(sorted(hot), dtype=np.int64)
+def _packed(texts: DataFrame, width: int) -> DataFrame:
+    """bucket, packed string, and the places where it stands: equal strings of a batch are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(width, mer)
-        for b in batches:
-            for words, starts, counts, low, owner, place in splitter.slices(b.column("row").to_pylist(), b.column("text").to_pylist()):
-                keep = ~np.isin(low, avoided)
-                starts, counts, low, owner, place = (x[keep] for x in (starts, counts, low, owner, place))
-                where: dict[bytes, list[int]] = {}
-                for i, (s, e) in enumerate(zip(starts.tolist(), (starts + counts + width - 1).tolist())):
-                    where.setdefault(b" ".join(words[s:e]), []).append(i)
-                places = np.empty(len(starts), dtype=_PLACE)
-                places["row"], places["start"] = owner, place
-                firsts = [x[0] for x in where.values()]
-                columns = [pa.array(low[firsts]), pa.array(list(where), pa.binary()), pa.array([places[x].tobytes() for x in where.values()], pa.binary())]
-                for k in range(0, len(where), 10_000):
-                    yield pa.RecordBatch.from_arrays([c.slice(k, 10_000) for c in columns], ["bucket", "packed", "places"])
-
-    return docs.mapInArrow(run, "bucket long, packed binary, places binary")
+        for whole in batches:
+            for b in slices(whole):
+                where: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+                for row, text, refs in zip(b.column("row").to_pylist(), b.column("text").to_pylist(), b.column("refs").to_pylist()):
+                    words = split_words(text)
+                    for r in refs:
+                        if not r["hot"]:
+                            key = r["bucket"], b" ".join(words[r["start"] : r["start"] + r["n"] + width - 1])
+                            where.setdefault(key, []).append((row, r["start"]))
+                columns = [pa.array([k[0] for k in where], pa.int64()), pa.array([k[1] for k in where], pa.binary())]
+                columns.append(pa.array([np.array(p, dtype=_PLACE).tobytes() for p in where.values()], pa.binary()))
+                out = pa.RecordBatch.from_arrays(columns, ["bucket", "packed", "places"])
+                for k in range(0, out.num_rows, 10_000):
+                    yield out.slice(k, 10_000)
+
+    return texts.mapInArrow(run, "bucket long, packed binary, places binary")
 
 
 def repeated_windows(strings: list[bytes], weights: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,10 +135,8 @@ def repeated_windows(strings: list[bytes], weights: np.ndarray, width: int) -> t
     owner = np.repeat(np.arange(len(strings)), windows)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     start = (np.cumsum(lengths) - lengths)[owner] + inside
-    powers = _powers(len(flat) if len(flat) < 64 else 64)
-    h = np.zeros(len(owner), dtype=np.uint64)
-    for j in range(width):
-        h += codes[start + j] * powers[j % len(powers)]
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(codes * _powers(_PRIME, len(codes)), dtype=np.uint64)))
+    h = (sums[start + width] - sums[start]) * _powers(_INVERSE, len(codes))[start]
     order = np.argsort(h, kind="stable")
     new = np.ones(len(order), dtype=bool)
     new[1:] = h[order][1:] != h[order][:-1]
@@ -220,43 +196,58 @@ def _count_bucketwise(packed: DataFrame, width: int) -> DataFrame:
     return packed.mapInArrow(run, "row long, start long, stop long")
 
 
-def _hot_windows(docs: DataFrame, width: int, mer: int, hot: list[int]) -> DataFrame:
-    wanted = np.array(sorted(hot), dtype=np.int64)
-
+def _hot_windows(texts: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(width, mer)
         for b in batches:
-            for words, starts, counts, low, owner, place in splitter.slices(b.column("row").to_pylist(), b.column("text").to_pylist()):
-                keep = np.isin(low, wanted)
-                counts = counts[keep]
-                inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                first = np.repeat(starts[keep], counts) + inside
-                digests = [xxhash.xxh128_digest(b" ".join(words[s : s + width])) for s in first.tolist()]
-                columns = [pa.array(digests, pa.binary()), pa.array(np.repeat(owner[keep], counts)), pa.array(np.repeat(place[keep], counts) + inside)]
-                for k in range(0, len(digests), 10_000):
-                    yield pa.RecordBatch.from_arrays([c.slice(k, 10_000) for c in columns], ["digest", "row", "start"])
+            digests, rows, starts = [], [], []
+            for row, text, refs in zip(b.column("row").to_pylist(), b.column("text").to_pylist(), b.column("refs").to_pylist()):
+                words = split_words(text)
+                for r in refs:
+                    if r["hot"]:
+                        for s in range(r["start"], r["start"] + r["n"]):
+                            digests.append(xxhash.xxh128_digest(b" ".join(words[s : s + width])))
+                            rows.append(row)
+                            starts.append(s)
+            out = pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(rows, pa.int64()), pa.array(starts, pa.int64())], ["digest", "row", "start"])
+            for k in range(0, out.num_rows, 10_000):
+                yield out.slice(k, 10_000)
 
-    return docs.mapInArrow(run, "digest binary, row long, start long")
+    return texts.mapInArrow(run, "digest binary, row long, start long")
 
 
 def _row_key() -> F.Column:
     return F.xxhash64("doc_id", "text")
 
 
-def repeated_ranges(docs: DataFrame, width: int = 35, mer: int = 4) -> DataFrame:
-    """row, ranges: for each row with repeated windows, the word ranges (start, stop) that they cover, unsorted."""
+def repeated_ranges(docs: DataFrame, width: int = 35, mer: int = 6, share: float = 0.25) -> DataFrame:
+    """row, ranges: for each row with repeated windows, the word ranges (start, stop) that they cover, unsorted.
+
+    A bucket is hot if it holds more than ``share`` of a partition's fair share of super-k-mers.
+    """
+    spark = docs.sparkSession
     rows = docs.select(_row_key().alias("row"), "text")
-    hot = hot_buckets(rows, width, mer)
-    packed = _packed(rows, width, mer, hot).repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
-    found = _count_bucketwise(packed, width)
-    if hot:
-        windows = _hot_windows(rows, width, mer, hot)
+    path = f"{ensure_checkpoint_dir(spark)}/super-k-mers-{uuid.uuid4().hex}"
+    _references(rows, width, mer).write.parquet(path)
+    refs = spark.read.parquet(path)
+    least = max(32.0, refs.count() * share / partitions(spark))
+    counts = refs.groupBy("bucket").agg(F.sum("times").alias("times"), F.count("*").alias("n")).filter("times > 1")
+    repeated = cut(counts.select("bucket", (F.col("n") > least).alias("hot")))
+    del counts
+    free_shuffles(spark)
+    wanted = refs.join(repeated, "bucket").groupBy("row").agg(F.collect_set(F.struct("start", "n", "bucket", "hot")).alias("refs"))
+    texts = wanted.join(rows, "row")
+    found = _count_bucketwise(_packed(texts, width).repartition(partitions(spark), "bucket").sortWithinPartitions("bucket"), width)
+    if not repeated.filter("hot").isEmpty():
+        windows = _hot_windows(texts, width)
         often = cut(windows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"))
+        free_shuffles(spark)
         found = found.unionByName(windows.join(often, "digest").select("row", "start", (F.col("start") + width).alias("stop")))
-    return cut(found.groupBy("row").agg(F.collect_set(F.struct("start", "stop")).alias("ranges")))
+    ranges = cut(found.groupBy("row").agg(F.collect_set(F.struct("start", "stop")).alias("ranges")))
+    drop_folder(spark, path)
+    return ranges
 
 
-def remove_repeats(docs: DataFrame, width: int = 35, mer: int = 4) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 35, mer: int = 6) -> DataFrame:
     """Adds kept (the words that stay, joined by one space), n_words and n_removed to docs (doc_id, text, any others).
 
     A word goes if a window over it also starts anywhere else, in the same document or another; windows are judged on
@@ -265,6 +256,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, mer: int = 4) -> DataFrame:
     """
     docs = docs.drop("kept", "n_words", "n_removed", "row", "ranges")
     found = repeated_ranges(docs, width, mer)
+    free_shuffles(docs.sparkSession)
     joined = docs.withColumn("row", _row_key()).join(found, "row", "left").drop("row")
     schema = T.StructType([*docs.schema, T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     names = docs.columns

@@ -37,18 +37,16 @@ def test_against_brute_force(spark, tmp_path):
     assert run(spark, texts, tmp_path) == brute(texts)
 
 
-def test_hot_buckets_take_the_other_way(spark, tmp_path, monkeypatch):
-    texts = cases(spark)
-    real = substring_dedup.hot_buckets
-    found = []
-
-    def hot(docs, width, mer):
-        found.extend(r.bucket for r in substring_dedup._minimisers(docs, width, mer).distinct().collect()[::2])
-        return found
-
-    monkeypatch.setattr(substring_dedup, "hot_buckets", hot)
-    assert run(spark, texts, tmp_path) == brute(texts)
-    assert found and real
+def test_hot_buckets_take_the_other_way(spark, tmp_path):
+    """With a share of nothing, every bucket of 33 places or more is hot."""
+    texts = cases(spark) + [" ".join(f"w{i}" for i in range(40, 160))] * 60
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = {r.row: r.ranges for r in substring_dedup.repeated_ranges(df, share=0.0).collect()}
+    keyed = df.select("doc_id", "text", substring_dedup._row_key().alias("row")).collect()
+    want = brute(texts)
+    for r in keyed:
+        gone = {i for x in rows.get(r.row, ()) for i in range(x.start, x.stop)}
+        assert len(gone) == want[r.doc_id][1], r.doc_id
 
 
 def test_empty_table(spark, tmp_path):
