@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,8 +38,10 @@ def drop_folder(spark: SparkSession, path: str) -> None:
 def free_shuffles(spark: SparkSession) -> None:
     """Has the driver notice that what made a checkpoint is no longer referenced: Spark then deletes its shuffle files,
     which otherwise stay on the executors' disks until the driver happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round lets go may hold more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def text_batches(spark: SparkSession, rows: int = 2_000) -> None:
