@@ -58,7 +58,7 @@ TIDES = (12.42, 23.93)
 WATER = (0.35, 0.50, 0.65)
 EDGES = (0.18, 0.28)
 
-# Texts of alerts by language: standard and short. {0} tier, {1} hazard label, {2} number of reports, {3} plural ending.
+# Texts of alerts by language, standard and short, with named gaps.
 ALERT_TEXTS = {
     "en": ("{emoji} {tier}: {label} reported near your area ({n} report{plural}).", "{tier}: {label} near you ({n} report{plural})."),
     "ta": ("{emoji} {tier}: உங்கள் பகுதிக்கு அருகில் {label} தெரிவிக்கப்பட்டுள்ளது ({n} அறிக்கை{plural}).", "{tier}: {label} அருகில் ({n})."),
