@@ -151,7 +151,7 @@ class MergeReplay:
 def _encoder(path: str) -> tuple[MergeReplay, CachedEncoder]:
     if path not in _ENCODERS:
         replay = MergeReplay(path)
-        _ENCODERS[path] = replay, CachedEncoder(public_tokenizers.PATTERN, replay.encode_words, 250_000)
+        _ENCODERS[path] = replay, CachedEncoder(public_tokenizers.PATTERN, replay.encode_words, 225_000)
     return _ENCODERS[path]
 
 

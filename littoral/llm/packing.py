@@ -71,7 +71,7 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
             for k in range(0, len(rows), 20_000):
                 columns = zip(*rows[k : k + 20_000])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], PIECES.names)
-        encoder.words = {}  # workers live on for other stages, which need the memory
+        encoder.clear()  # workers live on for other stages, which need the memory
         pa.default_memory_pool().release_unused()
 
     return df.select("doc_id", "text").mapInArrow(run, PIECES)

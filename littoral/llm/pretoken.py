@@ -24,15 +24,20 @@ _PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+
 class CachedEncoder:
     """texts -> for each, its ids as little-endian uint32 bytes.
 
-    ``encode_words`` gets distinct pattern matches that are not cached and returns the bytes of each. The cache is
-    emptied between slices once it holds more than ``max_entries`` entries, which bounds a worker's memory.
+    ``encode_words`` gets distinct pattern matches that are not cached and returns the bytes of each. The cache has two
+    generations of about ``max_entries`` at most, which bounds a worker's memory: when the younger is full it becomes
+    the older, and what is met again comes back from there.
     """
 
-    def __init__(self, pattern: str, encode_words: Callable[[list[str]], list[bytes]], max_entries: int = 400_000):
+    def __init__(self, pattern: str, encode_words: Callable[[list[str]], list[bytes]], max_entries: int = 200_000):
         full = regex.compile(pattern).findall
         self.findall = (lambda t: full(t) if _OTHER(t) else _PLAIN(t)) if pattern == public_tokenizers.PATTERN else full
         self.encode_words, self.max_entries = encode_words, max_entries
+        self.clear()
+
+    def clear(self) -> None:
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         begin = chars = 0
@@ -48,10 +53,13 @@ class CachedEncoder:
         for words in split:
             new.update(words)
         missing = list(new.difference(self.words))
+        known = [w for w in missing if w in self.older]
+        self.words.update(zip(known, map(self.older.__getitem__, known)))
+        missing = list(set(missing).difference(known)) if known else missing
         if missing:
             self.words.update(zip(missing, self.encode_words(missing)))
         get = self.words.__getitem__
         out = [b"".join(map(get, words)) for words in split]
         if len(self.words) > self.max_entries:
-            self.words = {}
+            self.words, self.older = {}, self.words
         return out
