@@ -5,7 +5,7 @@
    prefix trie. Matched prefixes start at full depth and are shortened until pairs at the threshold share a node of
    some tree with at least the target probability.
 3. Classes that share nodes, directly or through others, are candidates for each other. Their sets are compared exactly,
-   in blocks of at most ``block`` x ``block`` classes, by products of sparse incidence matrices; blocks whose set sizes
+   in blocks of about ``block`` x ``block`` classes at most (fewer if their texts are long), by products of sparse incidence matrices; blocks whose set sizes
    rule the threshold out are skipped. A block gives its classes' link counts and a spanning forest of its links, never
    pairs, so a group of m near copies costs m rows for each block it lies in.
 4. The forests' connected components are the near-duplicate classes.
@@ -221,12 +221,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     # Levels part a group by set size, so that sets within the similarity are of one level or of neighbouring ones.
     level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / similarity))).cast("int")
     members = cut(groups.withColumnRenamed("u", "sid").join(classes.select("sid", "copies", "n"), "sid").withColumn("level", level))
-    sizes = members.groupBy("label").agg(F.count("*").alias("size"))
-    levels = members.groupBy("label", "level").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
+    share = F.greatest(F.count("*") / block, F.sum("n") / (block * 1000))  # of what a block may hold: classes, shingles
+    sizes = members.groupBy("label").agg(share.alias("size"))
+    levels = members.groupBy("label", "level").agg(F.ceil(share).cast("int").alias("chunks"))
     sizes, levels = cut(sizes), cut(levels)
-    small = members.join(sizes.filter(F.col("size") <= block), "label")
+    small = members.join(sizes.filter("size <= 1"), "label")
     small = small.select("sid", "copies", F.array(F.struct(F.col("label").cast("string").alias("block"), F.lit(0).alias("side"))).alias("blocks"))
-    large = members.join(sizes.filter(F.col("size") > block).select("label"), "label").join(levels, ["label", "level"])
+    large = members.join(sizes.filter("size > 1").select("label"), "label").join(levels, ["label", "level"])
     for step, name in ((-1, "below"), (1, "above")):
         near = levels.select("label", (F.col("level") - step).alias("level"), F.col("chunks").alias(name))
         large = large.join(near, ["label", "level"], "left")
