@@ -91,7 +91,7 @@ def _signed(docs: DataFrame, size: int, trees: int, depth: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """(blocks, sid, copies, text) to (blocks, sid, copies, shingles)."""
+    """(blocks, sid, copies, text) to (blocks, sid, copies, shingles). A block has a name, a side, and whether it is a chunk's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,7 +99,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 sets = pa.array([s.tobytes() for s in shingle_sets(b.column("text"), size)], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column("blocks"), b.column("sid"), b.column("copies"), sets], ["blocks", "sid", "copies", "shingles"])
 
-    return docs.mapInArrow(run, "blocks array<struct<block:string,side:int>>, sid long, copies long, shingles binary")
+    return docs.mapInArrow(run, "blocks array<struct<block:string,side:int,own:boolean>>, sid long, copies long, shingles binary")
 
 
 def compare(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -131,15 +131,16 @@ def compare(left: list[np.ndarray], right: list[np.ndarray], similarity: float)
 
 
 def _linked(blocks: DataFrame, similarity: float) -> DataFrame:
-    """sid, links (documents linked, outside its class), root: for each class of each block."""
+    """sid, links (documents linked, outside its class), root: for each class of each block. In an own block all classes
+    are compared with each other, in others those of one side with those of the other, which may be empty."""
 
-    def one(sides: list[int], ids: list[int], copies: list[int], sets: list[bytes]) -> tuple[list[int], list[int], list[int]]:
+    def one(owns: list[bool], sides: list[int], ids: list[int], copies: list[int], sets: list[bytes]) -> tuple[list[int], list[int], list[int]]:
         arrays = [np.frombuffer(s, dtype=np.uint64) for s in sets]
         left = [i for i, s in enumerate(sides) if s == 0]
         right = [i for i, s in enumerate(sides) if s == 1]
-        own = not right
-        right = right or left
-        if not left or own and len(left) < 2:
+        own = owns[0]
+        right = left if own else right
+        if not left or not right or own and len(left) < 2:
             return ids, [0] * len(ids), ids
         m = compare([arrays[i] for i in left], [arrays[i] for i in right], similarity)
         if own:
@@ -167,7 +168,7 @@ def _linked(blocks: DataFrame, similarity: float) -> DataFrame:
         return ids, links.tolist(), label.tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, ([], [], [], [])
+        key, held = None, ([], [], [], [], [])
         out: tuple[list[int], list[int], list[int]] = ([], [], [])
 
         def record() -> pa.RecordBatch:
@@ -177,7 +178,7 @@ def _linked(blocks: DataFrame, similarity: float) -> DataFrame:
             return batch
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("block", "side", "sid", "copies", "shingles")]
+            columns = [batch.column(c).to_pylist() for c in ("block", "own", "side", "sid", "copies", "shingles")]
             for k, *row in zip(*columns):
                 if k != key:
                     if key is not None:
@@ -185,7 +186,7 @@ def _linked(blocks: DataFrame, similarity: float) -> DataFrame:
                             c.extend(more)
                         if len(out[0]) > 10_000:
                             yield record()
-                    key, held = k, ([], [], [], [])
+                    key, held = k, ([], [], [], [], [])
                 for c, x in zip(held, row):
                     c.append(x)
         if key is not None:
@@ -226,7 +227,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     levels = members.groupBy("label", "level").agg(F.ceil(share).cast("int").alias("chunks"))
     sizes, levels = cut(sizes), cut(levels)
     small = members.join(sizes.filter("size <= 1"), "label")
-    small = small.select("sid", "copies", F.array(F.struct(F.col("label").cast("string").alias("block"), F.lit(0).alias("side"))).alias("blocks"))
+    small = small.select("sid", "copies", F.array(F.struct(F.col("label").cast("string").alias("block"), F.lit(0).alias("side"), F.lit(True).alias("own"))).alias("blocks"))
     large = members.join(sizes.filter("size > 1").select("label"), "label").join(levels, ["label", "level"])
     for step, name in ((-1, "below"), (1, "above")):
         near = levels.select("label", (F.col("level") - step).alias("level"), F.col("chunks").alias(name))
@@ -241,22 +242,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     same = F.transform(
         chunks(F.col("chunks")),
         lambda j: F.struct(
-            name(F.col("level"), F.least(j, F.col("chunk")), F.concat_ws("=", F.greatest(j, F.col("chunk")))), F.when(F.col("chunk") <= j, 0).otherwise(1).alias("side")
+            name(F.col("level"), F.least(j, F.col("chunk")), F.concat_ws("=", F.greatest(j, F.col("chunk")))), F.when(F.col("chunk") <= j, 0).otherwise(1).alias("side"), (F.col("chunk") == j).alias("own")
         ),
     )
-    nothing = F.array_repeat(F.struct(F.lit("").alias("block"), F.lit(0).alias("side")), 0)
+    nothing = F.array_repeat(F.struct(F.lit("").alias("block"), F.lit(0).alias("side"), F.lit(False).alias("own")), 0)
     up = F.when(F.col("above").isNull(), nothing).otherwise(
-        F.transform(chunks(F.col("above")), lambda j: F.struct(name(F.col("level"), F.col("chunk"), F.concat(F.lit("+"), j.cast("string"))), F.lit(0).alias("side")))
+        F.transform(chunks(F.col("above")), lambda j: F.struct(name(F.col("level"), F.col("chunk"), F.concat(F.lit("+"), j.cast("string"))), F.lit(0).alias("side"), F.lit(False).alias("own")))
     )
     down = F.when(F.col("below").isNull(), nothing).otherwise(
-        F.transform(chunks(F.col("below")), lambda j: F.struct(name(F.col("level") - 1, j, F.concat(F.lit("+"), F.col("chunk").cast("string"))), F.lit(1).alias("side")))
+        F.transform(chunks(F.col("below")), lambda j: F.struct(name(F.col("level") - 1, j, F.concat(F.lit("+"), F.col("chunk").cast("string"))), F.lit(1).alias("side"), F.lit(False).alias("own")))
     )
     large = large.select("sid", "copies", F.concat(same, up, down).alias("blocks"))
     placed = cut(small.unionByName(large))
     texts = docs.select(_row().alias("sid"), "text")
     with_text = placed.join(texts, "sid").dropDuplicates(["sid"]).select("blocks", "sid", "copies", "text")
     rows = _sets(with_text, shingle).select(F.explode("blocks").alias("b"), "sid", "copies", "shingles")
-    rows = rows.select("b.block", "b.side", "sid", "copies", "shingles").repartition(partitions(spark), "block").sortWithinPartitions("block")
+    rows = rows.select("b.block", "b.own", "b.side", "sid", "copies", "shingles").repartition(partitions(spark), "block").sortWithinPartitions("block")
     linked = cut(_linked(rows, similarity))
     counts = linked.groupBy("sid").agg(F.sum("links").alias("links"))
     final = connected_components(linked.filter("sid != root").select(F.col("sid").alias("u"), F.col("root").alias("v")))

@@ -51,6 +51,16 @@ def test_blocks_of_large_groups(spark):
     assert got == brute(texts)
 
 
+def test_few_very_long_near_copies(spark):
+    """Groups of two and three texts that fill several chunks by their shingles, so that some chunks stay empty."""
+    texts = []
+    for g in range(16):
+        words = [f"g{g}w{i}" for i in range(1500 + 20 * g)]
+        texts += [" ".join([*words, f"end{k}"]) for k in range(2 + g % 2)]
+    got = sorted(map(tuple, jaccard_join.near_duplicates(frame(spark, texts), block=2).collect()))
+    assert got == brute(texts)
+
+
 def test_repeated_rows_and_empty_table(spark, tmp_path):
     df = frame(spark, ["one two three four five six"])
     assert sorted(map(tuple, jaccard_join.near_duplicates(df.union(df)).collect())) == [(0, 0, 1), (0, 0, 1)]
