@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HOUR = 3_600_000_000
@@ -55,27 +56,39 @@ class IncidentBook:
         return self
 
 
-def merge_incidents(reports: DataFrame, group: list[str], window_hours: float = 6.0, similarity: float = 0.5, most: int = 50) -> DataFrame:
+def merge_incidents(reports: DataFrame, group: list[str], window_hours: float = 6.0, similarity: float = 0.5, most: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
     """Assigns each report, oldest first, to the first open incident of its hazard that is near: seen within the window,
     with a cell in the report's 1-ring and, where both have vectors, a cosine of at least ``similarity``. Incidents are
     tried newest first, ``most`` at a time. Centroids are running means; vectors are scaled to length one again.
 
-    ``group`` is the hazard and whatever parts reports that can never meet (a region several cells wide, say): each
-    group is one task's sequence. Reports: id, t, row, col, lat, lon, v (array or null).
+    ``group`` is the hazard and whatever parts reports that can never meet. A group is parted where it has no report for
+    longer than the window, since all its incidents are closed then; each part is one task's sequence, read in batches,
+    of which only the open incidents are held. Reports: id, t, row, col, lat, lon, v (array or null), and the columns of
+    ``keep``, which come back after those of ``group``.
     """
     kinds = dict(reports.dtypes)
-    schema = ", ".join(f"{g} {kinds[g]}" for g in group) + ", id long, incident long, n long, lat double, lon double"
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        book = IncidentBook(window_hours, similarity, most)
-        out = [(r["id"], book.assign(r)) for r in pdf.sort_values(["t", "id"]).to_dict("records")]
-        rows = [{"id": i, "incident": h["id"], "n": h["n"], "lat": round(h["lat"], 6), "lon": round(h["lon"], 6)} for i, h in out]
-        frame = pd.DataFrame(rows, columns=["id", "incident", "n", "lat", "lon"])
-        for g in group:
-            frame.insert(0, g, pdf[g].iloc[0])
-        return frame[[*group, "id", "incident", "n", "lat", "lon"]]
-
-    return reports.select(*dict.fromkeys([*group, "id", "t", "row", "col", "lat", "lon", "v"])).groupBy(*group).applyInPandas(kernel, schema)
+    names = [*group, *keep]
+    schema = ", ".join(f"{g} {kinds[g]}" for g in names) + ", part string, id long, incident long, n long, lat double, lon double"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, book = None, None
+        for pdf in frames:
+            rows = []
+            for r in pdf.to_dict("records"):
+                if r["part"] != part:
+                    part, book = r["part"], IncidentBook(window_hours, similarity, most)
+                h = book.assign(r)
+                rows.append((*(r[c] for c in names), part, r["id"], h["id"], h["n"], round(h["lat"], 6), round(h["lon"], 6)))
+            yield pd.DataFrame(rows, columns=[*names, "part", "id", "incident", "n", "lat", "lon"])
+
+    ordered = Window.partitionBy(*group).orderBy("t", "id")
+    parts = F.coalesce(F.col("t") - F.lag("t").over(ordered) > int(window_hours * HOUR), F.lit(False)).cast("long")
+    wanted = reports.select(*dict.fromkeys([*names, "id", "t", "row", "col", "lat", "lon", "v"])).withColumn("parts", parts)
+    wanted = wanted.withColumn("parts", F.sum("parts").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    wanted = wanted.withColumn("part", F.to_json(F.struct(*group, "parts"))).drop("parts")
+    merged = wanted.repartition("part").sortWithinPartitions("part", "t", "id").mapInPandas(run, schema)
+    last = F.max(F.struct("n", "lat", "lon")).over(Window.partitionBy("part", "incident"))
+    return merged.withColumn("last", last).select(*names, "id", "incident", "last.n", "last.lat", "last.lon")
 
 
 def leader_clusters(reports: DataFrame, group: list[str], similarity: float = 0.55, least: int = 3) -> DataFrame:

@@ -323,9 +323,9 @@ def alert_message(spark, d):
 
 @query("incident_merge")
 def incident_merge(spark, d):
-    """Sequential merge by hazard and day, with vectors where the report has one."""
+    """Sequential merge by hazard, with vectors where the report has one; day is the report's own."""
     r = V.reports(spark, d).withColumn("day", F.floor(F.col("t") / S.DAY))
-    return K.merge_incidents(K.with_vectors(r, V.table(spark, d, "embeddings")), ["hazard_type", "day"])
+    return K.merge_incidents(K.with_vectors(r, V.table(spark, d, "embeddings")), ["hazard_type"], keep=("day",))
 
 
 @query("narrative_clusters")

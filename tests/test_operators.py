@@ -182,6 +182,30 @@ def test_merge_and_leaders(spark):
     assert clusters == {1: 1, 2: 1}
 
 
+def test_incidents_cross_midnight_and_end_at_gaps(spark):
+    day = 24 * HOUR
+    rows = [("h", day - HOUR, 1, 0, 0, 13.0, 80.0, None), ("h", day + HOUR, 2, 0, 1, 13.2, 80.0, None), ("h", day + 7 * HOUR, 3, 0, 0, 13.1, 80.0, None), ("h", day + 13 * HOUR + 1, 4, 0, 0, 13.0, 80.0, None), ("k", day, 5, 0, 0, 13.0, 80.0, None)]
+    df = spark.createDataFrame(rows, "hazard string, t long, id long, row int, col int, lat double, lon double, v array<double>")
+    got = kernels.merge_incidents(df.withColumn("day", F.floor(F.col("t") / day)), ["hazard"], keep=("day",))
+    assert got.columns == ["hazard", "day", "id", "incident", "n", "lat", "lon"]
+    assert sorted((r.id, r.day, r.incident, r.n, r.lat) for r in got.collect()) == [(1, 0, 1, 3, 13.1), (2, 1, 1, 3, 13.1), (3, 1, 1, 3, 13.1), (4, 1, 4, 1, 13.0), (5, 1, 5, 1, 13.0)]
+
+
+def test_incident_merge_query_has_no_day_border(spark):
+    """Against one pass by hazard over all reports, as the stream does it."""
+    from littoral.plans import catalog, views
+
+    d = "/root/testdata/sf0.001"
+    rows = kernels.with_vectors(views.reports(spark, d), views.table(spark, d, "embeddings")).orderBy("t", "id").collect()
+    books, homes, days = {}, {}, {}
+    for r in rows:
+        homes[r.id] = books.setdefault(r.hazard_type, kernels.IncidentBook()).assign(r.asDict())
+        days.setdefault(homes[r.id]["id"], set()).add(r.t // (24 * HOUR))
+    want = {i: (h["id"], h["n"], round(h["lat"], 6), round(h["lon"], 6)) for i, h in homes.items()}
+    got = {r.id: (r.incident, r.n, r.lat, r.lon) for r in catalog.QUERIES["incident_merge"](spark, d).collect()}
+    assert got == want and any(len(x) > 1 for x in days.values())
+
+
 def test_hotspot_movement(spark):
     rows = [("d", 1, 13.0, 80.0, True), ("d", 2, 14.0, 80.0, True), ("d", 1, 13.01, 80.0, False), ("d", 3, 20.0, 80.0, False)]
     df = spark.createDataFrame(rows, "day string, id long, lat double, lon double, current boolean")
