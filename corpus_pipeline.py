@@ -31,8 +31,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later repeated runs of lines; documents stay, even when nothing is left of them."""
-    return _with_text(line_dedup.drop_repeated_runs(docs.select(*COLUMNS)), "kept")
+    """Deletes all later repeated runs of two lines and more; documents stay, even when nothing is left of them."""
+    return _with_text(line_dedup.drop_repeated_runs(docs.select(*COLUMNS), every=True), "kept")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

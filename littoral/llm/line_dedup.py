@@ -5,6 +5,10 @@ a fingerprint, so two equal runs of gram + window - 1 lines always share one. A
 its previous place in the same document, else with its first place in the corpus. Under each such alignment of two
 documents the matches are extended both ways, line by line; runs of at least ``gram`` equal lines are deleted from the
 later document. What a deleted line was matched with stands earlier, so the first copy of every line stays.
+
+One earlier place is not every earlier place: a run that is longer elsewhere may keep lines, and so may a repeated run
+shorter than gram + window - 1. With ``every``, all grams count and each is held against its first place in the corpus,
+so every line of every repeated run of ``gram`` lines goes.
 """
 
 from __future__ import annotations
@@ -81,17 +85,31 @@ def repeated_lines(lines: DataFrame, gram: int, window: int) -> DataFrame:
     return marked.groupBy("row").agg(F.collect_set("i").alias("gone"))
 
 
-def drop_repeated_runs(docs: DataFrame, gram: int = 2, window: int = 2) -> DataFrame:
+def every_repeated_line(lines: DataFrame, gram: int) -> DataFrame:
+    """row, gone: the numbers of the lines under grams that stand earlier in the order of doc_id, row and place. A run
+    that stands earlier, wherever and however long, is made of such grams, so no alignment is needed."""
+    places = cut(fingerprints(lines, gram, 1).groupBy("g", "doc_id", "row").agg(F.sort_array(F.collect_set("at")).alias("at")))
+    here = F.struct("doc_id", "row")
+    first = places.groupBy("g").agg(F.min(here).alias("first"), F.sum(F.size("at")).alias("n")).filter("n > 1").select("g", "first.row")
+    first = cut(first.withColumnRenamed("row", "row0"))
+    later = F.when(F.col("row") == F.col("row0"), F.slice("at", 2, F.size("at"))).otherwise(F.col("at"))
+    marked = places.join(first, "g").select("row", F.explode(later).alias("at"))
+    marked = marked.select("row", F.explode(F.sequence("at", F.col("at") + gram - 1)).alias("i"))
+    return marked.groupBy("row").agg(F.collect_set("i").alias("gone"))
+
+
+def drop_repeated_runs(docs: DataFrame, gram: int = 2, window: int = 2, every: bool = False) -> DataFrame:
     """Adds kept (the text without later repeated runs of lines), n_lines and n_removed to docs (doc_id, text, others).
 
     Lines end at a line feed alone. The order of documents is that of doc_id (nulls first). Null texts have no lines
     and stay null; a text all of whose lines go becomes empty. Rows equal in doc_id and text count as one document and
-    get the same result. Columns named kept, n_lines, n_removed, row or gone are replaced.
+    get the same result. Columns named kept, n_lines, n_removed, row or gone are replaced. With ``every``, all lines of
+    repeated runs of ``gram`` lines and more go, and ``window`` has no effect.
     """
     docs = docs.drop("kept", "n_lines", "n_removed", "row", "gone").withColumn("row", F.xxhash64("doc_id", "text"))
     split = F.split("text", "\n", -1)
     lines = cut(docs.filter("text is not null").select("row", "doc_id", F.transform(split, _hash).alias("h")))
-    gone = cut(repeated_lines(lines, gram, window))
+    gone = cut(every_repeated_line(lines, gram) if every else repeated_lines(lines, gram, window))
     joined = docs.join(gone, "row", "left")
     n = F.size(F.split("text", "\n", -1))
     places = F.array_except(F.sequence(F.lit(0), n - 1), "gone")

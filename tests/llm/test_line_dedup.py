@@ -1,3 +1,6 @@
+import random
+
+import corpus_pipeline
 import duckdb
 
 from littoral.llm import line_dedup, queries
@@ -34,3 +37,30 @@ def test_runs_of_guaranteed_length_go(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert check(spark, [], tmp_path) == []
+
+
+def brute(texts):
+    seen, out = set(), []
+    for t in texts:
+        lines = t.split("\n")
+        gone = set()
+        for i, pair in enumerate(zip(lines, lines[1:])):
+            gone.update((i, i + 1) if pair in seen else ())
+            seen.add(pair)
+        out.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
+    return out
+
+
+def test_pipeline_stage_drops_every_repeated_run(spark):
+    """Runs of two lines, and a run whose first place is shorter than a later one."""
+    texts = ["a\nb", "x\na\nb\nc\nd", "a\nb\nc\nd\ny", "b\nb\nb\nb", "", "e", "e"]
+    rng = random.Random(3)
+    for k in range(200):
+        u = f"u{rng.randrange(60)}"
+        texts.append("\n".join([f"{k}", u, f"{u}'", f"{k}'", *(rng.choice("pqrst") for _ in range(rng.randint(0, 12)))]))
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.repeated_lines(spark, df, "").collect())
+    assert got == list(enumerate(brute(texts)))
+    winnowed = {r.doc_id: r.kept for r in line_dedup.drop_repeated_runs(df).collect()}
+    assert any(len(winnowed[i]) > len(t) for i, t in got)  # what the winnowed rules leave
