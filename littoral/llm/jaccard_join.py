@@ -1,19 +1,17 @@
 """Near-duplicate join on word shingles: MinHash LSH forest for candidates, exact Jaccard for every link.
 
 1. Each text becomes the set of its shingles; equal sets form one class with a representative.
-2. A class has ``trees`` signatures of ``depth_max`` MinHashes. In each tree, signatures sorted as sequences form a
-   prefix trie. Matched prefixes start at full depth and are shortened until pairs at the threshold share a node of
-   some tree with at least the target probability.
-3. Classes that share nodes, directly or through others, are candidates for each other. Their sets are compared exactly,
-   in blocks of about ``block`` x ``block`` classes at most (fewer if their texts are long), by products of sparse incidence matrices; blocks whose set sizes
-   rule the threshold out are skipped. A block gives its classes' link counts and a spanning forest of its links, never
-   pairs, so a group of m near copies costs m rows for each block it lies in.
+2. Classes are looked up in the prefix tries of an LSH forest (lsh_forest.py), prefixes shortened until the target recall.
+3. Classes linked there, directly or through others, are candidates for each other. Their sets are compared exactly, in
+   blocks of bounded size, by products of sparse incidence matrices; blocks whose set sizes rule the threshold out are
+   skipped. A block gives its classes' link counts and a spanning forest of its links, never pairs.
 4. The forests' connected components are the near-duplicate classes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import ROW, cut, join_counted, partitions, row_key
 from .components import connected_components
+from .lsh_forest import candidates
 from .words import hashed, slices
 
 _PRIME = 0x9E3779B97F4A7C15
@@ -54,40 +53,24 @@ def minhashes(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return least
 
 
-def depth_for(recall: float, similarity: float, trees: int, depth_max: int) -> int:
-    """The longest prefix at which pairs of this similarity share a node of some tree with at least this probability."""
-    depth = depth_max
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
-        depth -= 1
-    return depth
-
-
-def _row() -> F.Column:
-    return F.xxhash64("doc_id", "text")
-
-
 def _signed(docs: DataFrame, size: int, trees: int, depth: int) -> DataFrame:
-    """doc_id, row, key (128-bit digest of the shingle set; null if empty), nodes: the trie node in each tree, n."""
+    """doc_id, doc, row, key (128-bit digest of the shingle set; null if empty), signature (of trees x depth MinHashes
+    the low two bytes each) and n, the number of shingles."""
     rng = np.random.default_rng(20)
     a = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
-            keys, nodes, counts = [], [], []
+            keys, signatures, counts = [], [], []
             for s in shingle_sets(batch.column("text"), size):
                 counts.append(len(s))
-                if not len(s):
-                    keys.append(None)
-                    nodes.append(None)
-                    continue
-                keys.append(xxhash.xxh128_digest(s.tobytes()))
-                sig = minhashes(s, a, b).reshape(trees, depth)
-                nodes.append([xxhash.xxh64_intdigest(sig[t].tobytes(), seed=t) >> 1 for t in range(trees)])
-            columns = [batch.column("doc_id"), batch.column("row"), pa.array(keys, pa.binary()), pa.array(nodes, pa.list_(pa.int64())), pa.array(counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "key", "nodes", "n"])
+                keys.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
+                signatures.append(minhashes(s, a, b).astype(np.uint16).tobytes() if len(s) else None)
+            columns = [*(batch.column(c) for c in ("doc_id", *ROW)), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *ROW, "key", "signature", "n"])
 
-    return docs.select("doc_id", _row().alias("row"), "text").mapInArrow(run, "doc_id long, row long, key binary, nodes array<long>, n long")
+    return docs.select("doc_id", *row_key(), "text").mapInArrow(run, "doc_id long, doc long, row long, key binary, signature binary, n long")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -117,7 +100,7 @@ def compare(left: list[np.ndarray], right: list[np.ndarray], similarity: float)
     new = np.cumsum(both) - 1
     keep = both[number]
     number, owner, on_right = new[number[keep]], owner[keep], on_right[keep]
-    shared = np.zeros((len(left), len(right)), dtype=np.float32)
+    shared = np.zeros((len(left), len(right)), dtype=np.int64)
     for lo in range(0, int(both.sum()), 2048):
         begin, end = np.searchsorted(number, (lo, lo + 2048))
         x = np.zeros((len(left), 2048), dtype=np.float32)
@@ -125,9 +108,10 @@ def compare(left: list[np.ndarray], right: list[np.ndarray], similarity: float)
         part, who, r = number[begin:end] - lo, owner[begin:end], on_right[begin:end]
         x[who[~r], part[~r]] = 1
         y[who[r], part[r]] = 1
-        shared += x @ y.T
+        shared += (x @ y.T).astype(np.int64)
     total = sizes[0][:, None] + sizes[1][None, :]
-    return shared * (1 + similarity) >= similarity * total - 1e-6 * total
+    s = Fraction(similarity).limit_denominator(1_000_000)
+    return shared * (s.denominator + s.numerator) >= total * s.numerator  # shared / (total - shared) >= similarity, in integers
 
 
 def _linked(blocks: DataFrame, similarity: float) -> DataFrame:
@@ -197,43 +181,43 @@ def _linked(blocks: DataFrame, similarity: float) -> DataFrame:
     return blocks.mapInArrow(run, "sid long, links long, root long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.999, trees: int = 16, depth_max: int = 6, block: int = 1024) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.999, trees: int = 16, depth: int = 6, shortest: int = 2, crowd: int = 32, block: int = 128, most: int = 4096, shingles: int = 1_000_000
+) -> DataFrame:
     """docs (doc_id, text) to doc_id, class_id (least doc_id of its near-duplicate class) and n_links.
 
     Two documents are linked if the Jaccard similarity of their sets of ``shingle``-word shingles is at least
     ``similarity``; n_links counts the other documents that one is linked to, copies included. Words are those between
     ASCII white space, unchanged. A text of fewer words than a shingle has one shingle, all its words. Null and blank
     texts have no shingles: each is a class of its own without links. Rows with equal doc_id and text count as two
-    documents. The result has one row for each row of docs.
+    documents. A null doc_id is the greatest as a class_id. Shingles are known by 64-bit hashes, sets by 128-bit ones.
+    The result has one row for each row of docs; other columns play no part.
+
+    ``recall`` is the least probability of a link at the threshold to be found. A block holds at most ``shingles``
+    shingles or one text a side, and ``block`` classes a side, or a 32nd of its set sizes' classes up to ``most``.
     """
     spark = docs.sparkSession
-    depth = depth_for(recall, similarity, trees, depth_max)
     signed = cut(_signed(docs, shingle, trees, depth))
     classes = signed.filter("key is not null").groupBy("key").agg(
-        F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("copies"), F.first("nodes").alias("nodes"), F.first("n").alias("n")
+        F.min("doc_id").alias("doc_id"), F.min(F.struct(*ROW)).alias("text_of"), F.count("*").alias("copies"), F.first("signature").alias("signature"), F.first("n").alias("n")
     )
-    classes = cut(classes.select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("sid"), "copies", "nodes", "n"))
-    nodes = classes.select("sid", F.posexplode("nodes").alias("tree", "node"))
-    shared = nodes.groupBy("tree", "node").agg(F.count("*").alias("size"), F.min("sid").alias("least")).filter("size > 1")
-    shared = cut(shared.select("tree", "node", "least"))
-    edges = nodes.join(shared, ["tree", "node"]).filter("sid != least").select(F.col("sid").alias("u"), F.col("least").alias("v"))
-    groups = connected_components(edges)
+    classes = cut(classes.select("key", "doc_id", "text_of", F.monotonically_increasing_id().alias("sid"), "copies", "signature", "n"))
+    groups = connected_components(candidates(classes.select("sid", "signature", "n"), similarity, recall, trees, depth, shortest, crowd))
 
     # Levels part a group by set size, so that sets within the similarity are of one level or of neighbouring ones.
     level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / similarity))).cast("int")
-    members = cut(groups.withColumnRenamed("u", "sid").join(classes.select("sid", "copies", "n"), "sid").withColumn("level", level))
-    share = F.greatest(F.count("*") / block, F.sum("n") / (block * 1000))  # of what a block may hold: classes, shingles
+    members = cut(groups.withColumnRenamed("u", "sid").join(classes.select("sid", "text_of", "copies", "n"), "sid").withColumn("level", level))
+    share = F.greatest(F.count("*") / F.greatest(F.lit(float(block)), F.least(F.count("*") / 32, F.lit(float(most)))), F.sum("n") / shingles)  # of what a block may hold
     sizes = members.groupBy("label").agg(share.alias("size"))
     levels = members.groupBy("label", "level").agg(F.ceil(share).cast("int").alias("chunks"))
     sizes, levels = cut(sizes), cut(levels)
     small = members.join(sizes.filter("size <= 1"), "label")
-    small = small.select("sid", "copies", F.array(F.struct(F.col("label").cast("string").alias("block"), F.lit(0).alias("side"), F.lit(True).alias("own"))).alias("blocks"))
+    small = small.select("sid", "text_of", "copies", F.array(F.struct(F.col("label").cast("string").alias("block"), F.lit(0).alias("side"), F.lit(True).alias("own"))).alias("blocks"))
     large = members.join(sizes.filter("size > 1").select("label"), "label").join(levels, ["label", "level"])
     for step, name in ((-1, "below"), (1, "above")):
         near = levels.select("label", (F.col("level") - step).alias("level"), F.col("chunks").alias(name))
         large = large.join(near, ["label", "level"], "left")
-    chunk = F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int")
-    large = large.withColumn("chunk", chunk)
+    large = large.withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
 
     def name(low_level, low, high):
         return F.concat_ws(":", "label", low_level, low, high).alias("block")
@@ -252,10 +236,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     down = F.when(F.col("below").isNull(), nothing).otherwise(
         F.transform(chunks(F.col("below")), lambda j: F.struct(name(F.col("level") - 1, j, F.concat(F.lit("+"), F.col("chunk").cast("string"))), F.lit(1).alias("side"), F.lit(False).alias("own")))
     )
-    large = large.select("sid", "copies", F.concat(same, up, down).alias("blocks"))
-    placed = cut(small.unionByName(large))
-    texts = docs.select(_row().alias("sid"), "text")
-    with_text = placed.join(texts, "sid").dropDuplicates(["sid"]).select("blocks", "sid", "copies", "text")
+    large = large.select("sid", "text_of", "copies", F.concat(same, up, down).alias("blocks"))
+    placed = cut(small.unionByName(large).select("sid", "text_of.*", "copies", "blocks"))
+    texts = docs.select(*row_key(), "text")
+    with_text = placed.join(texts, ROW).dropDuplicates(["sid"]).select("blocks", "sid", "copies", "text")
     rows = _sets(with_text, shingle).select(F.explode("blocks").alias("b"), "sid", "copies", "shingles")
     rows = rows.select("b.block", "b.own", "b.side", "sid", "copies", "shingles").repartition(partitions(spark), "block").sortWithinPartitions("block")
     linked = cut(_linked(rows, similarity))
@@ -264,6 +248,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     own = classes.select("key", "sid", "doc_id", "copies").join(final.withColumnRenamed("u", "sid"), "sid", "left")
     own = own.withColumn("label", F.coalesce("label", "sid"))
     least = own.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    known = cut(own.join(cut(least), "label").join(counts, "sid", "left").select("key", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    joined = signed.select("doc_id", "key").join(known, "key", "left")
-    return joined.select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    known = cut(own.join(cut(least), "label").join(counts, "sid", "left").select("key", "class_id", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    keyed = signed.filter("key is not null").select("doc_id", "key")
+    joined = join_counted(keyed, known, ["key"], "copies").select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"))
+    bare = signed.filter("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return joined.unionByName(bare)

@@ -47,7 +47,7 @@ def test_against_brute_force(spark):
 
 def test_blocks_of_large_groups(spark):
     texts = cases(spark, 90)
-    got = sorted(map(tuple, jaccard_join.near_duplicates(frame(spark, texts), block=7).collect()))
+    got = sorted(map(tuple, jaccard_join.near_duplicates(frame(spark, texts), block=7, crowd=4).collect()))
     assert got == brute(texts)
 
 
@@ -57,7 +57,7 @@ def test_few_very_long_near_copies(spark):
     for g in range(16):
         words = [f"g{g}w{i}" for i in range(1500 + 20 * g)]
         texts += [" ".join([*words, f"end{k}"]) for k in range(2 + g % 2)]
-    got = sorted(map(tuple, jaccard_join.near_duplicates(frame(spark, texts), block=2).collect()))
+    got = sorted(map(tuple, jaccard_join.near_duplicates(frame(spark, texts), shingles=2000).collect()))
     assert got == brute(texts)
 
 
@@ -76,3 +76,27 @@ def test_compare_is_exact():
         for j, b in enumerate(sets):
             x = len(np.intersect1d(a, b))
             assert m[i, j] == (x >= 0.6 * (len(a) + len(b) - x))
+
+
+def test_recall_at_the_threshold(spark):
+    """400 pairs whose similarity lies just above the threshold, among crowded nodes: at least the target share is met."""
+    rng = random.Random(8)
+    texts, pairs = [], 0
+    for k in range(400):
+        words = [f"p{k}w{i}" for i in range(100)]
+        changed = list(words)
+        changed[30], changed[70] = f"p{k}a", f"p{k}b"  # 10 of 96 shingles differ: similarity 86 / 106
+        texts += [" ".join(words), " ".join(changed)]
+        pairs += 1
+    texts += [" ".join(["boiler", "plate", "text", "of", "many", "pages"] * 3 + [f"n{rng.random()}"]) for _ in range(300)]
+    got = {r.doc_id: r for r in jaccard_join.near_duplicates(frame(spark, texts), crowd=8).collect()}
+    found = sum(got[2 * k + 1].class_id == 2 * k and got[2 * k].n_links == 1 for k in range(pairs))
+    assert found >= 0.99 * pairs
+
+
+def test_null_ids_and_other_columns(spark):
+    long = " ".join(f"w{i}" for i in range(50))
+    rows = [(None, long, 1, 2), (7, long, 1, 2), (7, long + " more", 1, 2), (None, None, 1, 2), (8, "", 1, 2), (9, None, 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key int, n int")
+    got = sorted(map(tuple, jaccard_join.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(None, 7, 2), (7, 7, 2), (7, 7, 2), (None, None, 0), (8, 8, 0), (9, 9, 0)], key=str)
