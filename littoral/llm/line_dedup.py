@@ -1,163 +1,83 @@
 """Line dedup by winnowing over line hashes, in DataFrame operations alone.
 
-A gram is ``gram`` consecutive lines. Of every ``window`` consecutive grams the one of least hash (the last, on ties) is
-a fingerprint, so two equal runs of gram + window - 1 lines always share one. A document's fingerprint is lined up with
-its previous place in the same document, else with its first place in the corpus. Under each such alignment of two
-documents the matches are extended both ways, line by line; runs of at least ``gram`` equal lines are deleted from the
-later document. What a deleted line was matched with stands earlier, so the first copy of every line stays.
-
-One earlier place is not every earlier place: a run that is longer elsewhere may keep lines, and so may a repeated run
-shorter than gram + window - 1. With ``every``, all grams count and each is held against its first place in the corpus,
-so every line of every repeated run of ``gram`` lines goes.
+Of every ``run`` consecutive lines the one of least hash is a fingerprint, so two equal runs of that many lines always
+share one. Fingerprints that stand in one place only hold no repeated run and go no further. From each place of the
+others the match is extended both ways: the runs of ``run`` lines about it are told apart by 128 bits of all their
+lines, and joined with the first place in the corpus that has the same lines. Runs that stand there earlier are marked;
+marked runs that overlap make up longer ones, each line of which is deleted. A repeated run of ``run`` lines and more is
+found wherever its earlier copies stand, and whatever stands about them; the first copy of every run stays.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-
-
-def _hash(text: Column) -> Column:
-    """60 bits of MD5, as a bigint that any SQL engine can compute."""
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
-
-
-def _shifted(array: Column, by: int) -> Column:
-    return array if not by else F.slice(array, by + 1, F.greatest(F.size(array), F.lit(1)))
-
-
-def _zipped(arrays: list[Column], n: Column) -> Column:
-    """arrays_zip with fields f0, f1, ..., cut to n entries (none if n is not positive)."""
-    return F.slice(F.arrays_zip(*(a.alias(f"f{j}") for j, a in enumerate(arrays))), 1, F.greatest(n, F.lit(0)))
+from .common import ROW, cut, join_counted, row_key
 
 
-def fingerprints(lines: DataFrame, gram: int, window: int) -> DataFrame:
-    """(row, doc_id, h: hashes of lines) to (row, doc_id, g, at): the winnowed grams and their places."""
-    grams = F.transform(
-        _zipped([_shifted(F.col("h"), j) for j in range(gram)], F.size("h") - gram + 1),
-        lambda x, i: F.struct(_hash(F.concat_ws(",", *(x[f"f{j}"] for j in range(gram)))).alias("g"), (-i).alias("back")),
-    )
-    graded = lines.filter(F.size("h") >= gram).select("row", "doc_id", grams.alias("grams"))
-    n = F.greatest(F.size("grams") - window + 1, F.least(F.size("grams"), F.lit(1)))
-    least = F.transform(
-        _zipped([_shifted(F.col("grams"), j) for j in range(window)], n),
-        lambda x: F.least(*(x[f"f{j}"] for j in range(window))) if window > 1 else x["f0"],
-    )
-    chosen = graded.select("row", "doc_id", F.explode(F.array_distinct(least)).alias("x"))
-    return chosen.select("row", "doc_id", F.col("x.g").alias("g"), (-F.col("x.back")).alias("at"))
-
-
-def alignments(lines: DataFrame, gram: int, window: int) -> DataFrame:
-    """row, row0, shift: line i of a document is to be compared with line i + shift of the earlier one, row0."""
-    places = cut(fingerprints(lines, gram, window).groupBy("g", "doc_id", "row").agg(F.sort_array(F.collect_set("at")).alias("at")))
-    here = F.struct("doc_id", "row", F.col("at")[0].alias("at"))
-    first = cut(places.groupBy("g").agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1").select("g", "first"))
-    across = places.join(first, "g").filter(F.col("row") != F.col("first.row"))
-    across = across.select("row", F.col("first.row").alias("row0"), (F.col("first.at") - F.col("at")[0]).alias("shift"))
-    gaps = F.transform(
-        _zipped([F.col("at"), _shifted(F.col("at"), 1)], F.size("at") - 1), lambda x: x["f0"] - x["f1"]
+def windows(docs: DataFrame, run: int) -> DataFrame:
+    """docs (doc_id, doc, row, text) to one row for each run of ``run`` lines: place (doc_id, doc, row, i), its
+    fingerprint, and a and b, 128 bits of its lines."""
+    split = F.split("text", "\n", -1)
+    hashed = lambda *salt: F.transform("lines", lambda x: F.xxhash64(*map(F.lit, salt), x))
+    lines = docs.filter(F.col("text").isNotNull()).select("doc_id", *ROW, split.alias("lines")).filter(F.size("lines") >= run)
+    lines = lines.select("doc_id", *ROW, hashed().alias("h"), hashed(1).alias("k"))
+    part = lambda c, i: F.slice(c, i + 1, run)
+    of = F.transform(
+        F.sequence(F.lit(0), F.size("h") - run),
+        lambda i: F.struct(i.alias("i"), F.array_min(part("h", i)).alias("fingerprint"), F.xxhash64(part("h", i)).alias("a"), F.xxhash64(part("k", i)).alias("b")),
     )
-    within = places.filter(F.size("at") > 1).select("row", F.col("row").alias("row0"), F.explode(F.array_distinct(gaps)).alias("shift"))
-    return across.unionByName(within).distinct()
-
-
-def repeated_lines(lines: DataFrame, gram: int, window: int) -> DataFrame:
-    """row, gone: the numbers of the lines to delete, from 0."""
-    both = cut(alignments(lines, gram, window))
-    hashes = lines.select("row", "h").dropDuplicates(["row"])
-    later = both.join(hashes, "row").join(hashes.select(F.col("row").alias("row0"), F.col("h").alias("h0")), "row0")
-    pad = F.array_repeat(F.lit(None).cast("long"), F.greatest(-F.col("shift"), F.lit(0)))
-    lined_up = F.concat(pad, F.slice("h0", F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("h0")))
-    n = F.size("h")
-    equal = F.transform(_zipped([F.col("h"), lined_up], n), lambda x: F.coalesce(x["f0"] == x["f1"], F.lit(False)))
-    all_of = lambda x: reduce(lambda a, b: a & b, (F.coalesce(x[f"f{j}"], F.lit(False)) for j in range(gram)))
-    any_of = lambda x: reduce(lambda a, b: a | b, (F.coalesce(x[f"f{j}"], F.lit(False)) for j in range(gram)))
-    matched = later.select("row", n.alias("n"), equal.alias("equal"))
-    starts = F.transform(_zipped([_shifted(F.col("equal"), j) for j in range(gram)], F.col("n")), all_of)
-    begun = matched.select("row", "n", starts.alias("starts"))
-    back = [F.concat(F.array_repeat(F.lit(False), j), F.col("starts")) for j in range(gram)]
-    gone = F.filter(F.transform(_zipped(back, F.col("n")), lambda x, i: F.when(any_of(x), i).otherwise(-1)), lambda i: i >= 0)
-    marked = begun.select("row", F.explode(gone).alias("i"))
-    return marked.groupBy("row").agg(F.collect_set("i").alias("gone"))
+    return lines.select("doc_id", *ROW, F.explode(of).alias("w")).select(F.struct("doc_id", *ROW, "w.i").alias("place"), "w.fingerprint", "w.a", "w.b")
 
 
-def every_repeated_line(lines: DataFrame, gram: int) -> DataFrame:
-    """row, gone: the numbers of the lines under grams that stand earlier in the order of doc_id, row and place. A run
-    that stands earlier, wherever and however long, is made of such grams, so no alignment is needed."""
-    places = cut(fingerprints(lines, gram, 1).groupBy("g", "doc_id", "row").agg(F.sort_array(F.collect_set("at")).alias("at")))
-    here = F.struct("doc_id", "row")
-    first = places.groupBy("g").agg(F.min(here).alias("first"), F.sum(F.size("at")).alias("n")).filter("n > 1").select("g", "first.row")
-    first = cut(first.withColumnRenamed("row", "row0"))
-    later = F.when(F.col("row") == F.col("row0"), F.slice("at", 2, F.size("at"))).otherwise(F.col("at"))
-    marked = places.join(first, "g").select("row", F.explode(later).alias("at"))
-    marked = marked.select("row", F.explode(F.sequence("at", F.col("at") + gram - 1)).alias("i"))
-    return marked.groupBy("row").agg(F.collect_set("i").alias("gone"))
+def repeated_lines(docs: DataFrame, run: int) -> DataFrame:
+    """doc, row, gone: the numbers of the lines to delete, from 0."""
+    every = cut(windows(docs, run))
+    shared = cut(every.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1"))
+    met = cut(join_counted(every, shared, ["fingerprint"]).select("place", "a", "b"))
+    first = cut(met.groupBy("a", "b").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    later = join_counted(met, first, ["a", "b"]).filter(F.col("place") > F.col("first"))
+    lines = later.select("place.doc", "place.row", F.explode(F.sequence("place.i", F.col("place.i") + run - 1)).alias("i"))
+    return lines.groupBy(*ROW).agg(F.collect_set("i").alias("gone"))
 
 
-def drop_repeated_runs(docs: DataFrame, gram: int = 2, window: int = 2, every: bool = False) -> DataFrame:
+def drop_repeated_runs(docs: DataFrame, run: int = 2) -> DataFrame:
     """Adds kept (the text without later repeated runs of lines), n_lines and n_removed to docs (doc_id, text, others).
 
-    Lines end at a line feed alone. The order of documents is that of doc_id (nulls first). Null texts have no lines
+    A line goes if it lies in a run of ``run`` or more lines that also starts at an earlier place. Places are ordered by
+    doc_id (nulls first), then the row's hash, then the line. Lines end at a line feed alone. Null texts have no lines
     and stay null; a text all of whose lines go becomes empty. Rows equal in doc_id and text count as one document and
-    get the same result. Columns named kept, n_lines, n_removed, row or gone are replaced. With ``every``, all lines of
-    repeated runs of ``gram`` lines and more go, and ``window`` has no effect.
+    get the same result. Columns named kept, n_lines, n_removed, doc, row or gone are replaced.
     """
-    docs = docs.drop("kept", "n_lines", "n_removed", "row", "gone").withColumn("row", F.xxhash64("doc_id", "text"))
+    docs = docs.drop("kept", "n_lines", "n_removed", *ROW, "gone").select("*", *row_key())
+    gone = cut(repeated_lines(docs.select("doc_id", *ROW, "text"), run))
+    joined = docs.join(gone, ROW, "left")
     split = F.split("text", "\n", -1)
-    lines = cut(docs.filter("text is not null").select("row", "doc_id", F.transform(split, _hash).alias("h")))
-    gone = cut(every_repeated_line(lines, gram) if every else repeated_lines(lines, gram, window))
-    joined = docs.join(gone, "row", "left")
-    n = F.size(F.split("text", "\n", -1))
+    n = F.size(split)
     places = F.array_except(F.sequence(F.lit(0), n - 1), "gone")
     marks = F.sort_array(F.concat(F.transform(places, lambda i: F.struct(i.alias("i"), F.lit(True).alias("stays"))), F.transform("gone", lambda i: F.struct(i.alias("i"), F.lit(False).alias("stays")))))
     stay = F.filter(F.arrays_zip(split.alias("line"), marks.alias("mark")), lambda x: x["mark"]["stays"])
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda x: x["line"]), "\n"))
     return joined.select(
-        *(c for c in docs.columns if c != "row"),
+        *(c for c in docs.columns if c not in ROW),
         kept.alias("kept"),
         F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
     )
 
 
-#: The same in DuckDB, by rows: n_lines, n_removed and the digest of what is kept.
+#: By the definition of a repeated run of two lines and more, on the lines themselves: no hashes, no fingerprints.
 ORACLE_SQL = """
 WITH l AS (
-  SELECT doc_id, i - 1 AS i, line, ('0x' || substr(md5(line), 1, 15))::BIGINT AS h
+  SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
                generate_subscripts(string_split(text, chr(10)), 1) AS i
         FROM documents WHERE text IS NOT NULL)),
-grams AS (
-  SELECT doc_id, i, ('0x' || substr(md5(h || ',' || h2), 1, 15))::BIGINT AS g
-  FROM (SELECT doc_id, i, h, lead(h) OVER (PARTITION BY doc_id ORDER BY i) AS h2 FROM l)
-  WHERE h2 IS NOT NULL),
-windows AS (
-  SELECT doc_id, i, g, lead(g) OVER w AS g2, count(*) OVER (PARTITION BY doc_id) AS n
-  FROM grams WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-fingerprints AS (
-  SELECT DISTINCT doc_id, CASE WHEN g2 IS NULL OR g < g2 THEN i ELSE i + 1 END AS place,
-         CASE WHEN g2 IS NULL OR g < g2 THEN g ELSE g2 END AS g
-  FROM windows WHERE g2 IS NOT NULL OR n = 1),
-lagged AS (
-  SELECT g, doc_id, place, lag(place) OVER (PARTITION BY g, doc_id ORDER BY place) AS earlier,
-         first_value(doc_id) OVER f AS doc0, first_value(place) OVER f AS place0
-  FROM fingerprints WINDOW f AS (PARTITION BY g ORDER BY doc_id, place)),
-aligned AS (
-  SELECT DISTINCT doc_id, doc_id AS doc0, earlier - place AS shift FROM lagged WHERE earlier IS NOT NULL
-  UNION
-  SELECT DISTINCT doc_id, doc0, place0 - place AS shift FROM lagged WHERE earlier IS NULL AND doc0 <> doc_id),
-equal AS (
-  SELECT a.doc_id, a.doc0, a.shift, x.i
-  FROM aligned a JOIN l x ON x.doc_id = a.doc_id
-  JOIN l y ON y.doc_id = a.doc0 AND y.i = x.i + a.shift AND y.h = x.h),
-near AS (
-  SELECT doc_id, i, lag(i) OVER w AS prev, lead(i) OVER w AS next
-  FROM equal WINDOW w AS (PARTITION BY doc_id, doc0, shift ORDER BY i)),
-gone AS (SELECT DISTINCT doc_id, i FROM near WHERE prev = i - 1 OR next = i + 1),
+later AS (
+  SELECT doc_id, i FROM l WHERE next IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY line, next ORDER BY doc_id, i) > 1),
+gone AS (SELECT doc_id, i FROM later UNION SELECT doc_id, i + 1 FROM later),
 kept AS (
   SELECT l.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed,
          coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE gone.i IS NULL), '') AS kept

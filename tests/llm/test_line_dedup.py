@@ -28,39 +28,63 @@ def test_against_sql(spark, tmp_path):
     assert by_doc[n - 1][2] == 11
 
 
-def test_runs_of_guaranteed_length_go(spark, tmp_path):
-    """Every run of gram + window - 1 = 3 lines that stands earlier loses lines, and the first copy stays."""
-    texts = ["\n".join(f"{k}-{j}" for j in range(k, k + 9)) for k in range(5)] * 2
-    got = check(spark, texts, tmp_path)
-    assert [r[2] for r in got] == [0] * 5 + [9] * 5
-
-
 def test_empty_table(spark, tmp_path):
     assert check(spark, [], tmp_path) == []
 
 
-def brute(texts):
+def brute(texts, run=2):
+    """Every line of every run of ``run`` lines that stands at an earlier place goes."""
     seen, out = set(), []
     for t in texts:
         lines = t.split("\n")
         gone = set()
-        for i, pair in enumerate(zip(lines, lines[1:])):
-            gone.update((i, i + 1) if pair in seen else ())
-            seen.add(pair)
+        for i in range(len(lines) - run + 1):
+            window = tuple(lines[i : i + run])
+            gone.update(range(i, i + run) if window in seen else ())
+            seen.add(window)
         out.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
     return out
 
 
-def test_pipeline_stage_drops_every_repeated_run(spark):
-    """Runs of two lines, and a run whose first place is shorter than a later one."""
-    texts = ["a\nb", "x\na\nb\nc\nd", "a\nb\nc\nd\ny", "b\nb\nb\nb", "", "e", "e"]
+def cases():
+    """Runs of two lines, a run whose first place is shorter than a later one, and lines that most documents have."""
+    texts = ["a\nb", "x\na\nb\nc\nd", "a\nb\nc\nd\ny", "b\nb\nb\nb", "", "e", "e", "c\nb\na"]
     rng = random.Random(3)
-    for k in range(200):
+    for k in range(300):
         u = f"u{rng.randrange(60)}"
         texts.append("\n".join([f"{k}", u, f"{u}'", f"{k}'", *(rng.choice("pqrst") for _ in range(rng.randint(0, 12)))]))
+    return texts
+
+
+def frame(spark, texts):
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
-    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.repeated_lines(spark, df, "").collect())
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+def test_every_repeated_run_goes(spark):
+    texts = cases()
+    for run in (2, 3):
+        got = sorted((r.doc_id, r.kept) for r in line_dedup.drop_repeated_runs(frame(spark, texts), run).collect())
+        assert got == list(enumerate(brute(texts, run)))
+
+
+def test_pipeline_stage_drops_every_repeated_run(spark):
+    texts = cases()
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.repeated_lines(spark, frame(spark, texts), "").collect())
     assert got == list(enumerate(brute(texts)))
-    winnowed = {r.doc_id: r.kept for r in line_dedup.drop_repeated_runs(df).collect()}
-    assert any(len(winnowed[i]) > len(t) for i, t in got)  # what the winnowed rules leave
+
+
+def test_repeated_rows_null_ids_and_clashing_columns(spark):
+    rows = [(1, "a\nb", "k"), (1, "a\nb", "k"), (None, "z\na\nb", "k"), (None, None, "k"), (1, "a\nb\nc", "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string").withColumn("n_lines", df_col())
+    got = {(r.doc_id, r.text, r.kept, r.n_lines, r.n_removed) for r in line_dedup.drop_repeated_runs(df).collect()}
+    assert len(line_dedup.drop_repeated_runs(df).collect()) == 5
+    # null ids come first, so their run stays; equal rows share one result
+    assert (None, "z\na\nb", "z\na\nb", 3, 0) in got and (None, None, None, 0, 0) in got
+    assert (1, "a\nb", "", 2, 2) in got and (1, "a\nb\nc", "c", 3, 2) in got
+
+
+def df_col():
+    from pyspark.sql import functions as F
+
+    return F.lit("mine")
