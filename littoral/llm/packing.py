@@ -20,11 +20,16 @@ _ENCODERS: dict[str, CachedEncoder] = {}
 
 
 def _encoder(path: str) -> CachedEncoder:
-    """By the tokenizers library: its BPE model encodes each match of the byte-level pattern by itself."""
+    """The tokenizers library's ids: texts are split at the file's added tokens, which have ids of their own, then by the
+    byte-level pattern, each match of which the library's BPE model encodes by itself."""
     if path not in _ENCODERS:
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path).model
+        whole = Tokenizer.from_file(path)
+        model, added = whole.model, whole.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("added tokens that depend on what stands about them are not supported")
+        ids_of = {t.content: i.to_bytes(4, "little") for i, t in added.items()}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = {b: chr(b) for b in printable}
         shown |= {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in shown)}
@@ -33,7 +38,7 @@ def _encoder(path: str) -> CachedEncoder:
         def encode_words(words: list[str]) -> list[bytes]:
             return [array("I", [t.id for t in model.tokenize(w.encode().decode("latin-1").translate(table))]).tobytes() for w in words]
 
-        _ENCODERS[path] = CachedEncoder(public_tokenizers.PATTERN, encode_words)
+        _ENCODERS[path] = CachedEncoder(public_tokenizers.PATTERN, encode_words, added=ids_of)
     return _ENCODERS[path]
 
 
@@ -101,15 +106,15 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def pack(items: DataFrame, capacity: int = 1024, slack: int = 4, per_task: int = 100_000, fan_in: int = 8) -> DataFrame:
+def pack(items: DataFrame, capacity: int = 1024, per_task: int = 100_000, fan_in: int = 8) -> DataFrame:
     """Items (any columns, with ``length`` from 1 to ``capacity``) to sequences: adds sequence_id and offset.
 
     The items are checkpointed first: whatever made them isn't run beside the packing. Round 0 packs each partition's
-    items best-fit where they lie. Bins with at most ``slack`` places left are done;
-    the others travel, with their contents, as items of the next round, in which ``fan_in`` partitions are packed as
-    one. No task gets more than about ``per_task`` items. The rounds end with a single partition, or once a round
-    joins less than one bin in 200: bins that are all over half full can't be joined by anyone. Each round is
-    checkpointed, so that ids stay fixed when executors are lost. Columns named sequence_id and offset are replaced.
+    items best-fit where they lie. Bins that can't be joined with the emptiest bin of all are done; the others travel,
+    with their contents, as items of the next round, in which ``fan_in`` partitions are packed as one. A round leaves at
+    most one bin that isn't over half full for each ``per_task`` items, so the rounds end soon: when no two bins can be
+    joined any more, or when as many partitions as before joined none. Each round is checkpointed, so that ids stay fixed when executors are lost. Equal items are items
+    of their own. Columns named sequence_id and offset are replaced.
     """
     items = cut(items.drop("sequence_id", "offset"))
     fields = T.StructType([*(T.StructField(f.name, f.dataType) for f in items.schema), T.StructField("offset", T.LongType())])
@@ -157,22 +162,18 @@ def pack(items: DataFrame, capacity: int = 1024, slack: int = 4, per_task: int =
 
     result = cut(bins.mapInArrow(packed(0), schema))
     parts, level, done = max(1, result.rdd.getNumPartitions()), 0, []
-    full = F.col("fill") >= capacity - slack
     while True:
-        done.append(result.filter(full))
-        rest = result.filter(~full)
-        left = rest.count()
-        if parts == 1 or left < 2:
+        least = [r.fill for r in result.orderBy("fill").select("fill").limit(2).collect()]
+        if len(least) < 2 or sum(least) > capacity:
             break
+        joinable = F.col("fill") <= capacity - least[0]
+        done.append(result.filter(~joinable))
+        rest = result.filter(joinable)
+        left, before = rest.count(), parts
         parts, level = max(-(-parts // fan_in), -(-left // per_task)), level + 1
-        merged = cut(rest.select("fill", "contents").repartition(parts).mapInArrow(packed(level), schema))
-        after = merged.count()
-        result = merged
-        if left - after < left / 200 and parts > 1:
-            rest = merged.filter(~full)
-            done.append(merged.filter(full))
+        result = cut(rest.select("fill", "contents").repartition(parts).mapInArrow(packed(level), schema))
+        if parts == before and result.count() == left:
             break
-    out = rest
     for d in done:
-        out = out.unionByName(d)
-    return out.select("sequence_id", F.inline("contents"))
+        result = result.unionByName(d)
+    return result.select("sequence_id", F.inline("contents"))

@@ -26,19 +26,30 @@ class CachedEncoder:
 
     ``encode_words`` gets distinct pattern matches that are not cached and returns the bytes of each. The cache has two
     generations of about ``max_entries`` at most, which bounds a worker's memory: when the younger is full it becomes
-    the older, and what is met again comes back from there.
+    the older, and what is met again comes back from there. ``added`` are tokens that are found in texts before the
+    pattern is applied, with the bytes of their ids.
     """
 
-    def __init__(self, pattern: str, encode_words: Callable[[list[str]], list[bytes]], max_entries: int = 200_000):
+    def __init__(self, pattern: str, encode_words: Callable[[list[str]], list[bytes]], max_entries: int = 200_000, added: dict[str, bytes] | None = None):
         full = regex.compile(pattern).findall
         self.findall = (lambda t: full(t) if _OTHER(t) else _PLAIN(t)) if pattern == public_tokenizers.PATTERN else full
-        self.encode_words, self.max_entries = encode_words, max_entries
+        self.encode_words, self.max_entries, self.added = encode_words, max_entries, added or {}
+        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
         self.clear()
 
     def clear(self) -> None:
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def split(self, text: str) -> list[str]:
+        """The text's added tokens, each whole, and the pattern's matches in what lies between them."""
+        if not any(a in text for a in self.added):
+            return self.findall(text)
+        out: list[str] = []
+        for i, part in enumerate(self.parts(text)):
+            out += [part] if i % 2 else self.findall(part)
+        return out
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         begin = chars = 0
         for i, text in enumerate(texts):
@@ -48,7 +59,7 @@ class CachedEncoder:
                 begin, chars = i + 1, 0
 
     def _slice(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.findall(text or "") for text in texts]
+        split = [self.split(text or "") for text in texts]
         new: set[str] = set()
         for words in split:
             new.update(words)
@@ -58,6 +69,7 @@ class CachedEncoder:
         missing = list(set(missing).difference(known)) if known else missing
         if missing:
             self.words.update(zip(missing, self.encode_words(missing)))
+            self.words.update(self.added)
         get = self.words.__getitem__
         out = [b"".join(map(get, words)) for words in split]
         if len(self.words) > self.max_entries:
