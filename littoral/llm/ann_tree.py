@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .vectors import best, bucketwise, clean, deal, dealt, matrix, merge, partial, sampled, spread
+from .vectors import best, bucketwise, clean, deal, dealt, matrix, merge, partial, partial_type, sampled, spread
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -87,57 +87,56 @@ def grow(sample: np.ndarray, leaves: int, branching: int = 8, seed: int = 11) ->
     return Tree(np.array(centres), children, leaf, len(ends))
 
 
-def exact(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
+def exact(rows: DataFrame, rids: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
     """Brute force for a few queries held by every task: query_id, rank, vec_id, score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(ids)
         for b in batches:
-            own, x = b.column("vec_id").to_numpy(), matrix(b.column("v"))
+            own, number, x = b.column("vec_id").to_numpy(), b.column("rid").to_numpy(), matrix(b.column("v"))
             s = queries @ x.T
             for i in range(len(ids)):
-                there = own != ids[i]
+                there = number != rids[i]
                 a, c = np.concatenate((held[i][0], own[there])), np.concatenate((held[i][1], s[i][there]))
                 j = best(a, c, k)
                 held[i] = a[j], c[j]
-        yield partial(ids.tolist(), [h[0] for h in held], [h[1] for h in held])
+        yield partial(rids.tolist(), ids.tolist(), [h[0] for h in held], [h[1] for h in held])
 
-    from .vectors import PARTIAL
+    return merge(rows.mapInArrow(run, partial_type("double")).filter(F.size("ids") > 0), k, "double")
 
-    return merge(rows.mapInArrow(run, PARTIAL).filter(F.size("ids") > 0), k)
 
+def search(table: DataFrame, asking: str, k: int = 20, recall: float = 0.96, rows_per_leaf: int = 256, fit_rows: int = 20_000, calibration: int = 200, per_bucket: int = 16_384) -> tuple[DataFrame, dict]:
+    """The k other rows of ``table`` (vec_id, embedding) with the largest inner product, for each row that meets the
+    condition ``asking``: query_id, rank, vec_id, score; and what was calibrated.
 
-def search(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.96, rows_per_leaf: int = 256, max_leaves: int = 4096, fit_rows: int = 20_000, calibration: int = 200, per_bucket: int = 16_384) -> tuple[DataFrame, dict]:
-    """The k rows of ``table`` (vec_id, embedding) with the largest inner product, for each row of ``queries`` (rows of
-    the table too): query_id, rank, vec_id, score; and what was calibrated.
-
-    The tree is grown on about ``fit_rows`` rows; every row is indexed. Leaf visits are calibrated on about
+    The tree is grown on about ``fit_rows`` rows, four or more to a leaf, so beyond ``rows_per_leaf`` * ``fit_rows`` / 4
+    rows its leaves grow with the table; every row is indexed. Leaf visits are calibrated on about
     ``calibration`` queries whose true neighbours are found by brute force: they are widened until these queries' mean
     recall reaches ``recall``. A query visits more leaves while those seen hold too few rows for k answers. Rows go to
     buckets of about ``per_bucket``, a crowded leaf to several, and a query goes once to each bucket that it visits.
     Scores are double-precision products of the original vectors; ties go to the smaller vec_id. See clean() for what
-    takes no part and for repeated ids. Empty tables give no rows.
+    takes no part, for vectors of several lengths and for repeated ids. Empty tables give no rows.
     """
     spark = table.sparkSession
-    rows = cut(clean(table, drop_zero=True))
-    asked = cut(clean(queries, drop_zero=True))
+    rows = clean(table, asking, drop_zero=True)
+    asked = rows.filter("asks")
     total, n_asked = rows.count(), asked.count()
     if not total or not n_asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double"), {"recall": 1.0, "visits": 0, "leaves": 0}
-    tree = grow(sampled(rows, "tree", fit_rows, total)[1], min(max_leaves, max(1, total // rows_per_leaf)))
+    tree = grow(sampled(rows, "tree", fit_rows, total)[2], min(fit_rows // 4, max(1, total // rows_per_leaf)))
     held = spark.sparkContext.broadcast(tree)
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = held.value.leaf_of(matrix(b.column("v"))) if b.num_rows else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(got)], ["vec_id", "v", "leaf"])
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("vec_id"), b.column("v"), pa.array(got)], ["rid", "vec_id", "v", "leaf"])
 
-    indexed = cut(rows.mapInArrow(leaves, "vec_id long, v array<double>, leaf long"))
-    counted = {r.leaf: r.n for r in indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # at most max_leaves
+    indexed = cut(rows.mapInArrow(leaves, "rid long, vec_id long, v array<double>, leaf long"))
+    counted = {r.leaf: r.n for r in indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # one row for each leaf
     counts = np.array([counted.get(i, 0) for i in range(tree.leaves)])
 
-    ids, vectors = sampled(asked, "calibration", calibration, n_asked)
-    truth = exact(rows, ids, vectors, k).select("query_id", "vec_id").join(indexed.select("vec_id", "leaf"), "vec_id")
+    rids, ids, vectors = sampled(asked, "calibration", calibration, n_asked)
+    truth = exact(rows, rids, ids, vectors, k).select("query_id", "vec_id").join(indexed.select("vec_id", "leaf"), "vec_id")
     where: dict[int, list[int]] = {}
     for r in truth.select("query_id", "leaf").collect():  # at most calibration * k
         where.setdefault(r.query_id, []).append(r.leaf)
@@ -166,7 +165,7 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.
         return out
 
     def work(points: dict, asking: dict) -> Iterator[pa.RecordBatch]:
-        x, own = points["v"], points["id"]
+        x, own, number = points["v"], points["id"], points["rid"]
         leaf = np.array([c[0] for c in points["cells"]])
         q, q_ids = asking["v"], asking["id"]
         open_to = np.zeros((len(q), int(leaf.max()) + 1), dtype=bool)
@@ -174,7 +173,7 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.
             open_to[i, [c for c in cells if c < open_to.shape[1]]] = True
         s = q @ x.T
         s[~open_to[:, leaf]] = -np.inf
-        s[q_ids[:, None] == own[None, :]] = -np.inf
+        s[asking["rid"][:, None] == number[None, :]] = -np.inf
         got_ids, got_scores = [], []
         for i in range(len(q)):
             row = s[i]
@@ -187,7 +186,7 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.
             j = best(own[at], exactly, k)
             got_ids.append(own[at][j])
             got_scores.append(exactly[j])
-        yield partial(q_ids.tolist(), got_ids, got_scores)
+        yield partial(asking["rid"].tolist(), q_ids.tolist(), got_ids, got_scores)
 
     both = dealt(rows, 0, place_point).unionByName(dealt(asked, 1, place_query))
-    return merge(bucketwise(both, work), k), {"recall": float(shares[visits - 1]), "visits": visits, "leaves": tree.leaves}
+    return merge(bucketwise(both, work, "double"), k, "double"), {"recall": float(shares[visits - 1]), "visits": visits, "leaves": tree.leaves}

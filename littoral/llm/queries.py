@@ -59,17 +59,16 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(documents(spark, sf_dir))
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    return table, table.filter("vec_id % 20 = 0")
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
 
 
 def op3_kmeans_tree_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann_tree.search(*_vectors(spark, sf_dir))[0]
+    return ann_tree.search(_vectors(spark, sf_dir), "vec_id % 20 = 0")[0]
 
 
 def op10_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mtree.search(*_vectors(spark, sf_dir))
+    return mtree.search(_vectors(spark, sf_dir), "vec_id % 20 = 0")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,21 +10,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import cut, draw, partitions
 
 
-def clean(table: DataFrame, drop_zero: bool) -> DataFrame:
-    """vec_id, v array<double>: rows that take part. Left out: null ids and vectors, null or non-finite components, zero
-    vectors if ``drop_zero``, and vectors whose dimension isn't the most frequent one. Of rows that share an id the
-    vector that sorts first counts."""
+def clean(table: DataFrame, asking: str, drop_zero: bool) -> DataFrame:
+    """rid, vec_id, v array<double>, asks: the rows of table (vec_id, embedding, others) that take part, checkpointed.
+
+    Left out: null ids and vectors, empty vectors, null or non-finite components, and zero vectors if ``drop_zero``. A
+    vector shorter than the longest one counts as filled up with zeros. Rows that share an id are rows of their own
+    (rid tells them apart), even if they are equal. ``asking`` is the condition that makes a row a query too.
+    """
     v = F.col("embedding").cast("array<double>")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = table.select("vec_id", v.alias("v")).filter("vec_id is not null and v is not null and size(v) > 0").filter(~bad)
+    rows = table.select("vec_id", v.alias("v"), F.coalesce(F.expr(asking), F.lit(False)).alias("asks"))
+    rows = rows.filter("vec_id is not null and v is not null and size(v) > 0").filter(~bad)
     if drop_zero:
         rows = rows.filter(F.exists("v", lambda x: x != 0))
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    usual = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    return rows.filter(F.size("v") == (usual.d if usual else 0))
+    rows = cut(rows.select(F.monotonically_increasing_id().alias("rid"), "vec_id", "v", "asks"))
+    size = F.size("v")
+    widest = rows.agg(F.max(size)).first()[0] or 0
+    return rows.withColumn("v", F.when(size < widest, F.concat("v", F.array_repeat(F.lit(0.0), widest - size))).otherwise(F.col("v")))
 
 
 def matrix(column: pa.ListArray) -> np.ndarray:
@@ -62,17 +67,20 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-PARTIAL = "query_id long, ids array<long>, scores array<double>"
+def partial_type(score: str) -> str:
+    return f"rid long, query_id long, ids array<long>, scores array<{score}>"
 
 
-def partial(query_ids: list[int], ids: list[np.ndarray], scores: list[np.ndarray]) -> pa.RecordBatch:
+def partial(rids: list[int], query_ids: list[int], ids: list[np.ndarray], scores: list[np.ndarray]) -> pa.RecordBatch:
+    """A bucket's best rows of each query; a query is known by its rid, which its id may not be enough for."""
     ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x) if x else np.zeros(0), t)) for x, t in ((ids, pa.int64()), (scores, pa.float64()))]
-    return pa.RecordBatch.from_arrays([pa.array(query_ids, pa.int64()), *lists], ["query_id", "ids", "scores"])
+    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x))) for x in (ids, scores)]
+    return pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(query_ids, pa.int64()), *lists], ["rid", "query_id", "ids", "scores"])
 
 
-def merge(partials: DataFrame, k: int) -> DataFrame:
+def merge(partials: DataFrame, k: int, score: str) -> DataFrame:
     """Top lists of each query, one row for each bucket, to query_id, rank, vec_id, score."""
+    kind = pa.int64() if score == "long" else pa.float64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, scores, out = None, [], [], []
@@ -80,16 +88,16 @@ def merge(partials: DataFrame, k: int) -> DataFrame:
         def finish() -> None:
             i, s = np.concatenate(ids), np.concatenate(scores)
             for rank, j in enumerate(best(i, s, k), 1):
-                out.append((key, rank, int(i[j]), float(s[j])))
+                out.append((key[1], rank, i[j].item(), s[j].item()))
 
         for batch in batches:
-            for q, i, s in zip(*(batch.column(c).to_pylist() for c in ("query_id", "ids", "scores"))):
-                if q != key:
+            for r, q, i, s in zip(*(batch.column(c).to_pylist() for c in ("rid", "query_id", "ids", "scores"))):
+                if (r, q) != key:
                     if ids:
                         finish()
-                    key, ids, scores = q, [], []
+                    key, ids, scores = (r, q), [], []
                 ids.append(np.array(i, dtype=np.int64))
-                scores.append(np.array(s))
+                scores.append(np.array(s, dtype=kind.to_pandas_dtype()))
                 if len(ids) > 64:  # what can't be among the best goes now
                     a, b = np.concatenate(ids), np.concatenate(scores)
                     j = best(a, b, k)
@@ -98,14 +106,14 @@ def merge(partials: DataFrame, k: int) -> DataFrame:
             finish()
         for n in range(0, len(out), 20_000):
             columns = zip(*out[n : n + 20_000])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], ["query_id", "rank", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), kind))], ["query_id", "rank", "vec_id", "score"])
 
-    ordered = partials.repartition(partitions(partials.sparkSession), "query_id").sortWithinPartitions("query_id")
-    return ordered.mapInArrow(run, "query_id long, rank int, vec_id long, score double")
+    ordered = partials.repartition(partitions(partials.sparkSession), "rid").sortWithinPartitions("rid")
+    return ordered.mapInArrow(run, f"query_id long, rank int, vec_id long, score {score}")
 
 
-def bucketwise(rows: DataFrame, work: Callable[[dict[str, np.ndarray], dict[str, list]], Iterator[pa.RecordBatch]], query_block: int = 1024) -> DataFrame:
-    """Runs work(points, queries) for each bucket of rows (bucket, kind 0 for points or 1 for queries, id, v, cells):
+def bucketwise(rows: DataFrame, work: Callable[[dict[str, np.ndarray], dict[str, list]], Iterator[pa.RecordBatch]], score: str, query_block: int = 1024) -> DataFrame:
+    """Runs work(points, queries) for each bucket of rows (bucket, kind 0 for points or 1 for queries, rid, id, v, cells):
     a bucket's points come first and are held; its queries follow in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,9 +124,9 @@ def bucketwise(rows: DataFrame, work: Callable[[dict[str, np.ndarray], dict[str,
             nonlocal state
             if waiting and points:
                 if state is None:
-                    state = {"id": np.concatenate([p.column("id").to_numpy() for p in points]), "v": np.concatenate([matrix(p.column("v")) for p in points]), "cells": [c for p in points for c in p.column("cells").to_pylist()]}
+                    state = {**{c: np.concatenate([p.column(c).to_numpy() for p in points]) for c in ("rid", "id")}, "v": np.concatenate([matrix(p.column("v")) for p in points]), "cells": [c for p in points for c in p.column("cells").to_pylist()]}
                 t = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
-                yield from work(state, {"id": t.column("id").to_numpy(), "v": matrix(t.column("v")), "cells": t.column("cells").to_pylist()})
+                yield from work(state, {"rid": t.column("rid").to_numpy(), "id": t.column("id").to_numpy(), "v": matrix(t.column("v")), "cells": t.column("cells").to_pylist()})
             waiting.clear()
 
         for batch in batches:
@@ -142,33 +150,32 @@ def bucketwise(rows: DataFrame, work: Callable[[dict[str, np.ndarray], dict[str,
         yield from flush()
 
     spark = rows.sparkSession
-    return rows.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, PARTIAL)
+    return rows.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, partial_type(score))
 
 
 def dealt(rows: DataFrame, kind: int, place: Callable[[np.ndarray, np.ndarray], list[dict[int, list[int]]]]) -> DataFrame:
-    """(vec_id, v) to rows for bucketwise(): place(ids, vectors) gives for each row its buckets and the cells meant there."""
+    """(rid, vec_id, v) to rows for bucketwise(): place(rids, vectors) gives for each row its buckets and the cells meant there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 b = whole.slice(k, 512)
-                ids, column = b.column("vec_id").to_numpy(), b.column("v")
-                where = place(ids, matrix(column))
-                index = np.repeat(np.arange(len(ids)), [len(w) for w in where])
+                rids, column = b.column("rid").to_numpy(), b.column("v")
+                where = place(rids, matrix(column))
+                index = np.repeat(np.arange(len(rids)), [len(w) for w in where])
                 if len(index):
                     buckets = [x for w in where for x in w]
                     cells = [c for w in where for c in w.values()]
-                    columns = [pa.array(buckets, pa.int64()), pa.array(np.full(len(index), kind)), pa.array(ids[index]), column.take(pa.array(index)), pa.array(cells, pa.list_(pa.int64()))]
-                    yield pa.RecordBatch.from_arrays(columns, ["bucket", "kind", "id", "v", "cells"])
+                    columns = [pa.array(buckets, pa.int64()), pa.array(np.full(len(index), kind)), pa.array(rids[index]), b.column("vec_id").take(pa.array(index)), column.take(pa.array(index)), pa.array(cells, pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["bucket", "kind", "rid", "id", "v", "cells"])
 
-    return rows.mapInArrow(run, "bucket long, kind long, id long, v array<double>, cells array<long>")
+    return rows.mapInArrow(run, "bucket long, kind long, rid long, id long, v array<double>, cells array<long>")
 
 
-def sampled(rows: DataFrame, name: str, at_most: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """About ``at_most`` rows, those with the lowest hash: ids and vectors, on the driver."""
-    draw = F.pmod(F.xxhash64(F.lit(name), "vec_id"), F.lit(1_000_000)) / 1e6
-    got = rows.filter(draw < min(1.0, at_most / max(1, total))).orderBy("vec_id").toArrow()
+def sampled(rows: DataFrame, name: str, at_most: int, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """About ``at_most`` rows, those with the lowest hash: rids, ids and vectors, on the driver."""
+    got = rows.filter(draw(name, "rid") < min(1.0, at_most / max(1, total))).orderBy("rid").toArrow()
     if not got.num_rows:
-        got = rows.orderBy("vec_id").limit(1).toArrow()
+        got = rows.orderBy("rid").limit(1).toArrow()
     column = got.column("v").combine_chunks()
-    return got.column("vec_id").to_numpy(), matrix(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column)
+    return got.column("rid").to_numpy(), got.column("vec_id").to_numpy(), matrix(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column)

@@ -49,7 +49,8 @@ def test_mtree_prunes():
     x = np.floor(64 * (rng.normal(size=(30, 8))[rng.integers(0, 30, 20_000)] * 3 + rng.normal(size=(20_000, 8)) * 0.05))
     q = x[:50]
     root = mtree.bulk_load(x, np.arange(len(x)))
-    ids, scores, done = mtree.search_pages(root, x, np.arange(len(x)), q, np.arange(50), np.full(50, -np.inf), 20)
+    every, first = np.arange(len(x)), np.arange(50)
+    ids, scores, done = mtree.search_pages(root, x, {"rid": every, "id": every}, {"rid": first, "id": first, "v": q}, np.full(50, -np.inf), 20)
     for i in range(50):
         s = x @ q[i]
         s[i] = -np.inf
@@ -85,8 +86,70 @@ def test_ann_few_and_empty(spark, tmp_path):
 
 def test_recall_on_given_vectors(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    got, info = ann_tree.search(table, table.filter("vec_id % 20 = 0"))
+    got, info = ann_tree.search(table, "vec_id % 20 = 0")
     rows = [(r.vec_id, r.embedding, 0) for r in table.collect()]
     want = {(q, i) for q, _, i, _ in brute(rows, lambda v: v, False)}
     assert len({(r.query_id, r.vec_id) for r in got.collect()} & want) / len(want) >= 0.9
     assert info["visits"] <= info["leaves"]
+
+
+def test_mtree_ties_of_small_integers():
+    """Vectors full of ties, with the exact last score as floor: 300 seeds, each against brute force."""
+    for seed in range(300):
+        rng = np.random.default_rng(seed)
+        n, k = 400, int(rng.integers(1, 25))
+        x = rng.integers(-2, 3, (n, 3)).astype(float)
+        ids = rng.permutation(n)
+        root = mtree.bulk_load(x, np.arange(n), capacity=int(rng.integers(2, 64)), fan_out=4)
+        at = rng.choice(n, 4, replace=False)
+        s = (x[at] @ x.T).astype(np.int64)
+        s[np.arange(4), at] = -1000
+        want = [np.lexsort((ids, -row))[:k] for row in s]
+        floor = np.array([row[w[-1]] for row, w in zip(s, want)])
+        got, scores, _ = mtree.search_pages(root, x, {"rid": np.arange(n), "id": ids}, {"rid": at, "id": ids[at], "v": x[at]}, floor, k)
+        for i in range(4):
+            assert got[i].tolist() == ids[want[i]].tolist() and scores[i].tolist() == s[i][want[i]].tolist(), seed
+
+
+def several(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(a) for a in rng.normal(size=2 + i % 3)], 1, 2) for i in range(200)]
+    rows += [(20, [5.0, 5.0], 1, 2), (20, [5.0, 5.0], 1, 2), (21, [4.0, 4.0, 1.0], 1, 2), (None, [9.0, 9.0], 1, 2), (22, [], 1, 2)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>, rid int, asks int").repartition(3), [(i, np.array([*v, *[0.0] * (4 - len(v))])) for i, v, *_ in rows if v and i is not None]
+
+
+def brute_rows(rows, measure):
+    out = []
+    for n, (q, v) in enumerate(rows):
+        if q % 20 == 0:
+            scored = sorted((-float(measure(v) @ measure(w)), i) for m, (i, w) in enumerate(rows) if m != n)[:20]
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
+    return sorted(out)
+
+
+def test_repeated_ids_several_lengths_and_clashing_columns(spark):
+    table, rows = several(spark)
+    got = sorted((r.query_id, r.rank, r.vec_id, float(r.score)) for r in mtree.search(table, "vec_id % 20 = 0").collect())
+    assert got == brute_rows(rows, lambda v: np.floor(64 * v))
+    found, _ = ann_tree.search(table, "vec_id % 20 = 0", recall=1.0)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found.collect())
+    want = brute_rows(rows, lambda v: v)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want])
+
+
+def test_large_components(spark):
+    """Sums beyond 2**53 stay exact; scores beyond a long are an error."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(a) for a in rng.integers(-(10**6), 10**6, 3) + rng.integers(0, 64, 3) / 64]) for i in range(120)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, mtree.search(table, "vec_id % 20 = 0").collect()))
+    whole = {i: [int(np.floor(64 * a)) for a in v] for i, v in rows}
+    want = []
+    for q in range(0, 120, 20):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], w)), i) for i, w in whole.items() if i != q)[:20]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
+    assert got == sorted(want)
+    import pytest
+
+    with pytest.raises(ValueError):
+        mtree.search(spark.createDataFrame([(20, [1e300, 1.0])], "vec_id long, embedding array<double>"), "vec_id % 20 = 0")
