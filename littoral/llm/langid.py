@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, draw
 
-#: Pieces longer than MAX_PIECE are left out; runs of letters are scored in blocks of at most MAX_RUN letters, which keeps
-#: products of probabilities within a double. UNKNOWN is the probability of a character that is no piece.
-MAX_PIECE, MAX_RUN, UNKNOWN, FLOOR = 8, 32, 1e-8, 1e-8
+#: UNKNOWN is the probability of a character that is no piece. A word of more than SHORT letters is summed in logarithms,
+#: since products of so many probabilities leave a double's range.
+SHORT, UNKNOWN, FLOOR = 30, 1e-8, 1e-8
 WORD_START = "▁"
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -42,8 +42,8 @@ class Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
         found = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-        self.pieces = sorted({p for p in found if len(p) <= MAX_PIECE and p == p.lower()})
-        self.n = len(self.pieces)
+        self.pieces = sorted(set(found))
+        self.n, self.longest = len(self.pieces), max(map(len, self.pieces))
         hashes = np.zeros(self.n, dtype=np.uint64)
         with np.errstate(over="ignore"):
             for i, piece in enumerate(self.pieces):
@@ -54,16 +54,22 @@ class Pieces:
                 hashes[i] = h[0, 0]
         self.order = np.argsort(hashes)
         self.sorted = hashes[self.order]
+        self.seen = np.zeros(1 << 20, dtype=bool)  # by the hash's upper bits: most substrings are no piece and end here
+        self.seen[hashes >> np.uint64(44)] = True
         assert len(np.unique(hashes)) == self.n
 
     def spans(self, codes: np.ndarray) -> list[np.ndarray]:
         """For each length from 1: the piece's number at each start."""
         out, h = [], None
         with np.errstate(over="ignore"):
-            for length in range(1, min(MAX_PIECE, codes.shape[1]) + 1):
+            for length in range(1, min(self.longest, codes.shape[1]) + 1):
                 h = _fold(codes, length, h)
-                at = np.minimum(np.searchsorted(self.sorted, h), self.n - 1)
-                out.append(np.where(self.sorted[at] == h, self.order[at], self.n))
+                numbers = np.full(h.shape, self.n)
+                maybe = self.seen[h >> np.uint64(44)]
+                some = h[maybe]
+                at = np.minimum(np.searchsorted(self.sorted, some), self.n - 1)
+                numbers[maybe] = np.where(self.sorted[at] == some, self.order[at], self.n)
+                out.append(numbers)
         return out
 
 
@@ -76,55 +82,78 @@ def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, np.frombuffer(joined.encode("utf-32-le"), dtype="<u4").reshape(len(at), n + 1).astype(np.uint64)
 
 
-def forward(spans: list[np.ndarray], probability) -> list[np.ndarray]:
-    """alpha[t]: summed probability of all segmentations of the first t characters. probability(numbers, length)."""
-    width = spans[0].shape[1]
-    first = probability(spans[0][:, 0], 1)
-    alpha = [np.ones_like(first)]
-    for t in range(1, width + 1):
-        total = alpha[t - 1] * (first if t == 1 else probability(spans[0][:, t - 1], 1))
-        for length in range(2, min(len(spans), t) + 1):
-            total = total + alpha[t - length] * probability(spans[length - 1][:, t - length], length)
-        alpha.append(total)
+def _matches(spans: list[np.ndarray], n: int) -> list[list[tuple[int, np.ndarray | None, np.ndarray]]]:
+    """For each start: (length, words, pieces) of the pieces that stand there in any word; words is None for all of them,
+    as it is for single characters, which stand for themselves when they are no piece."""
+    out: list[list[tuple[int, np.ndarray | None, np.ndarray]]] = []
+    for t in range(spans[0].shape[1]):
+        here = [(1, None, spans[0][:, t])]
+        for length in range(2, len(spans) + 1):
+            if t < spans[length - 1].shape[1]:
+                numbers = spans[length - 1][:, t]
+                words = np.flatnonzero(numbers < n)
+                if len(words):
+                    here.append((length, words, numbers[words]))
+        out.append(here)
+    return out
+
+
+def forward(matches: list, p, logs: bool) -> list[np.ndarray]:
+    """alpha[t]: summed probability of all segmentations of the first t characters, or its logarithm. p(words, numbers)
+    is the pieces' probability (or logarithm) in those words."""
+    first = p(None, matches[0][0][2])
+    alpha = [np.full(first.shape, -np.inf if logs else 0.0) for _ in range(len(matches) + 1)]
+    alpha[0][:] = 0.0 if logs else 1.0
+    for t, here in enumerate(matches):
+        for length, words, numbers in here:
+            value, to = p(words, numbers), alpha[t + length]
+            at = slice(None) if words is None else words
+            to[at] = np.logaddexp(to[at], alpha[t][at] + value) if logs else to[at] + alpha[t][at] * value
     return alpha
 
 
 def log_likelihoods(words: list[str], pieces: Pieces, table: np.ndarray) -> np.ndarray:
-    """Log of the marginal probability of each word (at most MAX_RUN letters) under each language."""
-    short = np.concatenate((table, np.full((1, table.shape[1]), UNKNOWN)))
-    longer = np.concatenate((table, np.zeros((1, table.shape[1]))))
+    """Log of the marginal probability of each word under each language."""
+    plain = np.concatenate((table, np.full((1, table.shape[1]), UNKNOWN)))
+    logs = np.log(plain)
     out = np.zeros((len(words), table.shape[1]))
     for at, codes in _by_length(words):
-        alpha = forward(pieces.spans(codes), lambda numbers, length: (short if length == 1 else longer)[numbers])
-        out[at] = np.log(alpha[-1])
+        long = codes.shape[1] > SHORT
+        alpha = forward(_matches(pieces.spans(codes), pieces.n), lambda _, numbers: (logs if long else plain)[numbers], long)  # noqa: B023
+        out[at] = alpha[-1] if long else np.log(alpha[-1])
     return out
 
 
 def expected_counts(words: list[str], lang: np.ndarray, weight: np.ndarray, pieces: Pieces, table: np.ndarray) -> np.ndarray:
     """Expected uses of each piece by language, each word under its own language and counted ``weight`` times."""
     k = table.shape[1]
-    short = np.concatenate((table, np.full((1, k), UNKNOWN))).ravel()
-    longer = np.concatenate((table, np.zeros((1, k)))).ravel()
-    counts = np.zeros((pieces.n + 1) * k)
+    plain = np.concatenate((table, np.full((1, k), UNKNOWN))).ravel()
+    logs = np.log(plain)
+    index, used = [], []
     for at, codes in _by_length(words):
-        spans, own, n = pieces.spans(codes), lang[at], weight[at]
-        p = lambda numbers, length: (short if length == 1 else longer)[numbers * k + own]  # noqa: B023, E731
-        alpha = forward(spans, p)
-        width = codes.shape[1]
-        beta = [np.ones(len(at))] * (width + 1)
-        for t in range(width - 1, -1, -1):
-            total = np.zeros(len(at))
-            for length in range(1, min(len(spans), width - t) + 1):
-                numbers = spans[length - 1][:, t]
-                through = p(numbers, length) * beta[t + length]
-                counts += np.bincount(numbers * k + own, alpha[t] * through / alpha[-1] * n, len(counts))
-                total += through
-            beta[t] = total
+        matches, own, n, long = _matches(pieces.spans(codes), pieces.n), lang[at], weight[at], codes.shape[1] > SHORT
+        pick = lambda x, some: x if some is None else x[some]
+        p = lambda some, numbers: (logs if long else plain)[numbers * k + pick(own, some)]  # noqa: B023, E731
+        alpha = forward(matches, p, long)
+        beta = [np.full(len(at), -np.inf if long else 0.0) for _ in range(len(matches) + 1)]
+        beta[-1][:] = 0.0 if long else 1.0
+        for t in range(len(matches) - 1, -1, -1):
+            for length, some, numbers in matches[t]:
+                here = slice(None) if some is None else some
+                rest = beta[t + length][here] + p(some, numbers) if long else beta[t + length][here] * p(some, numbers)
+                beta[t][here] = np.logaddexp(beta[t][here], rest) if long else beta[t][here] + rest
+                share = np.exp(alpha[t][here] + rest - alpha[-1][here]) if long else alpha[t][here] * rest / alpha[-1][here]
+                index.append(numbers * k + pick(own, some))
+                used.append(share * pick(n, some))
+    size = (pieces.n + 1) * k
+    counts = np.bincount(np.concatenate(index), np.concatenate(used), size) if index else np.zeros(size)
     return counts.reshape(pieces.n + 1, k)[: pieces.n]
 
 
 def runs(text: str) -> list[str]:
-    return [w[i : i + MAX_RUN] for w in _LETTERS.findall(text.lower()) for i in range(0, len(w), MAX_RUN)]
+    """The words of a text: runs of letters with the marks on them, as they are written. Most chunks are one word."""
+    bare = text.strip(".,;:!?\"'()")
+    return [bare] if bare.isalpha() else _LETTERS.findall(bare)
 
 
 @dataclass
@@ -156,9 +185,8 @@ def fit(labelled: DataFrame, vocabulary: str, per_lang: int = 2_000, rounds: int
     if not langs:
         return LanguageModel([], np.zeros((0, 0)), vocabulary)
     shares = spark.createDataFrame([(i, x, min(1.0, per_lang / sizes[x])) for i, x in enumerate(langs)], "i int, lang string, share double")
-    draw = F.pmod(F.xxhash64(F.lit("langid"), key), F.lit(1_000_000)) / 1e6
-    sample = labelled.join(F.broadcast(shares), "lang").filter(draw < F.col("share"))
-    words = sample.select("i", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{M}]+")).alias("word")).filter("word != ''")
+    sample = labelled.join(F.broadcast(shares), "lang").filter(draw("langid", key) < F.col("share"))
+    words = sample.select("i", F.explode(F.split("text", r"[^\p{L}\p{M}]+")).alias("word")).filter("word != ''")
     words = cut(words.groupBy("i", "word").agg(F.count("*").alias("n")))
     n_pieces = _pieces(vocabulary).n
     table = np.full((n_pieces, len(langs)), 1 / n_pieces)
