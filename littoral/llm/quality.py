@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import draw
+
 #: Hash buckets of words; shapes come after them, and the repeat share last. Shares are scaled, to weigh as much as words.
 WORDS, SHAPES, SCALE = 1 << 26, 1 << 16, 10.0
 REPEATS = WORDS + SHAPES
-_SHAPE = tuple((re.compile(p), to) for p, to in ((r"[^\W\d_]*[a-zß-öø-ÿ][^\W\d_]*", "a"), (r"[^\W\d_]+", "A"), (r"\d+", "9"), (r"(.)\1+", r"\1")))
+_LETTERS, _SMALL, _DIGITS, _AGAIN = map(re.compile, (r"[^\W\d_]+", r"[a-zß-öø-ÿ]", r"\d+", r"(.)\1+"))
 
 
 def word_bucket(word: str) -> int:
@@ -31,9 +33,9 @@ def word_bucket(word: str) -> int:
 
 
 def shape_bucket(word: str) -> int:
-    shape = word[:64]
-    for pattern, to in _SHAPE:
-        shape = pattern.sub(to, shape)
+    """Runs of letters become a, or A if none is small, digits 9, and repeats one character."""
+    shape = _LETTERS.sub(lambda m: "a" if _SMALL.search(m[0]) else "A", word)
+    shape = _AGAIN.sub(r"\1", _DIGITS.sub("9", shape))
     return WORDS + zlib.crc32(shape.encode()) % SHAPES
 
 
@@ -89,15 +91,15 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grades: np
 
 
 def fit(docs: DataFrame, ratings: DataFrame, max_rows: int = 10_000, min_docs: int = 5, l2: float = 2e-4, steps: int = 250, rate: float = 0.05) -> OrdinalModel:
-    """Learns from docs (doc_id, text) and ratings (doc_id, grade); the lowest grade counts if a document has several.
+    """Learns from docs (doc_id, text) and ratings (doc_id, grade); the lowest grade and the text
+    that sorts first count if a document has several.
 
     ``max_rows`` bounds the sample: about that many rated documents, those with the lowest hash of doc_id. Their sparse
     features are fitted on the driver. Ratings with a null are left out; with fewer than two grades, nothing is learnt.
     """
     rated = ratings.select("doc_id", "grade").dropna().groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     total = ratings.count()
-    draw = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1_000_000)) / 1e6
-    chosen = rated.filter(draw < min(1.0, max_rows / max(1, total)))
+    chosen = rated.filter(draw("quality", "doc_id") < min(1.0, max_rows / max(1, total)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,7 +107,7 @@ def fit(docs: DataFrame, ratings: DataFrame, max_rows: int = 10_000, min_docs: i
             columns = [b.column("grade"), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays(columns, ["grade", "cols", "vals"])
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
     got = sample.select("grade", "text").mapInArrow(run, "grade int, cols array<int>, vals array<float>").toArrow()
     grades = got.column("grade").to_numpy()
     if len(set(grades.tolist())) < 2:

@@ -39,50 +39,22 @@ def test_run_gives_the_same(spark):
     assert out.count() > 0
 
 
-def test_classifier_edges(spark):
-    docs = spark.createDataFrame([(1, "fine words", 0.5), (2, None, 0.5), (3, " ", 0.5)], "doc_id long, text string, p_tail double")
-    labels = spark.createDataFrame([], "doc_id long, grade int")
-    model = quality.fit(docs, labels)
-    got = {r.doc_id: (r.keep, r.p_tail) for r in quality.grade(docs, model).collect()}
-    assert got == {1: (True, 1.0), 2: (False, 0.0), 3: (False, 0.0)}
-
-
-def test_language_edges(spark):
-    import public_tokenizers
-
-    from littoral.llm import langid
-
-    rows = [(i, w * 9, lang) for i, (w, lang) in enumerate([("the cat and the hat ", "en"), ("le chat et la souris ", "fr")] * 20)]
-    docs = spark.createDataFrame([*rows, (100, None, "en"), (101, "12 !", "en"), (102, "", None), (103, "la souris", None)], "doc_id long, text string, lang string")
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, langid.fit(docs, path)).collect()}
-    assert all(got[i][0] == lang for i, _, lang in rows)
-    assert got[100] == got[101] == got[102] == ("und", 0.0) and got[103][0] == "fr"
-    empty = langid.fit(docs.filter("false"), path)
-    assert {r.lang_pred for r in langid.predict(docs, empty).collect()} == {"und"}
-
-
-def test_segmentations_are_summed():
-    """The forward pass against an explicit sum over all ways to cut a word."""
-    import numpy as np
-    import public_tokenizers
-
-    from littoral.llm import langid
-
-    pieces = langid.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    number = {p: i for i, p in enumerate(pieces.pieces)}
-    table = np.random.default_rng(0).random((pieces.n, 2)) / 1000
-
-    def total(s):
-        if not s:
-            return np.ones(2)
-        out = np.zeros(2)
-        for k in range(1, min(langid.MAX_PIECE, len(s)) + 1):
-            p = table[number[s[:k]]] if s[:k] in number else langid.UNKNOWN if k == 1 else 0
-            out = out + p * total(s[k:])
-        return out
-
-    words = ["the", "chatte", "größe", "x"]
-    got = langid.log_likelihoods(words, pieces, table)
-    for w, g in zip(words, got):
-        assert np.allclose(g, np.log(total(langid.WORD_START + w)))
+def test_stages_on_odd_rows(spark):
+    """Nulls in every column, empty texts, repeated rows, extra columns that clash with the operators' own, no rows."""
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text, "en", "s", 9), (1, text, "en", "s", 9), (2, text + " more", None, None, None), (None, text, "en", "s", 1), (3, None, "en", "s", None), (4, "", "en", "s", 0), (5, "a\nb\na\nb", "en", "s", 7), (6, "z " * 20_000, "en", "s", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", "'x' AS row", "'x' AS kept", "1 AS n_removed", "'k' AS key", "1 AS sequence_id", "1 AS keep")
+    want = {
+        "quality_classifier": None,
+        "line_dedup": 8,
+        "ngram_jaccard_join": 6,  # the row without an id is a copy of doc_id 1, as 2 is a near one; both rows of 1 stay
+        "substring_dedup": 8,
+        "best_fit_packing": None,
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, FIXTURE)
+        assert name == "best_fit_packing" or got.columns == corpus_pipeline.COLUMNS
+        n = got.count()
+        assert want[name] in (None, n), (name, n)
+        assert stage(spark, docs.limit(0), FIXTURE).count() == 0
