@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, partitions
 
-#: Rows from which the cut points of a dimension are taken (those with the lowest hash): they shape the layout only.
-SAMPLE_ROWS = 20_000
-
 
 def hilbert_index(coordinates: np.ndarray, bits: int) -> np.ndarray:
     """Places on the Hilbert curve of points with integer coordinates below 2**bits (rows: points).
@@ -46,15 +45,31 @@ def hilbert_index(coordinates: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def cut_points(meta: DataFrame, dims: list[str], bits: int, total: int) -> list[list]:
-    """For each dimension, ascending values that part a bounded sample of the rows into up to 2**bits even buckets."""
-    draw = F.pmod(F.xxhash64(F.lit("hilbert"), *meta.columns), F.lit(1_000_000)) / 1e6
-    sample = meta.filter(draw < min(1.0, SAMPLE_ROWS / max(1, total))).select(*dims).toPandas()
-    out = []
-    for d in dims:
-        values = sorted(sample[d].dropna().tolist())
-        out.append(sorted({values[len(values) * k // (1 << bits)] for k in range(1, 1 << bits)}) if values else [])
-    return out
+def cut_points(meta: DataFrame, dim: str, bits: int) -> list:
+    """Ascending values of a dimension that part all rows into up to 2**bits even buckets. Distinct values are counted and
+    sorted by ranges; the driver gets a count for each partition and the values at the cuts alone."""
+    values = meta.filter(F.col(dim).isNotNull()).groupBy(F.col(dim).alias("value")).agg(F.count("*").alias("n"))
+    values = cut(values.repartitionByRange(partitions(meta.sparkSession), "value").sortWithinPartitions("value").withColumn("part", F.spark_partition_id()))
+    counts = sorted((r.part, r.n) for r in values.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    total, before = sum(n for _, n in counts), {}
+    so_far = 0
+    for p, n in counts:
+        before[p] = so_far
+        so_far += n
+    marks = np.array([total * k >> bits for k in range(1, 1 << bits)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
+        for b in batches:
+            if b.num_rows:
+                at = before[b.column("part")[0].as_py()] if at is None else at
+                ends = at + np.cumsum(b.column("n").to_numpy())
+                begins = np.concatenate(([at], ends[:-1]))
+                hit = np.searchsorted(marks, begins, "left") < np.searchsorted(marks, ends, "left")
+                at = int(ends[-1])
+                yield pa.RecordBatch.from_arrays([b.column("value").filter(pa.array(hit))], ["value"])
+
+    return sorted(r.value for r in values.mapInArrow(run, T.StructType([values.schema["value"]])).collect())
 
 
 def assign(docs: DataFrame, dims: list[str], key: str, shards: int = 40, bits: int = 5) -> DataFrame:
@@ -68,14 +83,15 @@ def assign(docs: DataFrame, dims: list[str], key: str, shards: int = 40, bits: i
     meta = cut(docs.drop("shard", "slot", "curve"))
     columns = meta.columns
     total = meta.count()
-    points = cut_points(meta, dims, bits, total)
+    points = [np.array(cut_points(meta, d, bits)) for d in dims]
 
     @F.pandas_udf("long")
     def curve(*parts: pd.Series) -> pd.Series:
         places = np.zeros((len(parts[0]), len(parts)), dtype=np.int64)
         for j, (values, at) in enumerate(zip(parts, points)):
             there = values.notna().to_numpy()
-            places[there, j] = [bisect_right(at, v) for v in values[there]]
+            if len(at):
+                places[there, j] = np.searchsorted(at, values[there].to_numpy(dtype=at.dtype), side="right")
             places[:, j] = places[:, j] * ((1 << bits) - 1) // max(1, len(at))  # few values take the whole range too
         return pd.Series(hilbert_index(places, bits))
 
@@ -97,7 +113,13 @@ def assign(docs: DataFrame, dims: list[str], key: str, shards: int = 40, bits: i
     return out.select(*columns, "curve", F.col("shard").cast("int").alias("shard"), (F.col("rank") - first).alias("slot"))
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, key: str, path: str) -> None:
-    """Writes docs as one folder per shard, in slot order within files, so that readers prune by shard or by statistics."""
-    joined = docs.join(assigned.select(key, "shard", "slot"), key)
+def write_shards(docs: DataFrame, dims: list[str], key: str, path: str, shards: int = 40) -> None:
+    """Writes docs as one folder per shard, in slot order within files, so that readers prune by shard or by statistics.
+
+    Rows that share a key, or have none, are told apart by a number of their own, so each is written once. Columns named
+    shard, slot, curve or row_number are replaced.
+    """
+    docs = cut(docs.drop("shard", "slot", "curve", "row_number").withColumn("row_number", F.monotonically_increasing_id()))
+    placed = assign(docs.select(*dict.fromkeys([*dims, key]), "row_number"), dims, key, shards)
+    joined = docs.join(placed.select("row_number", "shard", "slot"), "row_number").drop("row_number")
     joined.repartitionByRange(partitions(docs.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -45,3 +45,23 @@ def test_small_and_empty(spark, tmp_path):
     got = queries.op7_hilbert_sharding(spark, frame(spark, [(1, "a", "en", "s", None), (2, None, None, None, None)], tmp_path / "a")).collect()
     assert sorted(r.slot for r in got) == [0, 0]
     assert queries.op7_hilbert_sharding(spark, frame(spark, [], tmp_path / "b")).count() == 0
+
+
+def test_cut_points_are_even_over_all_rows(spark):
+    df = spark.createDataFrame([(i % 97, f"s{i % 7}" if i % 3 else None) for i in range(5000)], "n long, s string").repartition(5)
+    got = hilbert_shards.cut_points(df, "n", 3)
+    values = sorted(i % 97 for i in range(5000))
+    assert got == sorted({values[5000 * k // 8] for k in range(1, 8)})
+    assert hilbert_shards.cut_points(df, "s", 5) == [f"s{i}" for i in range(7)]
+    assert hilbert_shards.cut_points(df.filter("false"), "s", 5) == []
+
+
+def test_write_shards(spark, tmp_path):
+    """Repeated ids and null ids are written once each, shard by shard; clashing columns are replaced."""
+    rows = [(i % 50 if i % 9 else None, f"text {i}", ["en", "de", None][i % 3], f"s{i % 4}", i) for i in range(200)] + [(1, "same", "en", "s0", 5)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, slot long").withColumnRenamed("slot", "n").selectExpr("*", "'x' AS shard").repartition(3)
+    hilbert_shards.write_shards(df, ["lang", "source", "n"], "doc_id", f"{tmp_path}/out", shards=7)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted((tuple(r)[:5] for r in back.select("doc_id", "text", "lang", "source", "n").collect()), key=str) == sorted(rows, key=str)
+    sizes = [r["count"] for r in back.groupBy("shard").count().collect()]
+    assert len(sizes) == 7 and max(sizes) - min(sizes) <= 1
