@@ -66,8 +66,8 @@ def _collected(batches: Iterator[pa.RecordBatch]) -> list[pa.RecordBatch]:
 
 
 def borders(rows: DataFrame, depth: int) -> list[dict]:
-    """For each partition of sorted rows, about its first and last run at each depth: the whole run's size and the least
-    ``asked`` in it, over all partitions; and the row before the partition."""
+    """For each partition of sorted rows, about its first and last run at each depth: the whole run's size, and the least
+    ``asked`` and the least sid in it, over all partitions."""
     asks = "asked" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,35 +75,33 @@ def borders(rows: DataFrame, depth: int) -> list[dict]:
             return
         s = Sorted(held, depth)
         asked = s.table.column("asked").to_numpy() if asks else np.full(s.n, depth)
-        out = {"part": TaskContext.get().partitionId(), "sid": int(s.sid[-1])}
+        out: dict = {"part": TaskContext.get().partitionId()}
         for name, i in (("first", 0), ("last", s.n - 1)):
             out[f"{name}_tree"], out[f"{name}_path"] = s.key(i, depth)
         ends = [np.append(np.flatnonzero(s.new[:, d]), s.n) for d in range(depth)]
         out["runs"] = [len(e) - 1 for e in ends]
         out["first_n"], out["last_n"] = [int(e[1]) for e in ends], [int(s.n - e[-2]) for e in ends]
-        out["first_asked"], out["last_asked"] = [int(asked[: e[1]].min()) for e in ends], [int(asked[e[-2] :].min()) for e in ends]
+        for name, of in (("asked", asked), ("sid", s.sid)):
+            out[f"first_{name}"], out[f"last_{name}"] = [int(of[: e[1]].min()) for e in ends], [int(of[e[-2] :].min()) for e in ends]
         yield pa.RecordBatch.from_pylist([out], schema)
 
     long, many = pa.int64(), pa.list_(pa.int64())
-    kinds = {"part": long, "sid": long, "first_tree": long, "first_path": pa.binary(), "last_tree": long, "last_path": pa.binary(), "runs": many, "first_n": many, "last_n": many, "first_asked": many, "last_asked": many}
+    kinds = {"part": long, "first_tree": long, "first_path": pa.binary(), "last_tree": long, "last_path": pa.binary(), "runs": many, "first_n": many, "last_n": many, "first_asked": many, "last_asked": many, "first_sid": many, "last_sid": many}
     schema = pa.schema(list(kinds.items()))
     spark_types = {long: "long", many: "array<long>", pa.binary(): "binary"}
     got = rows.mapInArrow(run, ", ".join(f"{k} {spark_types[t]}" for k, t in kinds.items())).collect()  # one row for each partition
     parts = {r.part: r.asDict() for r in got}
-    size: dict[tuple, int] = {}
-    least: dict[tuple, int] = {}
+    known: dict[tuple, list[int]] = {}
     named = lambda r, end, d: (r[f"{end}_tree"], bytes(r[f"{end}_path"])[: WIDTH * (d + 1)])
     for r in parts.values():
         for d in range(depth):
             for end in ("first", "last") if r["runs"][d] > 1 else ("first",):
-                k = named(r, end, d)
-                size[k] = size.get(k, 0) + r[f"{end}_n"][d]
-                least[k] = min(least.get(k, depth), r[f"{end}_asked"][d])
-    before = None
-    out = [{} for _ in range(max(parts, default=-1) + 1)]
-    for p, r in sorted(parts.items()):
-        out[p] = {end: [(size[named(r, end, d)], least[named(r, end, d)]) for d in range(depth)] for end in ("first", "last")}
-        out[p]["before"], before = before, (r["last_tree"], bytes(r["last_path"]), r["sid"])
+                n, asked, sid = (r[f"{end}_{c}"][d] for c in ("n", "asked", "sid"))
+                of = known.setdefault(named(r, end, d), [0, asked, sid])
+                known[named(r, end, d)] = [of[0] + n, min(of[1], asked), min(of[2], sid)]
+    out: list[dict] = [{} for _ in range(max(parts, default=-1) + 1)]
+    for p, r in parts.items():
+        out[p] = {end: [known[named(r, end, d)] for d in range(depth)] for end in ("first", "last")}
     return out
 
 
@@ -160,7 +158,7 @@ def asked_depths(crowded: DataFrame, similarity: float, recall: float, trees: in
 
 def looked_at(asking: DataFrame, depth: int, shortest: int, crowd: int) -> DataFrame:
     """Sorted rows with asked to node, sid, other: each row's node is the shortest prefix that any item looks at. In nodes
-    of more than ``crowd`` items other is an item of the node that sid is linked to, in smaller ones it is null."""
+    of more than ``crowd`` items other is the node's least item, to which all are linked, in smaller ones it is null."""
     known = asking.sparkSession.sparkContext.broadcast(borders(asking, depth))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,20 +168,16 @@ def looked_at(asking: DataFrame, depth: int, shortest: int, crowd: int) -> DataF
         asked = s.table.column("asked").to_numpy()
         column = s.table.column("sizes")
         sizes = column.flatten().to_numpy().reshape(s.n, -1)
-        own, first = np.zeros(s.n, dtype=np.int64), np.zeros(s.n, dtype=np.int64)
+        own, centre = np.zeros(s.n, dtype=np.int64), np.zeros(s.n, dtype=np.int64)
         for d in range(shortest, depth + 1):
             starts = np.flatnonzero(s.new[:, d - 1])
-            least = np.minimum.reduceat(asked, starts)
-            least[0], least[-1] = ends["first"][d - 1][1], ends["last"][d - 1][1]
+            least, sid = np.minimum.reduceat(asked, starts), np.minimum.reduceat(s.sid, starts)
+            for i, end in ((0, "first"), (-1, "last")):
+                _, least[i], sid[i] = ends[end][d - 1]
             of = np.cumsum(s.new[:, d - 1]) - 1
             here = (own == 0) & (least[of] <= d)
-            own[here], first[here] = d, starts[of[here]]
-        large = sizes[np.arange(s.n), own - shortest] > crowd
-        other = np.where(large, s.sid[first], -1)
-        if ends["before"] and large[0]:
-            tree, path, sid = ends["before"]
-            if s.key(0, int(own[0])) == (tree, path[: WIDTH * int(own[0])]):
-                other[0] = sid
+            own[here], centre[here] = d, sid[of[here]]
+        other = np.where(sizes[np.arange(s.n), own - shortest] > crowd, centre, -1)
         rows = pa.table({"tree": s.tree.astype(np.int64), "own": own, "path": [s.path[i, :d].tobytes() for i, d in enumerate(own.tolist())], "sid": s.sid, "other": pa.array(other, mask=other < 0)})
         yield from rows.filter(pa.array((other < 0) | (other != s.sid))).to_batches(50_000)
 
@@ -200,7 +194,9 @@ def alike(nodes: DataFrame, similarity: float) -> DataFrame:
         def link(sids: list[int], signatures: list[bytes], sizes: list[int]) -> None:
             if len(sids) < 2:
                 return
-            x = np.frombuffer(b"".join(signatures), dtype=np.uint16).reshape(len(sids), -1)
+            order = sorted(range(len(sids)), key=sids.__getitem__)  # links go to the least item, whichever the tree
+            sids, sizes = [sids[i] for i in order], [sizes[i] for i in order]
+            x = np.frombuffer(b"".join(signatures), dtype=np.uint16).reshape(len(sids), -1)[order]
             need = similarity - 5 * math.sqrt(similarity * (1 - similarity) / x.shape[1])
             n = np.array(sizes)
             m = ((x[:, None, :] == x[None, :, :]).mean(axis=2) >= need) & (np.minimum(n[:, None], n[None, :]) >= (similarity - 1e-9) * np.maximum(n[:, None], n[None, :]))
