@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, drop_folder, ensure_checkpoint_dir, free_shuffles, partitions
+from .common import ROW, cut, drop_folder, ensure_checkpoint_dir, free_shuffles, partitions, row_key
 from .words import hashed, slices
 
 _PRIME = 0x9E3779B97F4A7C15
 _INVERSE = pow(_PRIME, -1, 1 << 64)
-_PLACE = np.dtype([("row", "<i8"), ("start", "<i4")])
+_PLACE = np.dtype([("doc", "<i8"), ("row", "<i8"), ("start", "<i4")])
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -82,19 +82,19 @@ def super_kmers(texts: pa.Array, width: int, mer: int) -> tuple[np.ndarray, np.n
 
 
 def _references(rows: DataFrame, width: int, mer: int) -> DataFrame:
-    """Every super-k-mer as bucket, row, start, n, times: no words yet."""
+    """Every super-k-mer as bucket, doc, row, start, n, times: no words yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch):
                 of, start, n, bucket, times = super_kmers(b.column("text"), width, mer)
-                row = b.column("row").to_numpy()[of]
-                columns = [pa.array(bucket), pa.array(row), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(times.astype(np.int32))]
-                whole = pa.RecordBatch.from_arrays(columns, ["bucket", "row", "start", "n", "times"])
+                rows = (pa.array(b.column(c).to_numpy()[of]) for c in ROW)
+                columns = [pa.array(bucket), *rows, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(times.astype(np.int32))]
+                whole = pa.RecordBatch.from_arrays(columns, ["bucket", *ROW, "start", "n", "times"])
                 for k in range(0, whole.num_rows, 50_000):
                     yield whole.slice(k, 50_000)
 
-    return rows.mapInArrow(run, "bucket long, row long, start int, n int, times int")
+    return rows.mapInArrow(run, "bucket long, doc long, row long, start int, n int, times int")
 
 
 def _packed(texts: DataFrame, width: int) -> DataFrame:
@@ -103,13 +103,13 @@ def _packed(texts: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole):
-                where: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
-                for row, text, refs in zip(b.column("row").to_pylist(), b.column("text").to_pylist(), b.column("refs").to_pylist()):
+                where: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
+                for doc, row, text, refs in zip(*(b.column(c).to_pylist() for c in (*ROW, "text", "refs"))):
                     words = split_words(text)
                     for r in refs:
                         if not r["hot"]:
                             key = r["bucket"], b" ".join(words[r["start"] : r["start"] + r["n"] + width - 1])
-                            where.setdefault(key, []).append((row, r["start"]))
+                            where.setdefault(key, []).append((doc, row, r["start"]))
                 columns = [pa.array([k[0] for k in where], pa.int64()), pa.array([k[1] for k in where], pa.binary())]
                 columns.append(pa.array([np.array(p, dtype=_PLACE).tobytes() for p in where.values()], pa.binary()))
                 out = pa.RecordBatch.from_arrays(columns, ["bucket", "packed", "places"])
@@ -163,7 +163,7 @@ def repeated_windows(strings: list[bytes], weights: np.ndarray, width: int) -> t
 
 
 def _count_bucketwise(packed: DataFrame, width: int) -> DataFrame:
-    """row, start, stop: the words of each row that lie under repeated windows, from partitions sorted by bucket."""
+    """doc, row, start, stop: the words of each row that lie under repeated windows, from partitions sorted by bucket."""
 
     def ranges(buckets: np.ndarray, strings: list[bytes], places: list[bytes]) -> pa.RecordBatch:
         weights = np.array([len(p) // _PLACE.itemsize for p in places])
@@ -176,7 +176,7 @@ def _count_bucketwise(packed: DataFrame, width: int) -> DataFrame:
         spots = np.frombuffer(b"".join(places[i] for i in of), dtype=_PLACE)
         times = weights[of]
         start = spots["start"].astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(spots["row"].astype(np.int64)), pa.array(start + np.repeat(begin, times)), pa.array(start + np.repeat(end, times))], ["row", "start", "stop"])
+        return pa.RecordBatch.from_arrays([*(pa.array(spots[c].astype(np.int64)) for c in ROW), pa.array(start + np.repeat(begin, times)), pa.array(start + np.repeat(end, times))], [*ROW, "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, list[bytes], list[bytes]]] = []
@@ -193,39 +193,36 @@ def _count_bucketwise(packed: DataFrame, width: int) -> DataFrame:
         if held:
             yield ranges(np.concatenate([x[0] for x in held]), [s for x in held for s in x[1]], [p for x in held for p in x[2]])
 
-    return packed.mapInArrow(run, "row long, start long, stop long")
+    return packed.mapInArrow(run, "doc long, row long, start long, stop long")
 
 
 def _hot_windows(texts: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, rows, starts = [], [], []
-            for row, text, refs in zip(b.column("row").to_pylist(), b.column("text").to_pylist(), b.column("refs").to_pylist()):
+            digests, docs, rows, starts = [], [], [], []
+            for doc, row, text, refs in zip(*(b.column(c).to_pylist() for c in (*ROW, "text", "refs"))):
                 words = split_words(text)
                 for r in refs:
                     if r["hot"]:
                         for s in range(r["start"], r["start"] + r["n"]):
                             digests.append(xxhash.xxh128_digest(b" ".join(words[s : s + width])))
+                            docs.append(doc)
                             rows.append(row)
                             starts.append(s)
-            out = pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(rows, pa.int64()), pa.array(starts, pa.int64())], ["digest", "row", "start"])
+            out = pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), *(pa.array(x, pa.int64()) for x in (docs, rows, starts))], ["digest", *ROW, "start"])
             for k in range(0, out.num_rows, 10_000):
                 yield out.slice(k, 10_000)
 
-    return texts.mapInArrow(run, "digest binary, row long, start long")
-
-
-def _row_key() -> F.Column:
-    return F.xxhash64("doc_id", "text")
+    return texts.mapInArrow(run, "digest binary, doc long, row long, start long")
 
 
 def repeated_ranges(docs: DataFrame, width: int = 35, mer: int = 6, share: float = 0.25) -> DataFrame:
-    """row, ranges: for each row with repeated windows, the word ranges (start, stop) that they cover, unsorted.
+    """doc, row, ranges: for each row with repeated windows, the word ranges (start, stop) that they cover, unsorted.
 
     A bucket is hot if it holds more than ``share`` of a partition's fair share of super-k-mers.
     """
     spark = docs.sparkSession
-    rows = docs.select(_row_key().alias("row"), "text")
+    rows = docs.select(*row_key(), "text")
     path = f"{ensure_checkpoint_dir(spark)}/super-k-mers-{uuid.uuid4().hex}"
     _references(rows, width, mer).write.parquet(path)
     refs = spark.read.parquet(path)
@@ -234,15 +231,15 @@ def repeated_ranges(docs: DataFrame, width: int = 35, mer: int = 6, share: float
     repeated = cut(counts.select("bucket", (F.col("n") > least).alias("hot")))
     del counts
     free_shuffles(spark)
-    wanted = refs.join(repeated, "bucket").groupBy("row").agg(F.collect_set(F.struct("start", "n", "bucket", "hot")).alias("refs"))
-    texts = wanted.join(rows, "row")
+    wanted = refs.join(repeated, "bucket").groupBy(*ROW).agg(F.collect_set(F.struct("start", "n", "bucket", "hot")).alias("refs"))
+    texts = wanted.join(rows, ROW)
     found = _count_bucketwise(_packed(texts, width).repartition(partitions(spark), "bucket").sortWithinPartitions("bucket"), width)
     if not repeated.filter("hot").isEmpty():
         windows = _hot_windows(texts, width)
         often = cut(windows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"))
         free_shuffles(spark)
-        found = found.unionByName(windows.join(often, "digest").select("row", "start", (F.col("start") + width).alias("stop")))
-    ranges = cut(found.groupBy("row").agg(F.collect_set(F.struct("start", "stop")).alias("ranges")))
+        found = found.unionByName(windows.join(often, "digest").select(*ROW, "start", (F.col("start") + width).alias("stop")))
+    ranges = cut(found.groupBy(*ROW).agg(F.collect_set(F.struct("start", "stop")).alias("ranges")))
     drop_folder(spark, path)
     return ranges
 
@@ -251,13 +248,13 @@ def remove_repeats(docs: DataFrame, width: int = 35, mer: int = 6) -> DataFrame:
     """Adds kept (the words that stay, joined by one space), n_words and n_removed to docs (doc_id, text, any others).
 
     A word goes if a window over it also starts anywhere else, in the same document or another; windows are judged on
-    the input. Null texts have no words and give an empty ``kept``. Rows are told apart by doc_id and text: two equal
-    rows repeat each other. Columns named kept, n_words, n_removed or row are replaced.
+    the input. Null texts have no words and give an empty ``kept``. Rows equal in doc_id and text repeat each other and
+    lose the same words. Columns named kept, n_words, n_removed, doc, row or ranges are replaced.
     """
-    docs = docs.drop("kept", "n_words", "n_removed", "row", "ranges")
+    docs = docs.drop("kept", "n_words", "n_removed", *ROW, "ranges")
     found = repeated_ranges(docs, width, mer)
     free_shuffles(docs.sparkSession)
-    joined = docs.withColumn("row", _row_key()).join(found, "row", "left").drop("row")
+    joined = docs.select("*", *row_key()).join(found, ROW, "left").drop(*ROW)
     schema = T.StructType([*docs.schema, T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     names = docs.columns
 

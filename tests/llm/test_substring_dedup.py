@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 from littoral.llm import queries, substring_dedup
+from littoral.llm.common import row_key
 
 
 def brute(texts, width=35):
@@ -42,7 +43,7 @@ def test_hot_buckets_take_the_other_way(spark, tmp_path):
     texts = cases(spark) + [" ".join(f"w{i}" for i in range(40, 160))] * 60
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     rows = {r.row: r.ranges for r in substring_dedup.repeated_ranges(df, share=0.0).collect()}
-    keyed = df.select("doc_id", "text", substring_dedup._row_key().alias("row")).collect()
+    keyed = df.select("doc_id", "text", *row_key()).collect()
     want = brute(texts)
     for r in keyed:
         gone = {i for x in rows.get(r.row, ()) for i in range(x.start, x.stop)}
@@ -51,3 +52,11 @@ def test_hot_buckets_take_the_other_way(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert run(spark, [], tmp_path) == []
+
+
+def test_repeated_rows_null_ids_and_clashing_columns(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long, 1), (1, long, 1), (None, "x " + long, 1), (None, None, 1), (2, "short one", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words int").selectExpr("*", "'mine' AS doc", "1 AS bucket", "'w' AS words")
+    got = sorted(((r.doc_id, r.kept, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(df).collect()), key=str)
+    assert got == sorted([(1, "", 40, 40), (1, "", 40, 40), (None, "x", 41, 40), (None, "", 0, 0), (2, "short one", 2, 0)], key=str)
