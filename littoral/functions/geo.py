@@ -25,6 +25,17 @@ def ring(row: Column, col: Column, k: int = 1) -> Column:
     return F.array(*(F.struct((row + i).alias("row"), (col + j).alias("col")) for i in range(-k, k + 1) for j in range(-k, k + 1)))
 
 
+def cell_ring(row: Column, col: Column, degrees: float) -> Column:
+    """The cell's outline as a closed array of struct lon, lat, from its lower left corner, counter-clockwise."""
+    corner = lambda i, j: F.struct(F.round((col + j) * degrees, 6).alias("lon"), F.round((row + i) * degrees, 6).alias("lat"))
+    return F.array(corner(0, 0), corner(0, 1), corner(1, 1), corner(1, 0), corner(0, 0))
+
+
+def cell_centre(row: Column, col: Column, degrees: float) -> tuple[Column, Column]:
+    """Latitude and longitude of the cell's middle."""
+    return F.round((row + 0.5) * degrees, 6), F.round((col + 0.5) * degrees, 6)
+
+
 def disk(row: Column, col: Column, k: int) -> Column:
     """As ring(), for larger k: made of two sequences."""
     rows, cols = F.sequence(row - k, row + k), F.sequence(col - k, col + k)
@@ -46,3 +57,16 @@ def in_ring(lat: Column, lon: Column, polygon: Column) -> Column:
         & (lon < (e["b"]["lon"] - e["a"]["lon"]) * (lat - e["a"]["lat"]) / (e["b"]["lat"] - e["a"]["lat"]) + e["a"]["lon"]),
     )
     return F.size(crossings) % 2 == 1
+
+
+def on_ring(lat: Column, lon: Column, polygon: Column, slack: float = 1e-12) -> Column:
+    """Whether the point lies on an edge of the polygon."""
+    n = F.size(polygon)
+    shifted = F.concat(F.slice(polygon, 2, F.greatest(n - 1, F.lit(0))), F.slice(polygon, 1, 1))
+    between = lambda x, a, b: (x >= F.least(a, b) - slack) & (x <= F.greatest(a, b) + slack)
+    return F.exists(
+        F.arrays_zip(polygon.alias("a"), shifted.alias("b")),
+        lambda e: (F.abs((e["b"]["lon"] - e["a"]["lon"]) * (lat - e["a"]["lat"]) - (e["b"]["lat"] - e["a"]["lat"]) * (lon - e["a"]["lon"])) <= slack)
+        & between(lat, e["a"]["lat"], e["b"]["lat"])
+        & between(lon, e["a"]["lon"], e["b"]["lon"]),
+    )

@@ -131,19 +131,19 @@ def leader_clusters(reports: DataFrame, group: list[str], similarity: float = 0.
 
 def hdbscan(points: np.ndarray, least: int = 5) -> np.ndarray:
     """Density clusters (label from 0, -1 for noise): mutual reachability, minimum spanning tree, condensed tree, and the
-    clusters of most excess mass, never the whole as one."""
+    clusters of most excess mass, never the whole as one. Memory grows with the number of points, time with its square."""
     n = len(points)
     if n < 2 * least:
         return np.full(n, -1)
-    d = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
-    core = np.sort(d, axis=1)[:, min(least, n) - 1]
-    reach = np.maximum(np.maximum(core[:, None], core[None, :]), d)
+    from_one = lambda i: np.sqrt(((points - points[i]) ** 2).sum(axis=1))  # noqa: E731  distances are never held for all pairs
+    core = np.array([np.partition(from_one(i), min(least, n) - 1)[min(least, n) - 1] for i in range(n)])
     inside, best, link = np.zeros(n, dtype=bool), np.full(n, np.inf), np.zeros(n, dtype=int)
     edges, at = [], 0
     for _ in range(n - 1):
         inside[at] = True
-        closer = ~inside & (reach[at] < best)
-        best[closer], link[closer] = reach[at][closer], at
+        reach = np.maximum(np.maximum(core[at], core), from_one(at))
+        closer = ~inside & (reach < best)
+        best[closer], link[closer] = reach[closer], at
         at = int(np.where(inside, np.inf, best).argmin())
         edges.append((best[at], link[at], at))
     root = list(range(2 * n - 1))
@@ -229,6 +229,46 @@ def hotspots(points: DataFrame, group: list[str], least: int = 5) -> DataFrame:
     return points.select(*group, "id", "lat", "lon").groupBy(*group).applyInPandas(kernel, schema)
 
 
+def hull(points: np.ndarray) -> np.ndarray:
+    """Convex hull, counter-clockwise from the least point, by monotone chains."""
+    points = np.unique(points, axis=0)
+    if len(points) < 3:
+        return points
+    chains = []
+    turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    for order in (points, points[::-1]):
+        chain: list[np.ndarray] = []
+        for p in order:
+            while len(chain) > 1 and turn(chain[-2], chain[-1], p) <= 0:
+                chain.pop()
+            chain.append(p)
+        chains += chain[:-1]
+    return np.array(chains)
+
+
+def hulls(points: DataFrame, group: list[str], buffer: float = 0.005, corners: int = 16) -> DataFrame:
+    """group, hull: array of struct lon, lat, closed: the convex hull of each group's points (lat, lon), widened by
+    ``buffer`` degrees with round corners. Hulls of batches are made first, so only their corners meet."""
+    kinds = dict(points.dtypes)
+    keys = ", ".join(f"{g} {kinds[g]}" for g in group)
+    around = buffer * np.column_stack([f(2 * np.pi * np.arange(corners) / corners) for f in (np.cos, np.sin)])
+
+    def partly(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for key, own in pdf.groupby(group):
+                h = hull(own[["lon", "lat"]].to_numpy(dtype=float))
+                yield pd.DataFrame({**dict(zip(group, key)), "lon": h[:, 0], "lat": h[:, 1]})
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = hull(pdf[["lon", "lat"]].to_numpy(dtype=float))
+        wide = np.round(hull((h[:, None, :] + around[None, :, :]).reshape(-1, 2)), 6)
+        ring = [{"lon": x, "lat": y} for x, y in [*wide.tolist(), wide[0].tolist()]]
+        return pd.DataFrame([[*pdf[group].iloc[0], ring]], columns=[*group, "hull"])
+
+    corners_of = points.select(*group, "lat", "lon").mapInPandas(partly, f"{keys}, lon double, lat double")
+    return corners_of.groupBy(*group).applyInPandas(whole, f"{keys}, hull array<struct<lon:double,lat:double>>")
+
+
 def match_hotspots(spots: DataFrame, group: list[str], most_km: float = 3.0) -> DataFrame:
     """Greedy matches of current to previous spots of the group, in order of id: new, persisting or cleared."""
     kinds = dict(spots.dtypes)

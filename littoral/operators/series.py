@@ -21,7 +21,8 @@ def trailing_stats(df: DataFrame, keys: list[str], horizon: int = 7 * DAY, t: st
 
     A row enters the running sums at t and leaves them after t + horizon, so one ordered pass gives every baseline; no
     frame is summed anew for each row. Series are cut into stretches of four horizons, each of which also gets the
-    rows that reach into it, so a long series is the work of many tasks and the sums stay small.
+    rows that reach into it, so a long series is the work of many tasks and the sums stay small. Values are summed as
+    differences from their stretch's mean, so that series far from zero keep their spread.
     """
     stretch = 4 * horizon
     part = lambda x: F.floor(x / stretch)
@@ -29,8 +30,9 @@ def trailing_stats(df: DataFrame, keys: list[str], horizon: int = 7 * DAY, t: st
     enter = rows.withColumns({"_at": F.col(t), "_sign": F.lit(1), "_own": part(F.col(t)) == F.col("_on")})
     leave = df.withColumn("_on", part(F.col(t) + horizon)).withColumns({"_at": F.col(t) + horizon, "_sign": F.lit(-1), "_own": F.lit(False)})
     order = Window.partitionBy(*keys, "_on").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
-    v = F.col(value).cast("double")
-    sums = enter.unionByName(leave).withColumns(
+    whole = Window.partitionBy(*keys, "_on")
+    v = F.col(value).cast("double") - F.col("_pivot")
+    sums = enter.unionByName(leave).withColumn("_pivot", F.avg(F.col(value).cast("double")).over(whole)).withColumns(
         {
             "n": F.coalesce(F.sum("_sign").over(order), F.lit(0)),
             "_s": F.sum(F.col("_sign") * v).over(order),
@@ -39,7 +41,8 @@ def trailing_stats(df: DataFrame, keys: list[str], horizon: int = 7 * DAY, t: st
     )
     mean = F.when(F.col("n") > 0, F.col("_s") / F.col("n"))
     spread = F.sqrt(F.greatest(F.col("_q") / F.col("n") - mean * mean, F.lit(0.0)))
-    return sums.filter("_own").withColumns({"mean": mean, "std": F.when(F.col("n") > 0, spread)}).drop("_on", "_at", "_sign", "_own", "_s", "_q")
+    stats = sums.filter("_own").withColumns({"mean": mean, "std": F.when(F.col("n") > 0, spread)})
+    return stats.withColumn("mean", F.col("mean") + F.col("_pivot")).drop("_on", "_at", "_sign", "_own", "_s", "_q", "_pivot")
 
 
 def anomalies(df: DataFrame, keys: list[str], least_points: int = 30, z: float = 3.0) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog_more, catalog_reports, catalog_series, catalog_state
+from . import catalog_listings, catalog_more, catalog_reports, catalog_series, catalog_state
 from .views import Query
 
-QUERIES: dict[str, Query] = {**catalog_series.QUERIES, **catalog_reports.QUERIES, **catalog_state.QUERIES, **catalog_more.QUERIES}
-ORACLE_SQL: dict[str, str] = {**catalog_series.ORACLE, **catalog_reports.ORACLE, **catalog_state.ORACLE, **catalog_more.ORACLE}
+_PARTS = (catalog_series, catalog_reports, catalog_state, catalog_more, catalog_listings)
+QUERIES: dict[str, Query] = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for part in _PARTS for k, v in part.ORACLE.items()}

@@ -10,6 +10,7 @@ from ..operators import kernels as K
 from ..operators import reports as R
 from ..operators import series as S
 from ..operators import spatial as P
+from ..operators.regions import with_region
 from . import views as V
 from .views import Query, km, oracle
 
@@ -323,51 +324,62 @@ def alert_message(spark, d):
 
 @query("incident_merge")
 def incident_merge(spark, d):
-    """Sequential merge by hazard, with vectors where the report has one; day is the report's own."""
+    """Sequential merge by hazard and connected region of cells, with vectors where the report has one; day is the
+    report's own."""
     r = V.reports(spark, d).withColumn("day", F.floor(F.col("t") / S.DAY))
-    return K.merge_incidents(K.with_vectors(r, V.table(spark, d, "embeddings")), ["hazard_type"], keep=("day",))
+    r = with_region(r, ["hazard_type"])
+    return K.merge_incidents(K.with_vectors(r, V.table(spark, d, "embeddings")), ["hazard_type", "region"], keep=("day",)).drop("region")
 
 
 @query("narrative_clusters")
 def narrative_clusters(spark, d):
+    """Rumours of half a day: clusters of at least three reports whose texts' vectors are alike."""
     r = V.reports(spark, d).withColumn("half_day", F.floor(F.col("t") / (12 * S.HOUR)))
-    return K.leader_clusters(K.with_vectors(r, V.table(spark, d, "embeddings")), ["half_day"], similarity=0.2, least=2)
+    return K.leader_clusters(K.with_vectors(r, V.table(spark, d, "embeddings")), ["half_day"])
 
 
 def _hotspots(spark, d):
-    r = V.reports(spark, d).filter("status <> 'rejected'").withColumn("day", F.floor(F.col("t") / S.DAY))
+    """Clusters of the reports of six hours that aren't rejected: centre, size, confidence, the commonest hazard (the
+    first seen on ties) and the widened hull."""
+    r = confidence_table(spark, d).select("id", "confidence").join(V.reports(spark, d), "id")
+    r = r.filter("status <> 'rejected'").withColumn("window", F.floor(F.col("t") / (6 * S.HOUR)))
     jitter = lambda c, k: F.col(c) + F.col("id") * k % 1000 / 1e6
-    points = r.select("day", "hazard_type", "id", jitter("lat", 7919).alias("lat"), jitter("lon", 104729).alias("lon"))
-    found = K.hotspots(points, ["day"])
-    spots = found.join(points, ["day", "id"]).groupBy("day", "cluster")
-    return spots.agg(F.count("*").alias("n"), F.round(F.avg("lat"), 5).alias("lat"), F.round(F.avg("lon"), 5).alias("lon"), F.mode("hazard_type", True).alias("hazard_type"))
+    points = r.select("window", "hazard_type", "id", "t", "confidence", jitter("lat", 7919).alias("lat"), jitter("lon", 104729).alias("lon"))
+    group = ["window", "cluster"]
+    placed = K.hotspots(points, ["window"]).join(points, ["window", "id"])
+    kinds = placed.groupBy(*group, "hazard_type").agg(F.count("*").alias("k"), F.min(F.struct("t", "id")).alias("first"), F.sum("lat").alias("lat"), F.sum("lon").alias("lon"), F.sum("confidence").alias("confidence"))
+    best = F.min_by("hazard_type", F.struct(-F.col("k"), F.col("first")))
+    n = F.sum("k")
+    spots = kinds.groupBy(*group).agg(n.alias("n"), F.round(F.sum("lat") / n, 5).alias("lat"), F.round(F.sum("lon") / n, 5).alias("lon"), F.round(F.sum("confidence"), 3).alias("confidence"), best.alias("hazard_type"))
+    return spots, placed
 
 
 @query("hotspots")
 def hotspots(spark, d):
-    return _hotspots(spark, d)
+    spots, placed = _hotspots(spark, d)
+    return spots.join(K.hulls(placed, ["window", "cluster"]), ["window", "cluster"])
 
 
 @query("hotspot_movement")
 def hotspot_movement(spark, d):
-    h = _hotspots(spark, d)
-    now = h.select("day", "hazard_type", F.col("cluster").cast("long").alias("id"), "lat", "lon", F.lit(True).alias("current"))
-    before = h.select((F.col("day") + 1).alias("day"), "hazard_type", F.col("cluster").cast("long").alias("id"), "lat", "lon", F.lit(False).alias("current"))
-    return K.match_hotspots(now.unionByName(before), ["day", "hazard_type"])
+    h = _hotspots(spark, d)[0]
+    now = h.select("window", "hazard_type", F.col("cluster").cast("long").alias("id"), "lat", "lon", F.lit(True).alias("current"))
+    before = h.select((F.col("window") + 1).alias("window"), "hazard_type", F.col("cluster").cast("long").alias("id"), "lat", "lon", F.lit(False).alias("current"))
+    return K.match_hotspots(now.unionByName(before), ["window", "hazard_type"])
 
 
-@query("propagation_hits", oracle(["reports"], f"SELECT f.id, 9::BIGINT AS cells, count(DISTINCT (r.row, r.col)) AS hits FROM (SELECT * FROM reports WHERE id % 50 = 0) f LEFT JOIN reports r ON abs(r.row - f.row) <= 1 AND abs(r.col - f.col) <= 1 AND r.t >= f.t AND r.t <= f.t + {3 * S.HOUR} GROUP BY ALL"))
+@query("propagation_hits", oracle(["reports"], f"SELECT f.id, 9::BIGINT AS cells, count(DISTINCT (r.row, r.col)) AS hits FROM reports f LEFT JOIN reports r ON abs(r.row - f.row) <= 1 AND abs(r.col - f.col) <= 1 AND r.t >= f.t AND r.t <= f.t + {3 * S.HOUR} GROUP BY ALL"))
 def propagation_hits(spark, d):
-    """Of the cells about every 50th report, those that got any report within three hours."""
+    """Of the cells about each report, those that got any report within three hours."""
     r = V.reports(spark, d)
     width = 3 * S.HOUR
-    f = r.filter("id % 50 = 0").select("id", "t", F.explode(ring(F.col("row"), F.col("col"))).alias("c"))
+    f = r.select("id", "t", F.explode(ring(F.col("row"), F.col("col"))).alias("c"))
     bin_of = lambda x: F.floor(x / width)
     f = f.select("id", "t", "c.row", "c.col", F.explode(F.array(bin_of(F.col("t")), bin_of(F.col("t")) + 1)).alias("bin"))
     times = r.select("row", "col", F.col("t").alias("rt"), bin_of(F.col("t")).alias("bin"))
     met = f.join(times, ["row", "col", "bin"]).filter((F.col("rt") >= F.col("t")) & (F.col("rt") <= F.col("t") + width))
     hits = met.groupBy("id").agg(F.countDistinct("row", "col").alias("hits"))
-    return r.filter("id % 50 = 0").join(hits, "id", "left").select("id", F.lit(9).cast("long").alias("cells"), F.coalesce("hits", F.lit(0)).alias("hits"))
+    return r.join(hits, "id", "left").select("id", F.lit(9).cast("long").alias("cells"), F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 @query("keyword_classify", oracle([], "SELECT doc_id, CASE WHEN best.hits > 0 THEN best.hazard END AS hazard_type, best.hits::BIGINT AS hits FROM (SELECT doc_id, list_max([" + ", ".join("{'hits': " + " + ".join(f"contains(lower(coalesce(text, '')), '{w.lower()}')::INT" for w in ws) + f", 'back': {-i}, 'hazard': '{k}'" + "}" for i, (k, ws) in enumerate(fixed.KEYWORDS.items())) + "]) AS best FROM documents)"))

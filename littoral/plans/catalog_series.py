@@ -102,12 +102,12 @@ ORACLE["poll_from"] = oracle(["readings"], f"SELECT station_id, greatest(max(t),
 
 
 def _forecasts(spark, d):
-    """One prediction for every 20th reading, 3 minutes off and a tenth too high."""
-    r = V.readings(spark, d).filter("event_id % 20 = 0")
+    """One prediction for every reading, 3 minutes off and a tenth too high."""
+    r = V.readings(spark, d)
     return r.select(F.col("event_id").alias("forecast_id"), *KEYS, (F.col("t") + 3 * R.MINUTE).alias("t"), (F.col("value") * 1.1).alias("predicted"))
 
 
-_FORECASTS = f"SELECT event_id AS forecast_id, station_id, variable, t + {3 * R.MINUTE} AS t, value * 1.1 AS predicted FROM readings WHERE event_id % 20 = 0"
+_FORECASTS = f"SELECT event_id AS forecast_id, station_id, variable, t + {3 * R.MINUTE} AS t, value * 1.1 AS predicted FROM readings"
 _MATCHED = f"""SELECT f.forecast_id, f.station_id, f.variable, f.predicted, arg_min(r.value, (abs(r.t - f.t), r.event_id)) AS actual FROM forecasts f
   JOIN readings r ON r.station_id = f.station_id AND r.variable = f.variable AND abs(r.t - f.t) <= {20 * R.MINUTE} GROUP BY ALL"""
 

@@ -120,6 +120,39 @@ def audit_events(spark: SparkSession, d: str) -> DataFrame:
     return o.select(F.col("o_custkey").alias("subject"), F.col("o_orderkey").alias("id"), envelope.alias("envelope"))
 
 
+def checkins(spark: SparkSession, d: str) -> DataFrame:
+    """Safety check-ins, made of orders: one in three people needs help."""
+    o = table(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("person"), micros("o_orderdate").alias("t"), F.expr("CASE WHEN o_orderkey % 3 = 0 THEN 'need_help' ELSE 'safe' END").alias("status"), (1290 + F.col("o_custkey") % 20).alias("row"), (8010 + F.col("o_custkey") % 15).alias("col"))
+
+
+def damages(spark: SparkSession, d: str) -> DataFrame:
+    """Damage assessments, made of orders with image statistics from their keys."""
+    o = table(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), micros("o_orderdate").alias("t"), (F.col("o_orderkey") % 100 / 100).alias("water"), (F.col("o_custkey") % 40 / 100).alias("edges"), (1290 + F.col("o_custkey") % 20).alias("row"), (8010 + F.col("o_custkey") % 15).alias("col"), F.expr("CASE WHEN o_orderkey % 4 = 0 THEN 'reviewed' ELSE 'pending' END").alias("status"))
+
+
+def shelters(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    return s.select(k.alias("shelter_id"), F.col("s_name").alias("name"), F.expr("CASE s_suppkey % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'full' ELSE 'closed' END").alias("status"), F.expr("CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey * 10 END").alias("capacity"), ((1280 + k % 40) / 100).alias("lat"), ((7990 + F.expr("s_suppkey div 40") % 40) / 100).alias("lon"))
+
+
+def narratives(spark: SparkSession, d: str) -> DataFrame:
+    """Stored narratives, made of parts: hazard, cells, state and the report that leads each."""
+    p = table(spark, d, "part")
+    k = F.col("p_partkey")
+    cells = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: k % 60 + i)
+    return p.select(k.alias("narrative_id"), F.array(*map(F.lit, HAZARDS.values()))[(k % 5).cast("int")].alias("hazard_type"), cells.alias("cells"), F.expr("CASE p_partkey % 3 WHEN 0 THEN 'draft' WHEN 1 THEN 'approved' ELSE 'dismissed' END").alias("status"), (k % 7 + 2).alias("n"))
+
+
+def forecasts(spark: SparkSession, d: str) -> DataFrame:
+    """Stored water-level forecasts, made of orders: issue time, and points one to four hours on."""
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    return o.select(k.alias("forecast_id"), (k % 2).alias("station"), micros("o_orderdate").alias("issued"), F.transform(F.sequence(F.lit(1), F.lit(4)), lambda h: F.struct(h.cast("long").alias("hours"), ((k * 7 + h * 13) % 50 / 10).alias("level"))).alias("points"))
+
+
 _SEG = "['" + "', '".join(SEGMENTS) + "']"
 _HAZ = "['" + "', '".join(HAZARDS.values()) + "']"
 SQL: dict[str, str] = {
@@ -143,6 +176,11 @@ SQL: dict[str, str] = {
     "subscriptions": "SELECT c_custkey AS subscription_id, c_custkey % 3 AS min_rank, [c_custkey % 50, c_custkey % 50 + 1, c_custkey % 50 + 2] AS cells FROM customer",
     "alerts": """SELECT n_nationkey::BIGINT AS alert_id, n_nationkey % 3 AS tier_rank, [n_nationkey * 2, n_nationkey * 2 + 1, n_nationkey * 2 + 2, n_nationkey * 2 + 3] AS cells,
         [n_nationkey * 2 + 4, n_nationkey * 2 + 5] AS projected FROM nation""",
+    "checkins": "SELECT o_orderkey AS id, o_custkey AS person, epoch_us(o_orderdate) AS t, CASE WHEN o_orderkey % 3 = 0 THEN 'need_help' ELSE 'safe' END AS status, 1290 + o_custkey % 20 AS row, 8010 + o_custkey % 15 AS col FROM orders",
+    "damages": "SELECT o_orderkey AS id, epoch_us(o_orderdate) AS t, o_orderkey % 100 / 100 AS water, o_custkey % 40 / 100 AS edges, 1290 + o_custkey % 20 AS row, 8010 + o_custkey % 15 AS col, CASE WHEN o_orderkey % 4 = 0 THEN 'reviewed' ELSE 'pending' END AS status FROM orders",
+    "shelters": "SELECT s_suppkey AS shelter_id, s_name AS name, CASE s_suppkey % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'full' ELSE 'closed' END AS status, CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey * 10 END AS capacity, (1280 + s_suppkey % 40) / 100 AS lat, (7990 + s_suppkey // 40 % 40) / 100 AS lon FROM supplier",
+    "narratives": f"SELECT p_partkey AS narrative_id, {_HAZ}[p_partkey % 5 + 1] AS hazard_type, [p_partkey % 60, p_partkey % 60 + 1, p_partkey % 60 + 2, p_partkey % 60 + 3] AS cells, CASE p_partkey % 3 WHEN 0 THEN 'draft' WHEN 1 THEN 'approved' ELSE 'dismissed' END AS status, p_partkey % 7 + 2 AS n FROM part",
+    "forecasts": "SELECT o_orderkey AS forecast_id, o_orderkey % 2 AS station, epoch_us(o_orderdate) AS issued, list_transform(range(1, 5), lambda h: {'hours': h, 'level': (o_orderkey * 7 + h * 13) % 50 / 10}) AS points FROM orders",
     "audit_events": """SELECT o_custkey AS subject, o_orderkey AS id,
         'order.created|' || o_orderkey || '|' || o_orderstatus || '|' || o_orderpriority AS envelope FROM orders""",
 }

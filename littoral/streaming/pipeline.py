@@ -20,7 +20,7 @@ def read_json(spark: SparkSession, folder: str, schema: str, files_per_trigger:
 
 
 def ingest(reports: DataFrame, now: Column | None = None, cell_degrees: float = 0.01) -> DataFrame:
-    """Valid reports, once per client key, with what follows from the row alone: event time clamped to the last day,
+    """Valid reports, once per client key (all of those without one, whose id comes from what they say), with what follows from the row alone: event time clamped to the last day,
     reporter, cell, hazard (a stated one is never replaced), urgency and hearsay. Clamping first means that the
     watermark of a day drops nothing."""
     now = F.current_timestamp() if now is None else now
@@ -29,7 +29,7 @@ def ingest(reports: DataFrame, now: Column | None = None, cell_degrees: float =
     row, col = square_cell(F.col("lat"), F.col("lon"), cell_degrees)
     guessed, _ = text.classify(F.col("text"))
     return once.select(
-        F.sha2(F.concat_ws(":", "source", "client_key"), 256).alias("id"),
+        F.sha2(F.concat_ws(":", "source", F.coalesce("client_key", F.to_json(F.struct("external_id", "lat", "lon", "hazard_type", "text", "observed_at")))), 256).alias("id"),
         F.sha2(F.concat_ws(":", "source", "external_id"), 256).alias("reporter_id"),
         "created_at", "lat", "lon", row.alias("row"), col.alias("col"),
         F.coalesce("hazard_type", guessed, F.lit("other")).alias("hazard_type"),

@@ -120,9 +120,11 @@ def alert_changes(stream: DataFrame) -> DataFrame:
 
 
 def first_seen(stream: DataFrame, key: str, time: str, late: str = "24 hours") -> DataFrame:
-    """One row for each non-null key within the watermark: replays of a client's message are dropped."""
-    keyed = stream.filter(F.col(key).isNotNull()).withWatermark(time, late)
-    return keyed.dropDuplicatesWithinWatermark([key])
+    """One row for each key within the watermark: replays of a client's message are dropped. Rows without a key can't be
+    replays of anything and all pass."""
+    timed = stream.withWatermark(time, late)
+    once = timed.filter(F.col(key).isNotNull()).dropDuplicatesWithinWatermark([key])
+    return once.unionByName(timed.filter(F.col(key).isNull()))
 
 
 def merge_incidents(stream: DataFrame, window_hours: float = 6.0) -> DataFrame:
