@@ -5,10 +5,12 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .spatial import within_km
+
 
 @F.pandas_udf(T.DoubleType())
 def name_score(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -22,16 +24,53 @@ def _letters(name: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.concat(F.substring(low, i, F.lit(1)), F.length(F.regexp_replace(F.substring(low, F.lit(1), i), F.concat(F.lit("[^\\Q"), F.substring(low, i, F.lit(1)), F.lit("\\E]")), F.lit("")))))
 
 
-def fuzzy_pairs(people: DataFrame, name: str, kind: str, key: str, least: float) -> DataFrame:
-    """For each person the number of people of another kind whose name scores at least ``least``, and the best score.
+def similar_names(names: DataFrame, least: float) -> DataFrame:
+    """a, b, score: distinct names (column a) whose ratio reaches ``least``, both ways.
 
-    Names are few against people, so distinct names are compared, and only those that share enough letters: 2M/T with M
-    at most the letters in common bounds the ratio from above. Pairs of names come from an equi-join on letters.
+    The ratio is 2M/T, and M is at most the letters in common, so a pair must share at least least/(2 - least) of the
+    longer name's letters. Each name is looked up by its rarest letters alone, as many as can't all be missing from a
+    partner (prefix filtering); whole letter sets are compared after that, and the ratio is taken of what is left.
     """
-    names = people.filter(F.length(F.trim(F.col(name))) > 0).select(F.col(name).alias("a")).distinct().withColumn("la", F.length(F.trim(F.col("a"))))
-    lettered = names.withColumn("x", F.explode(_letters(F.col("a"))))
-    common = lettered.join(lettered.select(F.col("a").alias("b"), F.col("la").alias("lb"), "x"), "x").groupBy("a", "b", "la", "lb").agg(F.count("*").alias("m"))
-    scored = common.filter(2 * F.col("m") >= least * (F.col("la") + F.col("lb"))).select("a", "b", name_score("a", "b").alias("score")).filter(F.col("score") >= least)
+    low = F.length(F.trim(F.col("a")))
+    named = names.filter(low > 0).select("a").distinct().withColumns({"la": low, "letters": _letters(F.col("a"))})
+    often = named.select(F.explode("letters").alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    common = F.broadcast(often.filter("n > 1").groupBy().agg(F.map_from_entries(F.collect_list(F.struct("x", "n"))).alias("often")))  # one row: an alphabet's letters
+    rare = F.transform(F.sort_array(F.transform("letters", lambda x: F.struct(F.coalesce(F.col("often")[x], F.lit(1)).alias("n"), x.alias("x")))), lambda y: y["x"])
+    enough = F.ceil(F.col("la") * (least / (2 - least)) - 1e-9).cast("int")
+    keyed = named.crossJoin(common).select("a", "la", "letters", F.explode(F.slice(rare, 1, F.greatest(F.col("la") - enough + 1, F.lit(1)))).alias("x"))
+    other = keyed.select(F.col("a").alias("b"), F.col("la").alias("lb"), F.col("letters").alias("others"), "x")
+    shared = F.size(F.array_intersect("letters", "others"))
+    met = keyed.join(other, "x").filter(2 * F.least("la", "lb") >= least * (F.col("la") + F.col("lb"))).filter(2 * shared >= least * (F.col("la") + F.col("lb")))
+    return met.select("a", "b").distinct().select("a", "b", name_score("a", "b").alias("score")).filter(F.col("score") >= least)
+
+
+def ranked_matches(people: DataFrame, least: float, most_km: float) -> DataFrame:
+    """id, candidate, name_score, distance_km, rank: for each person (id, name, kind, lat, lon) everyone of another kind
+    whose name scores at least ``least``, the best first. Where both have a place they must be within ``most_km``; a
+    person without one is not held back for it.
+
+    People meet by pairs of similar names, and those with places also by cells, so a common name meets near people only.
+    """
+    named = similar_names(people.select(F.col("name").alias("a")), least)
+    own = people.select("id", F.col("name").alias("a"), "kind", "lat", "lon")
+    other = people.select(F.col("id").alias("candidate"), F.col("name").alias("b"), F.col("kind").alias("other"), F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
+    asked = own.join(named, "a")
+    placed, loose = asked.filter("lat IS NOT NULL AND lon IS NOT NULL"), asked.filter("lat IS NULL OR lon IS NULL")
+    there, nowhere = other.filter("rlat IS NOT NULL AND rlon IS NOT NULL"), other.filter("rlat IS NULL OR rlon IS NULL")
+    near = within_km(placed, there, most_km, on=["b"])
+    apart = F.lit(None).cast("double").alias("distance_km")
+    columns = ["id", "candidate", "kind", "other", "score"]
+    met = near.select(*columns, F.round("distance_km", 2).alias("distance_km"))
+    met = met.unionByName(placed.join(nowhere, "b").select(*columns, apart)).unionByName(loose.join(other, "b").select(*columns, apart))
+    w = Window.partitionBy("id").orderBy(F.desc("name_score"), "candidate")
+    out = met.filter("kind <> other").select("id", "candidate", F.round("score", 3).alias("name_score"), "distance_km")
+    return out.withColumn("rank", F.row_number().over(w))
+
+
+def fuzzy_pairs(people: DataFrame, name: str, kind: str, key: str, least: float) -> DataFrame:
+    """For each person the number of people of another kind whose name scores at least ``least``, and the best score.
+    Names are few against people, so distinct names are compared."""
+    scored = similar_names(people.select(F.col(name).alias("a")), least)
     held = people.groupBy(F.col(name).alias("b"), F.col(kind).alias("other")).agg(F.count("*").alias("k"))
     kinds = people.select(F.col(name).alias("a"), F.col(kind).alias("own")).distinct()
     per_name = kinds.join(scored, "a").join(held, "b").filter("own <> other").groupBy("a", "own").agg(F.sum("k").alias("candidates"), F.round(F.max("score"), 4).alias("best"))

@@ -98,12 +98,14 @@ def design(hours: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones_like(hours), hours, *waves])
 
 
-def harmonic_forecast(df: DataFrame, keys: list[str], horizon_hours: float = 6.0, step_minutes: int = 30, least_points: int = 20, history: int = 7 * DAY) -> DataFrame:
-    """Trend and tides by least squares over the last week of each series, and the points after its end.
+def harmonic_forecast(df: DataFrame, keys: list[str], horizon_hours: float = 6.0, step_minutes: int = 30, least_points: int = 20, history: int = 7 * DAY, as_of: int | None = None) -> DataFrame:
+    """Trend and tides by least squares over the last week of each series, and the points after its end. With ``as_of``
+    only what was known then is used: a backtest.
 
     The normal equations' 21 sums are DataFrame aggregates with map-side combining; only they meet in one place for a
     series, and solving them is a 6 x 6 problem.
     """
+    df = df if as_of is None else df.filter(F.col("t") <= as_of)
     end = df.groupBy(*keys).agg(F.max("t").alias("end"))
     recent = df.join(end, keys).filter(F.col("t") >= F.col("end") - history)
     h = (F.col("t") - F.col("end")) / F.lit(float(HOUR))

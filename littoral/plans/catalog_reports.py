@@ -205,11 +205,14 @@ def phash_reuse(spark, d):
 
 @query("missing_matches")
 def missing_matches(spark, d):
-    """Names of opposite kinds that resemble each other. Equal names are compared once: pairs of distinct names that
-    share a word-initial or a bigram go to the ratio, which needs so many common letters that others can't reach it."""
-    from ..operators.recovery import fuzzy_pairs
-
-    return fuzzy_pairs(V.persons(spark, d), "name", "kind", "id", 0.72)
+    """For each missing or found person the people of the other kind with a similar name, near where both places are
+    known, ranked."""
+    from ..operators.recovery import ranked_matches
+
+    k = F.col("id")
+    place = lambda first, n: F.when(k % 7 > 0, (first + k * 31 % n) / 100)
+    p = V.persons(spark, d).select("id", "name", "kind", place(1280, 60).alias("lat"), place(7990, 37).alias("lon"))
+    return ranked_matches(p, 0.72, 5.0)
 
 
 _COHERENCE = f"SELECT a.id, count(DISTINCT b.reporter_id) AS k FROM reports a JOIN reports b ON a.hazard_type = b.hazard_type AND a.row = b.row AND a.col = b.col AND a.reporter_id <> b.reporter_id AND b.status <> 'rejected' AND abs(a.t - b.t) <= {30 * R.MINUTE} GROUP BY a.id"

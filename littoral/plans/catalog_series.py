@@ -150,6 +150,18 @@ def forecast_horizon_pick(spark, d):
 QUERIES["forecast_horizon_pick"] = forecast_horizon_pick
 
 
+def forecast_backtest(spark, d):
+    """Each series' forecast as of two days before the end, against what was then read within half an hour."""
+    r = V.readings(spark, d)
+    as_of = r.agg(F.max("t").alias("t")).first().t - 2 * S.DAY
+    f = S.harmonic_forecast(r, KEYS, as_of=as_of).withColumnRenamed("value", "predicted")
+    m = S.nearest_in_time(f, r, KEYS, 30 * R.MINUTE, "value", "event_id").groupBy(*KEYS)
+    return m.agg(F.count("*").alias("scored"), r4(F.avg(F.abs(F.col("predicted") - F.col("actual")))).alias("mean_abs_error"))
+
+
+QUERIES["forecast_backtest"] = forecast_backtest
+
+
 def front_velocity(spark, d):
     """Fronts of each hazard and day, from the places of its reports."""
     r = V.reports(spark, d).withColumn("day", F.floor(F.col("t") / S.DAY))

@@ -59,6 +59,28 @@ def run(stream: DataFrame, path: str, checkpoint: str, transform: Callable[[Data
     query.awaitTermination()
 
 
+def telemetry_sink(path: str, now: Column | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink of sensor messages (id, topic, payload): readings, known stations, registrations of new ones,
+    and rejected messages. Each batch has folders of its own under ``path``, so one that is run again replaces what it
+    left; stations are a new version for each batch, made of the one before and of the batch."""
+    from ..sources import iot
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        readings, rejected = iot.parse(batch, F.current_timestamp() if now is None else now)
+        readings.dropDuplicates(["station_id", "variable", "time"]).write.mode("overwrite").parquet(f"{path}/readings/batch={number}")
+        rejected.write.mode("overwrite").parquet(f"{path}/rejected/batch={number}")
+        fresh = iot.stations(readings).withColumn("batch", F.lit(number))
+        known = fresh.limit(0) if number == 0 else spark.read.parquet(f"{path}/stations/version={number - 1}")
+        fresh.join(known, "station_id", "left_anti").write.mode("overwrite").parquet(f"{path}/registered/batch={number}")
+        both = known.unionByName(fresh).groupBy("station_id")
+        newest = F.max_by(F.struct("lat", "lon"), "batch").alias("at")
+        merged = both.agg(newest, F.array_sort(F.array_distinct(F.flatten(F.collect_list("variables")))).alias("variables"), F.max("batch").alias("batch"))
+        merged.select("station_id", "at.lat", "at.lon", "variables", "batch").write.mode("overwrite").parquet(f"{path}/stations/version={number}")
+
+    return write
+
+
 def overloaded(progress: dict | None, most_rows: int = 500) -> bool:
     """Whether a query's last progress shows more unread rows than analytics should run beside."""
     if not progress:

@@ -1,6 +1,7 @@
 """Operators on inputs whose results are known."""
 
 import math
+import random
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from littoral.functions import geo, media, scoring, text
 from littoral.functions.fixed import GENESIS
-from littoral.operators import alerts, audit, kernels, privacy, recovery, reports, series, spatial
+from littoral.operators import alerts, audit, kernels, ml, privacy, recovery, regions, reports, series, spatial
 
 HOUR = series.HOUR
 
@@ -73,6 +74,28 @@ def test_trailing_baseline(spark):
     assert series.anomalies(df.filter("k <> 's'"), ["k"]).count() == 0
 
 
+def test_trailing_baseline_far_from_zero(spark):
+    """Pressure in pascals: a flat series has no spread, a small spread keeps its digits."""
+    rng = np.random.default_rng(2)
+    rows = [("flat", i * HOUR, 101325.3) for i in range(200)] + [("fine", i * HOUR, 101325.3 + float(rng.normal(0, 0.01))) for i in range(200)] + [("fine", 200 * HOUR, 101325.4)]
+    df = spark.createDataFrame(rows, "k string, t long, value double")
+    got = {(r.k, r.t): r for r in series.trailing_stats(df, ["k"]).collect()}
+    assert max(r.std for (k, _), r in got.items() if k == "flat" and r.n) < 1e-9
+    base = np.array([v for k, t, v in rows if k == "fine" and 32 * HOUR <= t < 200 * HOUR])
+    last = got["fine", 200 * HOUR]
+    assert last.n == len(base) and math.isclose(last.std, base.std(), rel_tol=1e-6) and math.isclose(last.mean, base.mean(), rel_tol=1e-12)
+    assert {r.k for r in series.anomalies(df, ["k"], z=6.0).collect()} == {"fine"}
+
+
+def test_backtest_uses_only_the_past(spark):
+    t = np.arange(400)
+    rows = [("s", int(h) * HOUR, float(1 + 0.01 * h + 0.3 * np.sin(2 * np.pi * h / 12.42)) if h <= 300 else 99.0) for h in t]
+    df = spark.createDataFrame(rows, "k string, t long, value double")
+    for r in series.harmonic_forecast(df, ["k"], as_of=300 * HOUR).collect():
+        h = r.t / HOUR
+        assert 300 < h <= 306 and abs(r.value - (1 + 0.01 * h + 0.3 * np.sin(2 * np.pi * h / 12.42))) < 0.05
+
+
 def test_harmonic_forecast(spark):
     f = lambda h: 1 + 0.01 * h + 0.3 * math.sin(2 * math.pi * h / 12.42)
     df = spark.createDataFrame([("a", h * HOUR, f(h)) for h in range(240)] + [("b", h * HOUR, 1.0) for h in range(5)], "k string, t long, value double")
@@ -140,6 +163,90 @@ def test_names(spark):
     assert got == want
 
 
+def test_ranked_matches(spark):
+    rng = random.Random(4)
+    names = ["Kavya Raman", "Kavia Raman", "kavya  ramon", "Suresh Pillai", "S. Pillay", "Anbu", "Anbu K", "Lakshmi Narayanan", "Laxmi Narayan", None, ""]
+    people = [(i, rng.choice(names), i % 2, *((13 + rng.random() / 10, 80 + rng.random() / 10) if rng.random() < 0.8 else (None, None))) for i in range(150)]
+    df = spark.createDataFrame(people, "id long, name string, kind int, lat double, lon double")
+    score = lambda a, b: SequenceMatcher(None, a.strip().lower(), b.strip().lower()).ratio()
+    want = set()
+    for i, a, k, la, lo in people:
+        for j, b, o, lb, lp in people:
+            if a and b and k != o and score(a, b) >= 0.72:
+                km = None
+                if la is not None and lb is not None:
+                    h = math.sin(math.radians(lb - la) / 2) ** 2 + math.cos(math.radians(la)) * math.cos(math.radians(lb)) * math.sin(math.radians(lp - lo) / 2) ** 2
+                    km = 2 * 6371.0 * math.asin(math.sqrt(h))
+                    if km > 5:
+                        continue
+                want.add((i, j, round(score(a, b), 3), None if km is None else round(km, 2)))
+    rows = recovery.ranked_matches(df, 0.72, 5.0).collect()
+    assert {(r.id, r.candidate, r.name_score, r.distance_km) for r in rows} == want and len(rows) == len(want)
+    for r in rows:
+        assert r.rank == 1 + sum(x.id == r.id and (-x.name_score, x.candidate) < (-r.name_score, r.candidate) for x in rows)
+
+
+def test_federated_fits(spark):
+    """Newton's fits are the penalised likelihood's maximum; shards that lack a class are left out of its average."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4))
+    label = np.where(x[:, 0] > 0.5, 1, np.where(x[:, 1] > 0.5, 2, 3))
+    rows = [(i, x[i].tolist(), int(label[i]), i % 3) for i in range(300) if not (i % 3 == 2 and label[i] == 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, shard int").repartition(5)
+    fits = ml.binary_fits(df, [1, 2, 3], 4)
+    assert set(fits) == {(s, c) for s in range(3) for c in (1, 2, 3)} - {(2, 1)}
+    for (s, c), w in fits.items():
+        own = np.array([[*v, 1.0] for _, v, _, k in rows if k == s])
+        y = np.array([lab == c for _, _, lab, k in rows if k == s])
+        gradient = own.T @ (1 / (1 + np.exp(-own @ w)) - y) + np.append(w[:4], 0)
+        assert np.abs(gradient).max() < 1e-4
+    sizes = {s: sum(k == s for *_, k in rows) for s in range(3)}
+    assert np.allclose(ml.federated_average(fits, sizes, [1])[1], np.average([fits[0, 1], fits[1, 1]], axis=0, weights=[sizes[0], sizes[1]]))
+    out = ml.federated_accuracy(df.drop("shard"), "vec_id", 3).collect()
+    assert len(out) == 3 and all(r.f1 > 0.6 and r.central_f1 > 0.6 for r in out)
+    assert all(r.f1 > 0.7 for r in ml.linear_probe(df, "vec_id").collect())
+
+
+def test_image_stats(spark):
+    rng = np.random.default_rng(6)
+    noise, sea = rng.integers(0, 256, (16, 16, 3), dtype=np.uint8), np.zeros((16, 16, 3), dtype=np.uint8)
+    sea[..., 2] = 200
+    df = spark.createDataFrame([(1, bytearray(noise.tobytes())), (2, bytearray(sea.tobytes())), (3, None), (4, bytearray(b"xx"))], "id int, rgb binary")
+    got = {r.id: r.s for r in df.select("id", media.image_stats("rgb").alias("s")).collect()}
+    assert got[1].brightness == round(noise.mean() / 255, 4) and got[1].contrast == round((noise / 255).std(), 4) and got[1].edge_density > 0.2
+    assert (got[2].water_fraction, got[2].brightness) == (1.0, round(200 / 255 / 3, 4)) and got[3].brightness is None and got[4].brightness is None
+    flat = got[2].edge_density  # only the outermost pixels, which stay grey 23
+    assert flat == round(60 * (((200 * 7471 + 32768) >> 16) / 255) / 256, 4)
+    kind = df.filter("id = 2").select(scoring.damage(media.image_stats("rgb")["water_fraction"], media.image_stats("rgb")["edge_density"])[1].alias("x")).first().x
+    assert kind == "destroyed"
+
+
+def test_regions(spark):
+    cells = [("a", 0, 0), ("a", 1, 1), ("a", 2, 2), ("a", 5, 5), ("b", 1, 1)] + [("c", 0, i) for i in range(40)]
+    got = {tuple(r)[:3]: r.region for r in regions.with_region(spark.createDataFrame(cells, "k string, row int, col int"), ["k"]).collect()}
+    assert got["a", 0, 0] == got["a", 2, 2] == "0:0" and got["a", 5, 5] == "5:5" and got["b", 1, 1] == "1:1"
+    assert {got["c", 0, i] for i in range(40)} == {"0:0"}
+
+
+def test_hulls_and_rings(spark):
+    points = [("k", 13.0 + i / 10, 80.0 + j / 10) for i in range(4) for j in range(4)] + [("one", 5.0, 6.0)]
+    got = {r.k: r.hull for r in kernels.hulls(spark.createDataFrame(points, "k string, lat double, lon double").repartition(3), ["k"]).collect()}
+    assert all(len(h) > 8 and h[0] == h[-1] for h in got.values())
+    assert min(p.lon for p in got["k"]) == 79.995 and max(p.lat for p in got["k"]) == 13.305 and max(p.lon for p in got["one"]) == 6.005
+    square = F.array(*(F.struct(F.lit(a).alias("lat"), F.lit(b).alias("lon")) for a, b in ((0.0, 0.0), (0.0, 2.0), (2.0, 2.0), (2.0, 0.0))))
+    on = lambda a, b: one(spark, geo.on_ring(F.lit(a), F.lit(b), square).alias("x")).x
+    assert on(0.0, 1.0) and on(2.0, 2.0) and not on(1.0, 1.0) and not on(0.0, 3.0)
+
+
+def test_global_chain(spark):
+    events = spark.createDataFrame([(i, f"e{i}") for i in range(50)], "id long, envelope string").repartition(4)
+    chain = audit.global_chain(events, "id", "envelope")
+    assert audit.verify_global(chain).first()[:3] == (50, None, 50)
+    changed = chain.withColumn("envelope", F.when(F.col("id").isin(30, 40), "x").otherwise(F.col("envelope")))
+    assert audit.verify_global(changed).first()[:3] == (50, 30, 30)
+    assert audit.verify_global(chain.filter("id <> 20")).first()[1] == 21
+
+
 def test_audit_chain_finds_changes(spark):
     events = spark.createDataFrame([("x", i, f"e{i}") for i in range(4)], "s string, id long, env string")
     log = audit.entries(events, "s", "id", "env")
