@@ -10,8 +10,10 @@ from ..functions.geo import DEGREE_KM
 from ..operators import narratives as N
 from ..operators import reports as R
 from ..operators import series as S
+from ..operators import spatial as P
 from . import views as V
-from .views import Query, oracle
+from .catalog_reports import _MARKS
+from .views import Query, km, oracle
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -35,11 +37,20 @@ def narrative_overlap(spark, d):
     return N.overlapping(a, s, "alert_id", "subscription_id", "cells", "others", 0.5).groupBy("alert_id").agg(F.max("subscription_id").alias("newest"))
 
 
-@query("station_map", oracle(["stations", "reports"], f"SELECT s.station_id, s.variable, round(s.z, 3) AS z, abs(s.z) >= 3 AS anomalous, coalesce(n, 0) AS reports FROM stations s LEFT JOIN (SELECT row - 1300 AS k, count(*) AS n FROM reports WHERE t >= (SELECT max(t) FROM reports) - {S.DAY} GROUP BY ALL) r ON r.k = s.station_id"))
+@query(
+    "station_map",
+    oracle(
+        ["stations", "reports"],
+        f"SELECT s.station_id, s.variable, round(s.z, 3) AS z, abs(s.z) >= 3 AS anomalous, coalesce(sum(n), 0)::BIGINT AS reports FROM stations s LEFT JOIN r ON {km('r.lat', 'r.lon', 's.slat', 's.slon')} <= 5 GROUP BY ALL",
+        r=f"SELECT lat, lon, count(*) AS n FROM reports WHERE t >= (SELECT max(t) FROM reports) - {S.DAY} GROUP BY ALL",
+    ),
+)
 def station_map(spark, d):
+    """Stations with their anomaly and the reports of the last day within five kilometres. Places are counted first."""
     r = V.reports(spark, d)
     now = r.agg(F.max("t").alias("now"))
-    near = r.crossJoin(F.broadcast(now)).filter(F.col("t") >= F.col("now") - S.DAY).groupBy((F.col("row") - 1300).cast("long").alias("station_id")).agg(F.count("*").alias("n"))
+    places = r.crossJoin(F.broadcast(now)).filter(F.col("t") >= F.col("now") - S.DAY).groupBy("lat", "lon").agg(F.count("*").alias("n"))
+    near = P.within_km(places, V.stations(spark, d), 5.0, at=("lat", "lon", "slat", "slon")).groupBy("station_id").agg(F.sum("n").alias("n"))
     s = V.stations(spark, d).join(near, "station_id", "left")
     return s.select("station_id", "variable", F.round("z", 3).alias("z"), (F.abs("z") >= 3).alias("anomalous"), F.coalesce("n", F.lit(0)).alias("reports"))
 
@@ -153,16 +164,23 @@ def satellite_due(spark, d):
     return r.groupBy("hazard_type", "recipe").agg(F.countDistinct("row").alias("incidents"))
 
 
-@query("cap_superseded")
-def cap_superseded(spark, d):
-    from ..sources.cap import SAMPLES, superseded
-
-    return superseded(spark.createDataFrame(list(enumerate(SAMPLES)), "id long, xml string"))
+_NEAR = f"SELECT hazard_type, row, contradicted, rejected, (SELECT arg_min(name, (round({km('row / 100', '80.0', 'mlat', 'mlon')}, 9), name)) FROM marks) AS place FROM c"
+_WHY = "CASE WHEN rejected > 0 THEN 'an analyst looked at such reports and found no hazard' ELSE 'instruments nearby show nothing unusual' END"
 
 
-@query("corrections")
+@query(
+    "corrections",
+    oracle(
+        ["reports"],
+        f"SELECT hazard_type, row, 'Not confirmed: ' || replace(hazard_type, '_', ' ') || ' near ' || place || '. Reason: ' || {_WHY} || '. Please check official channels before sharing.' AS standard, 'Not confirmed: ' || replace(hazard_type, '_', ' ') || ' near ' || place || '. Please don''t share.' AS short FROM n WHERE contradicted",
+        c="SELECT *, rejected > 0 OR (hazard_type <> 'oil_spill' AND flat) AS contradicted FROM (SELECT hazard_type, row, count(*) FILTER (WHERE status = 'rejected') AS rejected, max(value) < 150 AS flat FROM reports GROUP BY hazard_type, row)",
+        marks=_MARKS,
+        n=_NEAR,
+    ),
+)
 def corrections(spark, d):
-    """Texts that set contradicted narratives right, at the nearest landmark."""
+    """Texts that set contradicted narratives right, each at the landmark nearest to it."""
     c = contradictions(spark, d).filter("contradicted")
-    m = N.correction(F.col("hazard_type"), F.lit("Marina Beach"), F.col("rejected"))
+    place = P.nearest_of(F.col("row") / 100, F.lit(80.0), fixed.LANDMARKS)["name"]
+    m = N.correction(F.col("hazard_type"), place, F.col("rejected"))
     return c.select("hazard_type", "row", m["standard"].alias("standard"), m["short"].alias("short"))

@@ -142,12 +142,12 @@ def nearest_landmark(spark, d):
 
 
 _COVER = f"""SELECT hazard_type, row, col, advisory_id, certainty FROM (SELECT DISTINCT hazard_type, row, col, lat, lon FROM reports) r JOIN advisories a USING (hazard_type)
-  WHERE {km('lat', 'lon', 'clat', 'clon')} <= radius_km QUALIFY row_number() OVER (PARTITION BY hazard_type, row, col ORDER BY advisory_id) = 1"""
+  WHERE NOT expired AND {km('lat', 'lon', 'clat', 'clon')} <= radius_km QUALIFY row_number() OVER (PARTITION BY hazard_type, row, col ORDER BY advisory_id) = 1"""
 
 
 def _covered(spark, d):
     places = V.reports(spark, d).select("hazard_type", "row", "col", "lat", "lon").distinct()
-    met = P.covering_circles(places, V.advisories(spark, d), ["hazard_type"])
+    met = P.covering_circles(places, V.advisories(spark, d).filter(~F.col("expired")), ["hazard_type"])
     return met.groupBy("hazard_type", "row", "col").agg(F.min(F.struct("advisory_id", "certainty")).alias("a")).select("hazard_type", "row", "col", "a.*")
 
 
@@ -157,16 +157,25 @@ def advisory_cover(spark, d):
     return c.select("hazard_type", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "advisory_id", "certainty")
 
 
-@query("advisory_polygons")
+def _side(a: tuple[float, float], b: tuple[float, float]) -> str:
+    return f"(({b[1]}::DOUBLE - {a[1]}::DOUBLE) * (lat - (clat + {a[0]}::DOUBLE)) - ({b[0]}::DOUBLE - {a[0]}::DOUBLE) * (lon - (clon + {a[1]}::DOUBLE)))"
+
+
+_CORNERS = [(0.081, 0.003), (-0.043, 0.071), (-0.047, -0.069)]
+_SIDES = [_side(a, b) for a, b in zip(_CORNERS, _CORNERS[1:] + _CORNERS[:1])]
+
+
+@query("advisory_polygons", oracle(["reports", "advisories"], f"SELECT row, col, advisory_id FROM spots, advisories WHERE least({', '.join(_SIDES)}) >= 0 OR greatest({', '.join(_SIDES)}) <= 0", spots=_SPOTS))
 def advisory_polygons(spark, d):
-    """Places inside a triangle about each advisory's centre, by even crossings in column expressions."""
+    """Places inside a triangle about each advisory's centre, by even crossings in column expressions; its edges count."""
     a = V.advisories(spark, d)
     corner = lambda dy, dx: F.struct((F.col("clat") + dy).alias("lat"), (F.col("clon") + dx).alias("lon"))
-    shapes = a.select("advisory_id", F.lit(20.0).alias("radius_km"), "clat", "clon", F.array(corner(0.081, 0.003), corner(-0.043, 0.071), corner(-0.047, -0.069)).alias("ring"))
-    from ..functions.geo import in_ring
+    shapes = a.select("advisory_id", F.lit(20.0).alias("radius_km"), "clat", "clon", F.array(*(corner(*c) for c in _CORNERS)).alias("ring"))
+    from ..functions.geo import in_ring, on_ring
 
     met = P.covering_circles(_spots(spark, d), shapes, [])
-    return met.filter(in_ring(F.col("lat"), F.col("lon"), F.col("ring"))).select("row", "col", "advisory_id")
+    inside = in_ring(F.col("lat"), F.col("lon"), F.col("ring")) | on_ring(F.col("lat"), F.col("lon"), F.col("ring"))
+    return met.filter(inside).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "advisory_id")
 
 
 _FAN = "SELECT DISTINCT alert_id, subscription_id FROM (SELECT alert_id, tier_rank, unnest(list_concat(cells, projected)) AS c FROM alerts) JOIN (SELECT subscription_id, min_rank, unnest(cells) AS c FROM subscriptions) USING (c) WHERE tier_rank >= min_rank"

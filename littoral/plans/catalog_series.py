@@ -212,3 +212,9 @@ def rate_limit_fixed(spark, d):
 
 
 QUERIES["rate_limit_fixed"] = rate_limit_fixed
+ORACLE["rate_limit_fixed"] = (
+    "WITH RECURSIVE r AS (SELECT event_id AS id, user_id AS key, epoch_us(ts) AS t FROM events), "
+    f"w AS (SELECT key, min(t) AS s FROM r GROUP BY key UNION ALL SELECT w.key, min(r.t) AS s FROM w JOIN r ON r.key = w.key AND r.t >= w.s + {S.DAY} GROUP BY w.key), "
+    "x AS (SELECT r.key, r.t, r.id, row_number() OVER (PARTITION BY r.key, w.s ORDER BY r.t, r.id)::INT AS place FROM r ASOF JOIN w ON r.key = w.key AND r.t >= w.s) "
+    "SELECT key, t, id, place, place <= 2 AS allowed FROM x"
+)

@@ -260,14 +260,38 @@ def station_upsert(spark, d):
     return R.upsert(table, changes, "id")
 
 
-@query("cap_parse")
+def cap_documents(spark, d):
+    """CAP documents made of orders: alerts with a polygon or a circle, cancellations of the order before, and texts that
+    aren't XML."""
+    k = F.col("o_orderkey")
+    sent = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+    head = F.concat(F.lit('<alert xmlns="urn:oasis:names:tc:emergency:cap:1.2">'), tag("identifier", F.concat(F.lit("A-"), k.cast("string"))), F.lit("<sender>met</sender>"), tag("sent", sent))
+    shape = F.when(k % 2 == 0, "<polygon>13.0,80.2 13.2,80.2 13.2,80.4 13.0,80.2</polygon>").otherwise(tag("circle", F.concat(F.lit("12.9,80.25 "), (k % 20 + 1).cast("string"))))
+    event = F.when(k % 3 == 0, "Storm Surge Warning").when(k % 3 == 1, "High Surf").otherwise("Fog")
+    info = F.concat(tag("event", event), F.lit("<certainty>Likely</certainty><area><areaDesc>x</areaDesc>"), shape, F.lit("</area>"))
+    alert = F.concat(head, F.lit("<msgType>Alert</msgType>"), tag("info", info), F.lit("</alert>"))
+    cancel = F.concat(head, F.lit("<msgType>Cancel</msgType>"), tag("references", F.concat(F.lit("met,A-"), (k - 1).cast("string"), F.lit(",2024-01-01T00:00:00+00:00"))), F.lit("</alert>"))
+    return V.table(spark, d, "orders").select(k.alias("id"), F.when(k % 7 == 3, "no xml at all").when(k % 5 == 0, cancel).otherwise(alert).alias("xml"))
+
+
+@query("cap_parse", oracle([], "SELECT 'A-' || o_orderkey AS identifier, CASE o_orderkey % 3 WHEN 0 THEN 'storm_surge' WHEN 1 THEN 'high_waves' ELSE 'other' END AS hazard_type, epoch_us(date_trunc('second', o_orderdate)) AS sent, CASE WHEN o_orderkey % 2 = 0 THEN 4 END AS corners, CASE WHEN o_orderkey % 2 = 1 THEN (o_orderkey % 20 + 1)::DOUBLE END AS radius_km FROM orders WHERE o_orderkey % 7 <> 3 AND o_orderkey % 5 <> 0"))
 def cap_parse(spark, d):
-    from ..sources.cap import SAMPLES, parse
+    from ..sources.cap import parse
 
-    return parse(spark.createDataFrame([(i, x) for i, x in enumerate(SAMPLES)], "id long, xml string"))
+    p = parse(cap_documents(spark, d))
+    return p.select("identifier", F.coalesce("hazard_type", F.lit("other")).alias("hazard_type"), F.unix_micros("sent_at").alias("sent"), F.when(F.col("polygon").isNotNull(), F.size("polygon")).alias("corners"), F.col("circle.radius_km").alias("radius_km"))
 
 
-@query("iot_parse")
+@query("cap_superseded", oracle([], "SELECT 'A-' || (o_orderkey - 1) AS identifier, epoch_us(date_trunc('second', o_orderdate)) AS ended FROM orders WHERE o_orderkey % 7 <> 3 AND o_orderkey % 5 = 0"))
+def cap_superseded(spark, d):
+    """Alerts end when the first document that refers to them was sent."""
+    from ..sources.cap import superseded
+
+    return superseded(cap_documents(spark, d)).select("identifier", F.unix_micros("ended_at").alias("ended"))
+
+
+@query("iot_parse", oracle([], "SELECT event_id AS id, 'iot-node-' || user_id AS station_id, 'water_level' AS variable, value FROM events WHERE event_id % 10 <> 3"))
 def iot_parse(spark, d):
     """Telemetry made of events, one message in ten broken, and what is read from it."""
     from ..sources.iot import parse

@@ -89,6 +89,7 @@ def advisories(spark: SparkSession, d: str) -> DataFrame:
         ((8000 + k % 3) / 100).alias("clon"),
         (k % 4 * 2 + 2).cast("double").alias("radius_km"),
         F.array(*map(F.lit, ["Observed", "Likely", "Possible", "Unknown"]))[(k % 4).cast("int")].alias("certainty"),
+        (k % 6 == 5).alias("expired"),
     )
 
 
@@ -169,7 +170,7 @@ SQL: dict[str, str] = {
         (7990 + s_suppkey * 3 % 37) / 100 AS rlon FROM supplier""",
     "advisories": f"""SELECT n_nationkey AS advisory_id, {_HAZ}[n_nationkey % 5 + 1] AS hazard_type, (1300 + n_nationkey * 2) / 100 AS clat,
         (8000 + n_nationkey % 3) / 100 AS clon, (n_nationkey % 4 * 2 + 2)::DOUBLE AS radius_km,
-        ['Observed', 'Likely', 'Possible', 'Unknown'][n_nationkey % 4 + 1] AS certainty FROM nation""",
+        ['Observed', 'Likely', 'Possible', 'Unknown'][n_nationkey % 4 + 1] AS certainty, n_nationkey % 6 = 5 AS expired FROM nation""",
     "elevation": "SELECT p_partkey AS cell, p_size / 10 AS elevation_m FROM part",
     "persons": """SELECT p_partkey AS id, p_name AS name, p_partkey % 2 AS kind, p_size * 10 AS age_days,
         CASE WHEN p_partkey % 7 = 0 THEN p_partkey + 1 END AS matched_id FROM part""",
