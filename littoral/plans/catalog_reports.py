@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed, scoring, text
-from ..functions.geo import ring
+from ..functions.geo import cell_centre, ring
 from ..operators import kernels as K
 from ..operators import reports as R
 from ..operators import series as S
@@ -60,12 +60,14 @@ def incident_activity(spark, d):
     return rows.groupBy("hazard_type", "day").agg(F.sum("c").alias("n"), F.sum("v").alias("verified"), F.sum("x").alias("rejected"), F.max_by("row", F.struct("c", -F.col("row"))).alias("busiest_row"))
 
 
-@query("public_reports_topk", oracle(["reports"], f"SELECT id, t, hazard_type FROM reports WHERE status = 'verified' AND t >= (SELECT max(t) FROM reports) - {2 * S.DAY} ORDER BY t DESC, id DESC LIMIT 500"))
+@query("public_reports_topk", oracle(["reports"], f"SELECT id, t, hazard_type, round((row + 0.5::DOUBLE) * 0.01::DOUBLE, 6) AS lat, round((col + 0.5::DOUBLE) * 0.01::DOUBLE, 6) AS lon FROM reports WHERE status = 'verified' AND t >= (SELECT max(t) FROM reports) - {2 * S.DAY} ORDER BY t DESC, id DESC LIMIT 500"))
 def public_reports_topk(spark, d):
+    """The newest verified reports of two days, placed at their cells' middles."""
     r = V.reports(spark, d)
     now = r.agg(F.max("t").alias("now"))
     shown = r.filter("status = 'verified'").crossJoin(F.broadcast(now)).filter(F.col("t") >= F.col("now") - 2 * S.DAY)
-    return R.newest(shown.select("id", "t", "hazard_type"), 500, ["t", "id"])
+    lat, lon = cell_centre(F.col("row"), F.col("col"), 0.01)
+    return R.newest(shown.select("id", "t", "hazard_type", lat.alias("lat"), lon.alias("lon")), 500, ["t", "id"])
 
 
 def _coherence_sql(near: str) -> str:
@@ -362,7 +364,7 @@ def _hotspots(spark, d):
     kinds = placed.groupBy(*group, "hazard_type").agg(F.count("*").alias("k"), F.min(F.struct("t", "id")).alias("first"), F.sum("lat").alias("lat"), F.sum("lon").alias("lon"), F.sum("confidence").alias("confidence"))
     best = F.min_by("hazard_type", F.struct(-F.col("k"), F.col("first")))
     n = F.sum("k")
-    spots = kinds.groupBy(*group).agg(n.alias("n"), F.round(F.sum("lat") / n, 5).alias("lat"), F.round(F.sum("lon") / n, 5).alias("lon"), F.round(F.sum("confidence"), 3).alias("confidence"), best.alias("hazard_type"))
+    spots = kinds.groupBy(*group).agg(n.alias("n"), F.round(F.sum("lat") / n, 5).alias("lat"), F.round(F.sum("lon") / n, 5).alias("lon"), F.round(F.sum("confidence"), 3).alias("confidence"), best.alias("hazard_type"), F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("hazard_type", "k"))))).alias("hazards"))
     return spots, placed
 
 
