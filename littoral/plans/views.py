@@ -16,12 +16,12 @@ STATUS = ["new", "corroborated", "verified", "rejected"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def micros(column: str) -> F.Column:
-    return F.unix_micros(F.col(column).cast("timestamp"))
+    """Microseconds since 1970 of a time without a zone, whatever the session's zone is."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {column})")
 
 
 def _case(values: dict[str, str]) -> F.Column:
