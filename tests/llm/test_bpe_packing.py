@@ -113,6 +113,21 @@ def test_bins_that_fit_are_joined(spark):
     assert len(fill) <= sum(low) / 1024 * 1.03 + 1
 
 
+def test_repeated_rows_null_ids_and_clashing_columns(spark):
+    """Equal rows are cut and packed each by itself; columns of the documents don't get in the way."""
+    rows = [(1, "one two three " * 900, "x")] * 2 + [(None, "four", "x"), (2, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string").selectExpr("*", "'x' AS piece", "'x' AS length", "'x' AS start").repartition(2)
+    cut = packing.pieces(df, P.path("byte_bpe_50k.json"))
+    got = packing.pack(cut.selectExpr("*", "'mine' AS sequence_id", "1 AS contents", "2 AS fill")).collect()
+    by_doc = defaultdict(list)
+    for r in got:
+        by_doc[r.doc_id].append((r.piece, r.start, r.length))
+    n = len(Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(rows[0][1]).ids) + 1
+    assert sum(x[2] for x in by_doc[1]) == 2 * n and len(set(by_doc[1])) * 2 == len(by_doc[1])
+    assert by_doc[2] == [(0, 0, 1)] and by_doc[None] == [(0, 0, 2)]
+    assert {(r.contents, r.fill) for r in got} == {(1, 2)}
+
+
 def test_packing_empty(spark):
     items = spark.createDataFrame([], "doc_id long, length int, offset int")
     assert packing.pack(items).count() == 0
