@@ -248,25 +248,20 @@ def hull(points: np.ndarray) -> np.ndarray:
 
 def hulls(points: DataFrame, group: list[str], buffer: float = 0.005, corners: int = 16) -> DataFrame:
     """group, hull: array of struct lon, lat, closed: the convex hull of each group's points (lat, lon), widened by
-    ``buffer`` degrees with round corners. Hulls of batches are made first, so only their corners meet."""
-    kinds = dict(points.dtypes)
-    keys = ", ".join(f"{g} {kinds[g]}" for g in group)
+    ``buffer`` degrees with round corners. A group is the points of one cluster, which a task has held before."""
     around = buffer * np.column_stack([f(2 * np.pi * np.arange(corners) / corners) for f in (np.cos, np.sin)])
 
-    def partly(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for key, own in pdf.groupby(group):
-                h = hull(own[["lon", "lat"]].to_numpy(dtype=float))
-                yield pd.DataFrame({**dict(zip(group, key)), "lon": h[:, 0], "lat": h[:, 1]})
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = hull(pdf[["lon", "lat"]].to_numpy(dtype=float))
-        wide = np.round(hull((h[:, None, :] + around[None, :, :]).reshape(-1, 2)), 6)
-        ring = [{"lon": x, "lat": y} for x, y in [*wide.tolist(), wide[0].tolist()]]
-        return pd.DataFrame([[*pdf[group].iloc[0], ring]], columns=[*group, "hull"])
-
-    corners_of = points.select(*group, "lat", "lon").mapInPandas(partly, f"{keys}, lon double, lat double")
-    return corners_of.groupBy(*group).applyInPandas(whole, f"{keys}, hull array<struct<lon:double,lat:double>>")
+    @F.pandas_udf("array<struct<lon:double,lat:double>>")
+    def wide(lons: pd.Series, lats: pd.Series) -> pd.Series:
+        out = []
+        for lon, lat in zip(lons, lats):
+            h = hull(np.column_stack([lon, lat]).astype(float))
+            ring = np.round(hull((h[:, None, :] + around[None, :, :]).reshape(-1, 2)), 6)
+            out.append([{"lon": x, "lat": y} for x, y in [*ring.tolist(), ring[0].tolist()]])
+        return pd.Series(out)
+
+    held = points.groupBy(*group).agg(F.collect_list(F.struct("lon", "lat")).alias("p"))
+    return held.select(*group, wide("p.lon", "p.lat").alias("hull"))
 
 
 def match_hotspots(spots: DataFrame, group: list[str], most_km: float = 3.0) -> DataFrame:
