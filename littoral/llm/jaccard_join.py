@@ -207,16 +207,17 @@ def near_duplicates(
     # Levels part a group by set size, so that sets within the similarity are of one level or of neighbouring ones.
     level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / similarity))).cast("int")
     members = cut(groups.withColumnRenamed("u", "sid").join(classes.select("sid", "text_of", "copies", "n"), "sid").withColumn("level", level))
-    share = F.greatest(F.count("*") / F.greatest(F.lit(float(block)), F.least(F.count("*") / 32, F.lit(float(most)))), F.sum("n") / shingles)  # of what a block may hold
-    sizes = members.groupBy("label").agg(share.alias("size"))
-    levels = members.groupBy("label", "level").agg(F.ceil(share).cast("int").alias("chunks"))
-    sizes, levels = cut(sizes), cut(levels)
-    small = members.join(sizes.filter("size <= 1"), "label")
+    fair = F.greatest(F.lit(float(block)), F.least(F.col("n") / 32, F.lit(float(most))))
+    share = F.greatest(F.col("n") / fair, F.col("all") / shingles)  # of what a block may hold
+    by_level = cut(members.groupBy("label", "level").agg(F.count("*").alias("n"), F.sum("n").alias("all")))
+    sizes = by_level.groupBy("label").agg(F.sum("n").alias("n"), F.sum("all").alias("all")).select("label", share.alias("size"))
+    levels = by_level.join(sizes, "label").withColumn("chunks", F.ceil(share).cast("int"))
+    near = lambda step, name: by_level.select("label", (F.col("level") - step).alias("level"), F.ceil(share).cast("int").alias(name))
+    levels = cut(levels.join(near(-1, "below"), ["label", "level"], "left").join(near(1, "above"), ["label", "level"], "left").drop("all"))
+    held = join_counted(members.withColumnRenamed("n", "shingles"), levels, ["label", "level"])
+    small = held.filter("size <= 1")
     small = small.select("sid", "text_of", "copies", F.array(F.struct(F.col("label").cast("string").alias("block"), F.lit(0).alias("side"), F.lit(True).alias("own"))).alias("blocks"))
-    large = members.join(sizes.filter("size > 1").select("label"), "label").join(levels, ["label", "level"])
-    for step, name in ((-1, "below"), (1, "above")):
-        near = levels.select("label", (F.col("level") - step).alias("level"), F.col("chunks").alias(name))
-        large = large.join(near, ["label", "level"], "left")
+    large = held.filter("size > 1")
     large = large.withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
 
     def name(low_level, low, high):

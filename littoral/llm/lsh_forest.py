@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -229,6 +229,11 @@ def alike(nodes: DataFrame, similarity: float) -> DataFrame:
     return placed.mapInArrow(run, "u long, v long")
 
 
+def _parts(rows: int, spark: SparkSession, per_task: int = 1_000_000) -> int:
+    """A task holds its part of the sorted paths, so parts are of about ``per_task`` rows at most."""
+    return max(partitions(spark), -(-rows // per_task))
+
+
 def candidates(items: DataFrame, similarity: float, recall: float, trees: int, depth: int, shortest: int, crowd: int) -> DataFrame:
     """items (sid, signature: trees x depth values of two bytes, n) to links u, v, whose connected components hold all
     pairs at the threshold with at least the target probability each. The links are checkpointed."""
@@ -236,16 +241,15 @@ def candidates(items: DataFrame, similarity: float, recall: float, trees: int, d
     shortest = min(depth, shortest_for(similarity, recall, trees, shortest))
     width = WIDTH * depth
     path = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substr("signature", t * width + 1, F.lit(width)))
-    parts = partitions(spark)
-    forest = in_order(items.select("sid", F.posexplode(path).alias("tree", "path")), parts)
+    forest = in_order(items.select("sid", F.posexplode(path).alias("tree", "path")), _parts(items.count() * trees, spark))
     rows = matched(forest, depth, shortest)
     few = F.col("sizes")[0] <= crowd
     node = lambda tree, d, p: F.xxhash64(tree.cast("long"), d.cast("long"), p).alias("node")
     small = rows.filter(few).select(node(F.col("tree"), F.lit(shortest), F.substr("path", F.lit(1), F.lit(WIDTH * shortest))), "sid")
     edges = spark.createDataFrame([], T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())]))
     crowded = rows.filter(~few)
-    if not crowded.isEmpty():
-        asking = in_order(asked_depths(crowded, similarity, recall, trees, depth, shortest, crowd), parts)
+    if n := crowded.count():
+        asking = in_order(asked_depths(crowded, similarity, recall, trees, depth, shortest, crowd), _parts(n, spark))
         seen = cut(looked_at(asking, depth, shortest, crowd))
         edges = seen.filter("other IS NOT NULL").select(F.col("sid").alias("u"), F.col("other").alias("v"))
         small = small.unionByName(seen.filter("other IS NULL").select(node(F.col("tree"), F.col("own"), F.col("path")), "sid"))
