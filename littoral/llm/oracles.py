@@ -6,6 +6,15 @@ from . import line_dedup
 
 WORDS = r"list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
+
+
+def crc32(text: str) -> str:
+    """CRC-32 of ASCII text: each byte is added to the state, then eight bits are shifted out (-1: one bit)."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    state = f"list_reduce(list_concat([4294967295::BIGINT], {steps}), lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, (s & 1) * 3988292384) END)"
+    return f"xor({state}, 4294967295)"
+
+
 SUBSTRING_DEDUP = f"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
 windows AS (
@@ -47,9 +56,34 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
 """
 
+#: Every pair of equal words at most a third of a document apart, in gaps and islands for each distance.
+PERIODIC_RUNS = f"""
+WITH t AS (SELECT doc_id, coalesce({WORDS}, []) AS w, {crc32('doc_id::VARCHAR')} AS h FROM documents),
+a AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM t),
+d AS (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE
+    list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) END AS w
+  FROM a),
+x AS (SELECT doc_id, n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d),
+pairs AS (SELECT l.doc_id, r.i - l.i AS p, l.i FROM x l JOIN x r ON l.doc_id = r.doc_id AND l.word = r.word AND r.i > l.i AND 3 * (r.i - l.i) <= l.n),
+islands AS (SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM pairs),
+runs AS (
+  SELECT doc_id, start, length, min(p) AS period
+  FROM (SELECT doc_id, p, min(i) AS start, count(*) + p AS length FROM islands GROUP BY doc_id, p, island HAVING count(*) + p >= greatest(24, 3 * p))
+  GROUP BY doc_id, start, length),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS s FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS s FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(listed.s, '')) AS runs_sha256, sha256(coalesce(kept.s, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLE_SQL = {
     "op5_substring_dedup": SUBSTRING_DEDUP,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op8_ngram_jaccard_join": JACCARD_JOIN,
     "op10_mtree_topk": EXACT_TOPK,
+    "op13_periodic_runs": PERIODIC_RUNS,
 }

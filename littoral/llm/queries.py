@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_tree, bpe, hilbert_shards, jaccard_join, langid, line_dedup, mtree, oracles, packing, quality, substring_dedup
+from . import ann_tree, bpe, hilbert_shards, jaccard_join, langid, line_dedup, mtree, oracles, packing, periodic_runs, quality, substring_dedup
 from .common import documents
 
 
@@ -78,6 +78,31 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """The contract's texts: where h = crc32(doc_id) is divisible by 10, the words from number a on repeat with period p."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.withColumns({"words": F.when(h % 10 == 0, words), "g": F.floor(h / 10)})
+    rows = rows.withColumn("n", F.size("words")).withColumn("a", F.expr("if(n > 0, int(g % n), 0)"))
+    rows = rows.withColumn("p", F.expr("int(1 + (n - a) div (3 + g % 8))"))
+    tail = F.flatten(F.array_repeat(F.expr("slice(words, a + 1, p)"), F.expr("int(ceil((n - a) / p))")))
+    repeated = F.array_join(F.concat(F.expr("slice(words, 1, a)"), F.slice(tail, F.lit(1), F.expr("n - a"))), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(_with_periods(documents(spark, sf_dir)))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *("best.start", "best.length", "best.period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_language_id": op2_language_id,
@@ -89,6 +114,7 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op3_kmeans_tree_ann": op3_kmeans_tree_ann,
     "op10_mtree_topk": op10_mtree_topk,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL = oracles.ORACLE_SQL
