@@ -56,6 +56,26 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
 """
 
+#: Windows as strings, met by equality.
+DECONTAMINATION = r"""
+WITH words AS (
+  SELECT 'd' AS side, doc_id::VARCHAR AS id, text FROM documents UNION ALL SELECT 'i', item_id::VARCHAR, text FROM benchmark),
+t AS (
+  SELECT side, id, coalesce(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> ''), []) AS w
+  FROM words),
+lengths AS (SELECT DISTINCT least(len(w), 10) AS n FROM t WHERE side = 'i' AND len(w) > 0),
+windows AS (
+  SELECT side, id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS s
+  FROM (SELECT side, id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM t JOIN lengths ON CASE WHEN side = 'i' THEN n = least(len(w), 10) ELSE n <= len(w) END)),
+item AS (SELECT DISTINCT id AS item, n, s FROM windows WHERE side = 'i'),
+met AS (SELECT id, i, n, item FROM (SELECT * FROM windows WHERE side = 'd') JOIN item USING (n, s)),
+hit AS (SELECT id, count(*) AS n_hit FROM (SELECT DISTINCT id, unnest(range(i, i + n)) AS at FROM met) GROUP BY id),
+items AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT id, item FROM met) GROUP BY id)
+SELECT id::BIGINT AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items.s, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM t LEFT JOIN hit USING (id) LEFT JOIN items USING (id) WHERE side = 'd'
+"""
+
 #: Every pair of equal words at most a third of a document apart, in gaps and islands for each distance.
 PERIODIC_RUNS = f"""
 WITH t AS (SELECT doc_id, coalesce({WORDS}, []) AS w, {crc32('doc_id::VARCHAR')} AS h FROM documents),
@@ -85,5 +105,6 @@ ORACLE_SQL = {
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op8_ngram_jaccard_join": JACCARD_JOIN,
     "op10_mtree_topk": EXACT_TOPK,
+    "op11_decontamination": DECONTAMINATION,
     "op13_periodic_runs": PERIODIC_RUNS,
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_tree, bpe, hilbert_shards, jaccard_join, langid, line_dedup, mtree, oracles, packing, periodic_runs, quality, substring_dedup
+from . import ann_tree, bpe, decontamination, hilbert_shards, jaccard_join, langid, line_dedup, mtree, oracles, packing, periodic_runs, quality, substring_dedup
 from .common import documents
 
 
@@ -78,6 +78,17 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_hits(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id",
+        *("n_words", "n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def _with_periods(docs: DataFrame) -> DataFrame:
     """The contract's texts: where h = crc32(doc_id) is divisible by 10, the words from number a on repeat with period p."""
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -114,6 +125,7 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op3_kmeans_tree_ann": op3_kmeans_tree_ann,
     "op10_mtree_topk": op10_mtree_topk,
+    "op11_decontamination": op11_decontamination,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
