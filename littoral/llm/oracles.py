@@ -76,6 +76,30 @@ SELECT id::BIGINT AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_
 FROM t LEFT JOIN hit USING (id) LEFT JOIN items USING (id) WHERE side = 'd'
 """
 
+#: Nodes as lists of turns.
+PREFIX_TRIE = f"""
+WITH o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+m AS (SELECT conv_id AS c, {crc32('conv_id::VARCHAR')} % 6 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+b AS (
+  SELECT c, i, role, text FROM m JOIN o ON o.conv_id = c - c % 100 AND i < h
+  UNION ALL SELECT c, i, role, text FROM m JOIN o ON o.conv_id = c AND i >= h),
+s AS (SELECT c, coalesce(list({{'role': role, 'text': text}} ORDER BY i) FILTER (WHERE i IS NOT NULL), []) AS seq FROM m LEFT JOIN b USING (c) GROUP BY c),
+p AS (SELECT c, seq, d, list_slice(seq, 1, d) AS node FROM (SELECT c, seq, unnest(range(0, len(seq) + 1)) AS d FROM s)),
+n AS (
+  SELECT node, d, min(c) AS conv_id, count(*) AS n_convs, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE len(seq) = d) AS ends
+  FROM p GROUP BY node, d),
+k AS (SELECT list_slice(node, 1, d - 1) AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+own AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * length(node[d].text) ELSE 0 END AS saved FROM n LEFT JOIN k USING (node)),
+sums AS (
+  SELECT list_slice(node, 1, a) AS node, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM own) GROUP BY 1)
+SELECT own.conv_id, own.d AS depth, up.conv_id AS parent_conv_id, own.n_convs, own.n_children, n_leaves, saved_tokens, sha256(coalesce(own.ends, '')) AS ends_sha256
+FROM own JOIN sums USING (node) LEFT JOIN n AS up ON own.d > 0 AND up.node = list_slice(own.node, 1, own.d - 1)
+"""
+
 #: Every pair of equal words at most a third of a document apart, in gaps and islands for each distance.
 PERIODIC_RUNS = f"""
 WITH t AS (SELECT doc_id, coalesce({WORDS}, []) AS w, {crc32('doc_id::VARCHAR')} AS h FROM documents),
@@ -106,5 +130,6 @@ ORACLE_SQL = {
     "op8_ngram_jaccard_join": JACCARD_JOIN,
     "op10_mtree_topk": EXACT_TOPK,
     "op11_decontamination": DECONTAMINATION,
+    "op12_prefix_trie": PREFIX_TRIE,
     "op13_periodic_runs": PERIODIC_RUNS,
 }

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_tree, bpe, decontamination, hilbert_shards, jaccard_join, langid, line_dedup, mtree, oracles, packing, periodic_runs, quality, substring_dedup
-from .common import documents
+from . import ann_tree, bpe, decontamination, hilbert_shards, jaccard_join, langid, line_dedup, mtree, oracles, packing, periodic_runs, prefix_trie, quality, substring_dedup
+from .common import cut, documents, join_counted
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +89,23 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _rebuilt(turns: DataFrame, convs: DataFrame) -> DataFrame:
+    """The contract's conversations: c's first h turns are those of conversation c - c % 100, as far as it has them; h = crc32(c) % 6."""
+    heads = cut(turns.filter("conv_id % 100 = 0 AND at < 5").withColumnRenamed("conv_id", "root"))
+    c = F.col("conv_id")
+    own = convs.select("conv_id", "n", (c - c % 100).alias("root"), (F.crc32(c.cast("string")) % 6).alias("h"))
+    own = own.join(heads.groupBy("root").agg(F.count("*").alias("there")), "root", "left")
+    own = cut(own.withColumn("taken", F.least("h", F.coalesce("there", F.lit(0)))))
+    lent = own.select("conv_id", "root", "h").join(heads, "root").filter("at < h").select("conv_id", "at", "key", "size")
+    kept = join_counted(turns, own, ["conv_id"]).filter("at >= h")
+    return cut(kept.select("conv_id", (F.col("at") - F.col("h") + F.col("taken")).alias("at"), "key", "size").unionByName(lent))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = prefix_trie.number_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return prefix_trie.build(_rebuilt(turns, convs), convs)
+
+
 def _with_periods(docs: DataFrame) -> DataFrame:
     """The contract's texts: where h = crc32(doc_id) is divisible by 10, the words from number a on repeat with period p."""
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -126,6 +143,7 @@ QUERIES = {
     "op3_kmeans_tree_ann": op3_kmeans_tree_ann,
     "op10_mtree_topk": op10_mtree_topk,
     "op11_decontamination": op11_decontamination,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
