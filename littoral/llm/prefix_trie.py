@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, join_counted, partitions
+from .common import cut, free_shuffles, join_counted, partitions
 
 _RANKS = [T.StructField("part", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("name", T.LongType())]
 
@@ -48,18 +48,19 @@ def ranked(rows: DataFrame, key: list[str], ties: list[str]) -> DataFrame:
             place, name = place + n, int(names[-1])
 
     ordered = rows.repartitionByRange(partitions(rows.sparkSession), *key, *ties).sortWithinPartitions(*key, *ties)
+    n_parts = ordered.rdd.getNumPartitions()
     local = cut(ordered.mapInArrow(run, schema))
     ends = [f(F.struct(*key), "place").alias(c) for f, c in ((F.min_by, "first"), (F.max_by, "last"))]
     parts = local.groupBy("part").agg(F.count("*").alias("n"), F.max("name").alias("top"), *ends).collect()
-    places = names = 0
-    last, shifts = None, []
+    places, names = [0] * (n_parts + 1), [0] * (n_parts + 1)
+    place = name = 0
+    last = None
     for p in sorted(parts, key=lambda p: p["part"]):
-        names -= p["first"] == last  # a key goes on from the part before
-        shifts.append((p["part"], places, names))
-        places, names, last = places + p["n"], names + p["top"] + 1, p["last"]
-    shift = F.broadcast(rows.sparkSession.createDataFrame(shifts, "part int, places long, names long"))
-    moved = {"place": F.col("place") + F.col("places"), "name": F.col("name") + F.col("names")}
-    return local.join(shift, "part").withColumns(moved).drop("part", "places", "names")
+        name -= p["first"] == last  # a key goes on from the part before
+        places[p["part"]], names[p["part"]] = place, name
+        place, name, last = place + p["n"], name + p["top"] + 1, p["last"]
+    shift = lambda x: F.element_at(F.lit(x), F.col("part") + 1).cast("long")
+    return local.withColumns({"place": F.col("place") + shift(places), "name": F.col("name") + shift(names)}).drop("part")
 
 
 def number_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -101,67 +102,62 @@ def prefixes(turns: DataFrame) -> DataFrame:
 
 
 def _ends(ending: DataFrame) -> DataFrame:
-    """prefix, conv_id to prefix, ends_sha256: ids joined piece by piece where they are sorted, then the pieces of a
-    prefix in their order hashed one after another."""
+    """node, conv_id to node, ends_sha256: ids joined piece by piece where they are sorted, then the pieces of a
+    node in their order hashed one after another."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
         for b in batches:
-            prefix, ids = b.column("prefix").to_pylist(), b.column("conv_id").to_pylist()
-            new = [0, *(k for k in range(1, len(ids)) if prefix[k] != prefix[k - 1]), len(ids)]
+            node, ids = b.column("node").to_pylist(), b.column("conv_id").to_pylist()
+            new = [0, *(k for k in range(1, len(ids)) if node[k] != node[k - 1]), len(ids)]
             out = []
             for lo, hi in zip(new, new[1:]):
                 if hi > lo:
                     piece = ",".join(map(str, ids[lo:hi]))
-                    if held and held[0] == prefix[lo] and len(held[2]) < 1_000_000:
+                    if held and held[0] == node[lo] and len(held[2]) < 1_000_000:
                         held = (*held[:2], f"{held[2]},{piece}")
                     else:
                         out += [held] if held else []
-                        held = prefix[lo], ids[lo], piece
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((), (), ()), (pa.string(), pa.int64(), pa.string()))], ["prefix", "first", "piece"])
+                        held = node[lo], ids[lo], piece
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((), (), ()), (pa.string(), pa.int64(), pa.string()))], ["node", "first", "piece"])
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]]), pa.array([held[2]])], ["prefix", "first", "piece"])
+            yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]]), pa.array([held[2]])], ["node", "first", "piece"])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, sha = None, None
         for b in batches:
             out = []
-            for prefix, piece in zip(b.column("prefix").to_pylist(), b.column("piece").to_pylist()):
-                if sha and prefix == last:
+            for node, piece in zip(b.column("node").to_pylist(), b.column("piece").to_pylist()):
+                if sha and node == last:
                     sha.update(b"," + piece.encode())
                 else:
                     out += [(last, sha.hexdigest())] if sha else []
-                    last, sha = prefix, hashlib.sha256(piece.encode())
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], ["prefix", "ends_sha256"])
+                    last, sha = node, hashlib.sha256(piece.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], ["node", "ends_sha256"])
         if sha:
-            yield pa.RecordBatch.from_arrays([pa.array([last]), pa.array([sha.hexdigest()])], ["prefix", "ends_sha256"])
+            yield pa.RecordBatch.from_arrays([pa.array([last]), pa.array([sha.hexdigest()])], ["node", "ends_sha256"])
 
     n = partitions(ending.sparkSession)
-    ordered = ending.repartitionByRange(n, "prefix", "conv_id").sortWithinPartitions("prefix", "conv_id")
-    pieces = ordered.mapInArrow(join, "prefix string, first long, piece string")
-    return pieces.repartition(n, "prefix").sortWithinPartitions("prefix", "first").mapInArrow(digest, "prefix string, ends_sha256 string")
+    ordered = ending.repartitionByRange(n, "node", "conv_id").sortWithinPartitions("node", "conv_id")
+    pieces = ordered.mapInArrow(join, "node string, first long, piece string")
+    return pieces.repartition(n, "node").sortWithinPartitions("node", "first").mapInArrow(digest, "node string, ends_sha256 string")
 
 
-def _subtree_sums(nodes: DataFrame, columns: list[str]) -> DataFrame:
-    """nodes (id, parent, columns) to id and the columns summed over each subtree.
+def _subtree_sums(nodes: DataFrame, owners: DataFrame, root: int, deepest: int, columns: list[str]) -> DataFrame:
+    """nodes (conv_id, depth, columns) to the columns summed over each subtree.
 
-    In round j a node knows the sums down to less than 2**j levels below it, and gives them to its ancestor 2**j above.
+    In round j a node knows the sums down to less than 2**j levels below it, and gives them to its ancestor 2**j above:
+    the node at that depth of its own smallest member, whose owner is looked up. A node of one conversation that is many
+    turns deep takes part in logarithmically many rounds.
     """
     total = [F.sum(c).alias(c) for c in columns]
-    live = cut(nodes.filter("parent IS NOT NULL").select("id", F.col("parent").alias("above"), *columns))
-    seen = [nodes.select("id", *columns)]
-    while not live.isEmpty():
-        given = cut(live.groupBy("above").agg(*total, F.count("*").alias("n")))
-        seen.append(given.select(F.col("above").alias("id"), *columns))
-        higher = live.select(F.col("id").alias("above"), F.col("above").alias("next"))
-        stats = cut(given.select("above", "n").join(higher, "above"))
-        got = given.select(F.col("above").alias("id"), *(F.col(c).alias(f"{c}_below") for c in columns))
-        moved = join_counted(live, stats, ["above"]).join(got, "id", "left")
-        live = cut(moved.select("id", F.col("next").alias("above"), *((F.col(c) + F.coalesce(f"{c}_below", F.lit(0))).alias(c) for c in columns)))
-    out = seen[0]
-    for x in seen[1:]:
-        out = out.unionByName(x)
-    return out.groupBy("id").agg(*total)
+    sums, step = nodes, 1
+    while step <= deepest:
+        live = sums.filter(F.col("depth") >= step).groupBy("conv_id", "depth").agg(*total).withColumn("depth", F.col("depth") - step)
+        met = live.join(owners, ["conv_id", "depth"], "left").select(F.coalesce("owner", F.lit(root)).alias("conv_id"), "depth", *columns)
+        sums = sums.unionByName(cut(met.groupBy("conv_id", "depth").agg(*total)))
+        step *= 2
+    return sums.groupBy("conv_id", "depth").agg(*total)
 
 
 def build(turns: DataFrame, convs: DataFrame) -> DataFrame:
@@ -173,21 +169,24 @@ def build(turns: DataFrame, convs: DataFrame) -> DataFrame:
     the node's last turn) and ends_sha256 (of the members without further turns: ids ascending, joined by commas).
     Conversations without turns are members of the root alone. Without conversations there are no nodes.
     """
+    top = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"))
+    root = top.first()["conv_id"]
     rows = prefixes(turns)
-    grouped = rows.groupBy("prefix", "depth").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), F.max("size").alias("size"))
-    root = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).filter("n_convs > 0")
-    root = root.select(F.lit("").alias("prefix"), F.lit(0).cast("long").alias("depth"), "conv_id", "n_convs", F.lit(0).cast("long").alias("size"))
-    nodes = cut(grouped.unionByName(root).withColumn("id", F.monotonically_increasing_id()))
-    up = rows.select("conv_id", (F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent_prefix"))
-    child = cut(nodes.filter("depth > 0").join(up, ["conv_id", "depth"], "left").select("id", F.coalesce("parent_prefix", F.lit("")).alias("prefix")))
-    stats = child.groupBy("prefix").agg(F.count("*").alias("n")).join(nodes.select("prefix", F.col("id").alias("parent"), F.col("conv_id").alias("parent_conv_id")), "prefix")
-    linked = join_counted(child, cut(stats), ["prefix"]).select("id", "parent", "parent_conv_id")
-    joined = nodes.join(linked, "id", "left").join(stats.select(F.col("parent").alias("id"), F.col("n").alias("n_children")), "id", "left")
-    leaf = F.col("n_children").isNull().cast("long")
-    full = cut(joined.withColumns({"n_leaves": leaf, "saved_tokens": (F.col("n_convs") - 1) * F.col("size"), "n_children": F.coalesce("n_children", F.lit(0)).cast("long")}))
-    sums = _subtree_sums(full.select("id", "parent", "n_leaves", "saved_tokens"), ["n_leaves", "saved_tokens"])
-    last = turns.groupBy("conv_id").agg((F.max("at") + 1).alias("depth"))
-    ending = convs.join(last, "conv_id", "left").join(rows.select("conv_id", "depth", "prefix"), ["conv_id", "depth"], "left")
-    ends = _ends(ending.select(F.coalesce("prefix", F.lit("")).alias("prefix"), "conv_id"))
-    out = full.drop("n_leaves", "saved_tokens").join(sums, "id").join(ends, "prefix", "left")
+    free_shuffles(turns.sparkSession)
+    grouped = cut(rows.groupBy("prefix", "depth").agg(F.min("conv_id").alias("owner"), F.count("*").alias("n"), F.max("size").alias("size")))
+    owners = cut(join_counted(rows.select("conv_id", "depth", "prefix"), grouped.select("prefix", "owner", "n"), ["prefix"]).select("conv_id", "depth", "owner"))
+    deepest = grouped.agg(F.max("depth")).first()[0] or 0
+    nodes = grouped.select(F.col("owner").alias("conv_id"), "depth", F.col("n").alias("n_convs"), "size")
+    above = owners.select("conv_id", (F.col("depth") + 1).alias("depth"), F.col("owner").alias("parent_conv_id"))
+    linked = nodes.join(above, ["conv_id", "depth"], "left").withColumn("parent_conv_id", F.coalesce("parent_conv_id", F.lit(root)))
+    first = top.filter("n_convs > 0").select("conv_id", F.lit(0).cast("long").alias("depth"), "n_convs", F.lit(0).cast("long").alias("size"), F.lit(None).cast("long").alias("parent_conv_id"))
+    linked = cut(linked.unionByName(first))
+    children = linked.filter("depth > 0").groupBy(F.col("parent_conv_id").alias("conv_id"), (F.col("depth") - 1).alias("depth")).agg(F.count("*").alias("n_children"))
+    full = cut(linked.join(children, ["conv_id", "depth"], "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)).cast("long")))
+    own = full.select("conv_id", "depth", (F.col("n_children") == 0).cast("long").alias("n_leaves"), ((F.col("n_convs") - 1) * F.col("size")).alias("saved_tokens"))
+    sums = _subtree_sums(own, owners, root, deepest, ["n_leaves", "saved_tokens"])
+    last = owners.groupBy("conv_id").agg(F.max_by(F.struct("owner", "depth"), "depth").alias("last"))
+    node = lambda owner, depth: F.concat_ws(",", depth.cast("string"), owner.cast("string")).alias("node")
+    ends = _ends(convs.join(last, "conv_id", "left").select(node(F.coalesce("last.owner", F.lit(root)), F.coalesce("last.depth", F.lit(0))), "conv_id"))
+    out = full.join(sums, ["conv_id", "depth"]).withColumn("node", node(F.col("conv_id"), F.col("depth"))).join(ends, "node", "left")
     return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
