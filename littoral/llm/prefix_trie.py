@@ -48,11 +48,11 @@ def ranked(rows: DataFrame, key: list[str], ties: list[str]) -> DataFrame:
             place, name = place + n, int(names[-1])
 
     ordered = rows.repartitionByRange(partitions(rows.sparkSession), *key, *ties).sortWithinPartitions(*key, *ties)
-    n_parts = ordered.rdd.getNumPartitions()
     local = cut(ordered.mapInArrow(run, schema))
     ends = [f(F.struct(*key), "place").alias(c) for f, c in ((F.min_by, "first"), (F.max_by, "last"))]
     parts = local.groupBy("part").agg(F.count("*").alias("n"), F.max("name").alias("top"), *ends).collect()
-    places, names = [0] * (n_parts + 1), [0] * (n_parts + 1)
+    size = 1 + max((p["part"] for p in parts), default=0)
+    places, names = [0] * size, [0] * size
     place = name = 0
     last = None
     for p in sorted(parts, key=lambda p: p["part"]):
