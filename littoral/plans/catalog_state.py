@@ -66,28 +66,6 @@ def ahead_cells(spark, d):
     return a.select("alert_id", F.explode(F.array_except("projected", "cells")).alias("cell"))
 
 
-_GROUPS = f"SELECT row // 5 AS big_row, col // 5 AS big_col, hazard_type, t // {S.DAY} AS day, count(*) AS n FROM reports WHERE status = 'verified' GROUP BY ALL"
-_U = "(('0x' || substr(sha256('seed-1' || ':' || big_row || ':' || big_col || ':' || hazard_type || ':' || day), 1, 12))::BIGINT + 0.5) / 281474976710656 - 0.5"
-_NOISE = "SELECT *, " + _U + " AS u FROM g WHERE n >= 5"
-_RELEASE = "SELECT big_row, big_col, hazard_type, day, greatest(0, round(n - sign(u) * ln(1 - 2 * abs(u)) / 1.0))::BIGINT AS report_count FROM x"
-
-
-@query("opendata_release", oracle(["reports"], _RELEASE, g=_GROUPS, x=_NOISE))
-def opendata_release(spark, d):
-    r = V.reports(spark, d).filter("status = 'verified'")
-    r = r.select(F.expr("cast(row div 5 as bigint)").alias("big_row"), F.expr("cast(col div 5 as bigint)").alias("big_col"), "hazard_type", F.floor(F.col("t") / S.DAY).alias("day"))
-    return privacy.release(r, ["big_row", "big_col", "hazard_type", "day"], k=5, epsilon=1.0, seed="seed-1")
-
-
-@query("retention_anonymise", oracle(["reports"], f"SELECT id, CASE WHEN t < (SELECT max(t) FROM reports) - {12 * S.DAY} THEN (row // 5 * 5 + 2.5) / 100 ELSE lat END AS lat, CASE WHEN t < (SELECT max(t) FROM reports) - {12 * S.DAY} THEN (col // 5 * 5 + 2.5) / 100 ELSE lon END AS lon, t < (SELECT max(t) FROM reports) - {12 * S.DAY} AS anonymised FROM reports"))
-def retention_anonymise(spark, d):
-    r = V.reports(spark, d)
-    now = r.agg(F.max("t").alias("now"))
-    old = F.col("t") < F.col("now") - 12 * S.DAY
-    centre = lambda c: (F.expr(f"{c} div 5") * 5 + 2.5) / 100
-    return r.crossJoin(F.broadcast(now)).select("id", F.when(old, centre("row")).otherwise(F.col("lat")).alias("lat"), F.when(old, centre("col")).otherwise(F.col("lon")).alias("lon"), old.alias("anonymised"))
-
-
 @query("retention_purge", oracle(["persons"], "SELECT p.id, CASE WHEN q.age_days <= 180 THEN p.matched_id END AS matched_id FROM persons p LEFT JOIN persons q ON q.id = p.matched_id WHERE p.age_days <= 180"))
 def retention_purge(spark, d):
     """Persons kept 180 days at most; links to purged ones go."""
