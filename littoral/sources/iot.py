@@ -19,9 +19,8 @@ def observed(raw: Column, now: Column, skew_minutes: int = 5) -> Column:
     return F.least(F.coalesce(F.try_to_timestamp(raw), now), now + F.expr(f"INTERVAL {skew_minutes} MINUTES"))
 
 
-def parse(messages: DataFrame, now: Column, prefix: str = "sensors/iot") -> tuple[DataFrame, DataFrame]:
-    """(id, topic, payload) to readings (id, station_id, lat, lon, variable, time, value) and rejected messages
-    (id, topic, payload, error). One bad reading rejects its whole message."""
+def checked(messages: DataFrame, prefix: str = "sensors/iot") -> DataFrame:
+    """(id, topic, payload) with p, the parsed payload, node, dlat, dlon and error. One bad reading fails its message."""
     p = messages.withColumn("p", F.from_json("payload", PAYLOAD)).withColumn("node", node_of(F.col("topic"), prefix))
     lat, lon = (F.expr(f"try_cast(p.{c} as double)") for c in ("lat", "lon"))
     bad_value = F.exists("p.readings", lambda r: r["variable"].isNull() | r["value"].isNull() | r["value"].try_cast("double").isNull() | F.isnan(r["value"].try_cast("double")))
@@ -31,10 +30,25 @@ def parse(messages: DataFrame, now: Column, prefix: str = "sensors/iot") -> tupl
         .when((F.col("p.lat").isNotNull() & (lat.isNull() | (F.abs(lat) > 90))) | (F.col("p.lon").isNotNull() & (lon.isNull() | (F.abs(lon) > 180))), "place")
         .when(bad_value, "reading")
     )
-    checked = p.withColumns({"error": error, "dlat": lat, "dlon": lon})
-    good = checked.filter("error is null").select("id", F.concat(F.lit("iot-"), "node").alias("station_id"), F.col("dlat").alias("lat"), F.col("dlon").alias("lon"), F.explode("p.readings").alias("r"))
+    return p.withColumns({"error": error, "dlat": lat, "dlon": lon})
+
+
+def parse(messages: DataFrame, now: Column, prefix: str = "sensors/iot") -> tuple[DataFrame, DataFrame]:
+    """(id, topic, payload) to readings (id, station_id, lat, lon, variable, time, value) and rejected messages
+    (id, topic, payload, error). One bad reading rejects its whole message."""
+    all_rows = checked(messages, prefix)
+    good = all_rows.filter("error is null").select("id", F.concat(F.lit("iot-"), "node").alias("station_id"), F.col("dlat").alias("lat"), F.col("dlon").alias("lon"), F.explode("p.readings").alias("r"))
     readings = good.select("id", "station_id", "lat", "lon", F.col("r.variable").alias("variable"), observed(F.col("r.time"), now).alias("time"), F.col("r.value").cast("double").alias("value"))
-    return readings, checked.filter("error is not null").select("id", "topic", "payload", "error")
+    return readings, all_rows.filter("error is not null").select("id", "topic", "payload", "error")
+
+
+def messages(raw: DataFrame, now: Column, prefix: str = "sensors/iot") -> DataFrame:
+    """(id, topic, payload) to station_id, id, name, lat, lon, readings, error, topic, payload, whole messages each. Those
+    with an error have no readings, and where the topic names no station, one of 64 made-up keys spreads them."""
+    reading = lambda r: F.struct(r["variable"].alias("variable"), observed(r["time"], now).alias("time"), r["value"].try_cast("double").alias("value"))
+    key = F.coalesce(F.concat(F.lit("iot-"), "node"), F.concat(F.lit("rejected-"), F.pmod(F.col("id"), F.lit(64)).cast("string")))
+    readings = F.when(F.col("error").isNull(), F.transform("p.readings", reading))
+    return checked(raw, prefix).select(key.alias("station_id"), "id", "p.name", F.col("dlat").alias("lat"), F.col("dlon").alias("lon"), readings.alias("readings"), "error", "topic", "payload")
 
 
 def stations(readings: DataFrame) -> DataFrame:

@@ -59,28 +59,43 @@ def run(stream: DataFrame, path: str, checkpoint: str, transform: Callable[[Data
     query.awaitTermination()
 
 
-def telemetry_sink(path: str, now: Column | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink of sensor messages (id, topic, payload): readings, known stations, registrations of new ones,
-    and rejected messages. Each batch has folders of its own under ``path``, so one that is run again replaces what it
-    left; stations are a new version for each batch, made of the one before and of the batch."""
-    from ..sources import iot
+def telemetry_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink of what messages did (``processors.STATION``): readings, stations as they are after the batch,
+    registrations of new ones, and rejected messages, each in a folder of its own for each batch: one that is run again
+    replaces what it left."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        readings, rejected = iot.parse(batch, F.current_timestamp() if now is None else now)
-        readings.dropDuplicates(["station_id", "variable", "time"]).write.mode("overwrite").parquet(f"{path}/readings/batch={number}")
-        rejected.write.mode("overwrite").parquet(f"{path}/rejected/batch={number}")
-        fresh = iot.stations(readings).withColumn("batch", F.lit(number))
-        known = fresh.limit(0) if number == 0 else spark.read.parquet(f"{path}/stations/version={number - 1}")
-        fresh.join(known, "station_id", "left_anti").write.mode("overwrite").parquet(f"{path}/registered/batch={number}")
-        both = known.unionByName(fresh).groupBy("station_id")
-        newest = F.max_by(F.struct("lat", "lon"), "batch").alias("at")
-        merged = both.agg(newest, F.array_sort(F.array_distinct(F.flatten(F.collect_list("variables")))).alias("variables"), F.max("batch").alias("batch"))
-        merged.select("station_id", "at.lat", "at.lon", "variables", "batch").write.mode("overwrite").parquet(f"{path}/stations/version={number}")
+        batch = batch.persist()
+        taken = F.col("outcome").isin("registered", "updated")
+        parts = {
+            "readings": batch.select("station_id", F.explode("readings").alias("r")).select("station_id", "r.*").dropDuplicates(["station_id", "variable", "time"]),
+            "rejected": batch.filter(~taken).select("id", "topic", "payload", F.col("outcome").alias("error")),
+            "registered": batch.filter("outcome = 'registered'").select("station_id", "id", "name", "lat", "lon", "variables"),
+            "stations": batch.filter(taken).groupBy("station_id").agg(F.max_by(F.struct("name", "lat", "lon", "variables", "id"), "id").alias("s")).select("station_id", "s.*"),
+        }
+        for name, rows in parts.items():
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        batch.unpersist()
 
     return write
 
 
+def known_stations(spark: SparkSession, path: str) -> DataFrame:
+    """All stations that sinks under ``path`` have left, as they were last: what a new checkpoint starts from."""
+    s = spark.read.parquet(f"{path}/stations")
+    return s.groupBy("station_id").agg(F.max_by(F.struct("name", "lat", "lon", "variables"), "id").alias("s")).select("station_id", "s.*")
+
+
+def telemetry(raw: DataFrame, path: str, checkpoint: str, now: Column | None = None, known: DataFrame | None = None) -> None:
+    """Takes all messages (id, topic, payload) that are there: decodes them, leads each station's state, and stores what
+    came of it under ``path``."""
+    from ..sources import iot
+    from .processors import stations
+
+    done = stations(iot.messages(raw, F.current_timestamp() if now is None else now), known)
+    done.writeStream.foreachBatch(telemetry_sink(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def overloaded(progress: dict | None, most_rows: int = 500) -> bool:
     """Whether a query's last progress shows more unread rows than analytics should run beside."""
     if not progress:

@@ -90,22 +90,6 @@ def test_reports_without_a_key_all_pass(spark, tmp_path):
     assert sorted(x.text for x in got) == ["four", "one", "three", "two"] and len({x.id for x in got}) == 4
 
 
-def test_telemetry_stream(spark, tmp_path):
-    good = lambda node, lat, var, v: {"topic": f"sensors/iot/{node}/telemetry", "payload": json.dumps({"lat": lat, "lon": 80.0, "readings": [{"variable": var, "value": v, "time": "2024-01-01T00:00:00Z"}]})}
-    batches = [
-        [{"id": 1, **good("a", 13.0, "wind", 1)}, {"id": 2, **good("a", 13.0, "wind", 1)}, {"id": 3, "topic": "sensors/iot/a/telemetry", "payload": "no json"}],
-        [{"id": 4, **good("a", 13.5, "water_level", 2)}, {"id": 5, **good("b", 12.0, "wind", 3)}],
-    ]
-    s = stream(spark, tmp_path / "in", batches, "id long, topic string, payload string")
-    sink = pipeline.telemetry_sink(str(tmp_path / "out"), F.lit(NOW).cast("timestamp"))
-    s.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    read = lambda name: spark.read.parquet(f"{tmp_path}/out/{name}").collect()
-    assert sorted((r.station_id, r.variable, r.value) for r in read("readings")) == [("iot-a", "water_level", 2.0), ("iot-a", "wind", 1.0), ("iot-b", "wind", 3.0)]
-    assert [(r.id, r.error) for r in read("rejected")] == [(3, "payload")]
-    assert sorted((r.station_id, r.batch) for r in read("registered")) == [("iot-a", 0), ("iot-b", 1)]
-    assert sorted((r.station_id, r.lat, r.variables) for r in read("stations/version=1")) == [("iot-a", 13.5, ["water_level", "wind"]), ("iot-b", 12.0, ["wind"])]
-
-
 def test_hourly_stream_equals_batch(spark, tmp_path):
     rows = [{"station_id": "a", "variable": "w", "time": f"2024-01-0{1 + i // 24}T{i % 24:02d}:{m:02d}:00", "value": float(i + m)} for i in range(30) for m in (5, 40)]
     s = stream(spark, tmp_path / "in", [rows[:20], rows[10:45], rows[45:]], pipeline.READING)
