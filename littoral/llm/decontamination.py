@@ -86,8 +86,10 @@ def prints(texts: pa.Array, widths: list[int], gram: int, bitmap: np.ndarray | N
     for width in widths:
         at, key, windows = fingerprints(h, counts, width, gram)
         if bitmap is not None:
-            bit = key >> np.uint64(64 - (len(bitmap) * 64).bit_length() + 1)
-            known = (bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+            bits = (len(bitmap) * 64).bit_length() - 1
+            known = np.ones(len(key), dtype=bool)
+            for bit in (key >> np.uint64(64 - bits), key & np.uint64((1 << bits) - 1)):
+                known &= (bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
             at, key = at[known], key[known]
         lo = np.searchsorted(windows, np.maximum(at - width + min(gram, width), first[doc[at]]))  # windows about each fingerprint
         n = np.searchsorted(windows, at, side="right") - lo
@@ -136,10 +138,11 @@ def _windows(printed: DataFrame, *keys: str) -> DataFrame:
 
 
 def _bitmap(prints: DataFrame) -> np.ndarray:
-    """A bit for each leading part of a fingerprint: some 64 bits a fingerprint, and 2**27 at most."""
-    bits = min(27, max(16, (64 * prints.count()).bit_length()))
-    bit = F.shiftrightunsigned("fingerprint", 64 - bits)
-    rows = prints.select(F.shiftright(bit, 6).alias("k"), F.pmod(bit, F.lit(64)).cast("int").alias("at"))
+    """Two bits for each fingerprint, by its first and its last bits, among some 256 for each and 2**27 at most."""
+    bits = min(27, max(16, (256 * prints.count()).bit_length()))
+    ends = F.array(F.shiftrightunsigned("fingerprint", 64 - bits), F.col("fingerprint").bitwiseAND(F.lit((1 << bits) - 1)))
+    bit = prints.select(F.explode(ends).alias("bit"))
+    rows = bit.select(F.shiftright("bit", 6).alias("k"), F.pmod("bit", F.lit(64)).cast("int").alias("at"))
     words = rows.groupBy("k").agg(F.expr("bit_or(shiftleft(1L, at))").alias("v")).toPandas()
     out = np.zeros(1 << (bits - 6), dtype=np.int64)
     out[words["k"].to_numpy(dtype=np.int64)] = words["v"].to_numpy(dtype=np.int64)
