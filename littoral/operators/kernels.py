@@ -129,23 +129,42 @@ def leader_clusters(reports: DataFrame, group: list[str], similarity: float = 0.
     return reports.select(*dict.fromkeys([*group, "id", "t", "v"])).filter("v is not null").groupBy(*group).applyInPandas(kernel, schema)
 
 
+def spanning_tree(points: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights and ends of a minimum spanning tree over mutual reachability. Distances are never held for all pairs."""
+    n = len(points)
+    inside, best, link = np.zeros(n, dtype=bool), np.full(n, np.inf), np.zeros(n, dtype=int)
+    w, a, b = np.zeros(max(0, n - 1)), np.zeros(max(0, n - 1), dtype=int), np.zeros(max(0, n - 1), dtype=int)
+    at = 0
+    for k in range(n - 1):
+        inside[at] = True
+        reach = np.maximum(np.maximum(core[at], core), np.sqrt(((points - points[at]) ** 2).sum(axis=1)))
+        closer = ~inside & (reach < best)
+        best[closer], link[closer] = reach[closer], at
+        at = int(np.where(inside, np.inf, best).argmin())
+        if inside[at]:  # all that is left is infinitely far
+            at = int(inside.argmin())
+        w[k], a[k], b[k] = best[at], link[at], at
+    return w, a, b
+
+
 def hdbscan(points: np.ndarray, least: int = 5) -> np.ndarray:
     """Density clusters (label from 0, -1 for noise): mutual reachability, minimum spanning tree, condensed tree, and the
     clusters of most excess mass, never the whole as one. Memory grows with the number of points, time with its square."""
     n = len(points)
     if n < 2 * least:
         return np.full(n, -1)
-    from_one = lambda i: np.sqrt(((points - points[i]) ** 2).sum(axis=1))  # noqa: E731  distances are never held for all pairs
+    from_one = lambda i: np.sqrt(((points - points[i]) ** 2).sum(axis=1))
     core = np.array([np.partition(from_one(i), min(least, n) - 1)[min(least, n) - 1] for i in range(n)])
-    inside, best, link = np.zeros(n, dtype=bool), np.full(n, np.inf), np.zeros(n, dtype=int)
-    edges, at = [], 0
-    for _ in range(n - 1):
-        inside[at] = True
-        reach = np.maximum(np.maximum(core[at], core), from_one(at))
-        closer = ~inside & (reach < best)
-        best[closer], link[closer] = reach[closer], at
-        at = int(np.where(inside, np.inf, best).argmin())
-        edges.append((best[at], link[at], at))
+    w, a, b = spanning_tree(points, core)
+    order = np.lexsort((b, a, w))
+    return condensed(n, w[order], a[order], b[order], least)
+
+
+def condensed(n: int, weights: np.ndarray, ends: np.ndarray, others: np.ndarray, least: int) -> np.ndarray:
+    """Labels of n points from edges, sorted by weight, that hold a spanning tree: the condensed tree's clusters of most
+    excess mass. Edges within what is joined already are passed over."""
+    if n < 2 * least:
+        return np.full(n, -1)
     root = list(range(2 * n - 1))
     children: dict[int, tuple[int, int, float]] = {}
     size = [1] * n + [0] * (n - 1)
@@ -156,11 +175,14 @@ def hdbscan(points: np.ndarray, least: int = 5) -> np.ndarray:
             i = root[i]
         return i
 
-    for k, (w, a, b) in enumerate(sorted(edges)):
-        a, b, new = find(a), find(b), n + k
-        children[new] = (a, b, w)
-        root[a] = root[b] = new
-        size[new] = size[a] + size[b]
+    new = n
+    for w, a, b in zip(weights.tolist(), ends.tolist(), others.tolist()):
+        a, b = find(a), find(b)
+        if a != b:
+            children[new] = (a, b, w)
+            root[a] = root[b] = new
+            size[new] = size[a] + size[b]
+            new += 1
 
     def leaves(node: int) -> list[int]:
         out, stack = [], [node]
@@ -214,21 +236,6 @@ def hdbscan(points: np.ndarray, least: int = 5) -> np.ndarray:
     return label
 
 
-def hotspots(points: DataFrame, group: list[str], least: int = 5) -> DataFrame:
-    """Density clusters of the points (id, lat, lon) of each group, on kilometres about the mean latitude; noise goes."""
-    kinds = dict(points.dtypes)
-    schema = ", ".join(f"{g} {kinds[g]}" for g in group) + ", id long, cluster int"
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        xy = np.column_stack([pdf["lon"] * 111.320 * np.cos(np.radians(pdf["lat"].mean())), pdf["lat"] * 111.320])
-        label = hdbscan(xy, least)
-        out = pdf[[*group, "id"]].assign(cluster=label)
-        return out[out["cluster"] >= 0]
-
-    return points.select(*group, "id", "lat", "lon").groupBy(*group).applyInPandas(kernel, schema)
-
-
 def hull(points: np.ndarray) -> np.ndarray:
     """Convex hull, counter-clockwise from the least point, by monotone chains."""
     points = np.unique(points, axis=0)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, scoring, text
 from ..functions.geo import cell_centre, ring
+from ..lineage import cut
+from ..operators import density
 from ..operators import kernels as K
 from ..operators import reports as R
 from ..operators import series as S
@@ -360,9 +362,9 @@ def _hotspots(spark, d):
     r = confidence_table(spark, d).select("id", "confidence").join(V.reports(spark, d), "id")
     r = r.filter("status <> 'rejected'").withColumn("window", F.floor(F.col("t") / (6 * S.HOUR)))
     jitter = lambda c, k: F.col(c) + F.col("id") * k % 1000 / 1e6
-    points = r.select("window", "hazard_type", "id", "t", "confidence", jitter("lat", 7919).alias("lat"), jitter("lon", 104729).alias("lon"))
+    points = cut(r.select("window", "hazard_type", "id", "t", "confidence", jitter("lat", 7919).alias("lat"), jitter("lon", 104729).alias("lon")))
     group = ["window", "cluster"]
-    placed = K.hotspots(points, ["window"]).join(points, ["window", "id"])
+    placed = cut(density.hotspots(points, ["window"]).join(points, ["window", "id"]))
     kinds = placed.groupBy(*group, "hazard_type").agg(F.count("*").alias("k"), F.min(F.struct("t", "id")).alias("first"), F.sum("lat").alias("lat"), F.sum("lon").alias("lon"), F.sum("confidence").alias("confidence"))
     best = F.min_by("hazard_type", F.struct(-F.col("k"), F.col("first")))
     n = F.sum("k")
