@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,21 +79,32 @@ def sets_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     return l.join(r, "_c").select(left_key, right_key).distinct()
 
 
-def near_hashes(hashes: DataFrame, most: int = 6) -> DataFrame:
+def near_hashes(hashes: DataFrame, most: int = 6, together: int = 3) -> DataFrame:
     """Rows (id, hi, lo: the two 32-bit halves) for which an earlier id has a hash at most ``most`` bits away.
 
-    Only the first id of each hash can make others reused, so hashes are compared once. Of most + 1 bands of bits, two
-    such hashes have one in common.
+    Only the first id of each hash can make others reused, so hashes are compared once. Of most + together bands of bits
+    at least ``together`` are equal in two such hashes: the keys are all choices of that many bands, 84 keys of 21 bits
+    for the defaults. Two hashes that have nothing in common share one of these keys once in some 25,000 pairs.
     """
     first = hashes.groupBy("hi", "lo").agg(F.min("id").alias("first"))
-    whole = F.concat(F.lpad(F.bin("hi"), 32, "0"), F.lpad(F.bin("lo"), 32, "0"))
-    edges = [64 * i // (most + 1) for i in range(most + 2)]
-    bands = F.array(*(F.concat(F.lit(f"{i}:"), F.substring(whole, edges[i] + 1, edges[i + 1] - edges[i])) for i in range(most + 1)))
-    a = first.withColumn("band", F.explode(bands))
-    b = a.select("band", F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.col("first").alias("first2"))
+    a = first.withColumn("key", F.explode(band_keys(most, together)))
+    b = a.select("key", F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.col("first").alias("first2"))
     apart = F.bit_count(F.col("hi").bitwiseXOR(F.col("hi2"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("lo2")))
-    seen = a.join(b, "band").filter(apart <= most).groupBy("hi", "lo").agg(F.min("first2").alias("earliest"))
-    return hashes.join(seen, ["hi", "lo"]).filter(F.col("earliest") < F.col("id")).select("id")
+    seen = a.join(b, "key").filter((F.col("first2") < F.col("first")) & (apart <= most)).groupBy("hi", "lo").agg(F.min("first2").alias("earliest"))
+    own = first.join(seen, ["hi", "lo"], "left").select("hi", "lo", F.least("first", F.coalesce("earliest", "first")).alias("earliest"))
+    return hashes.join(own, ["hi", "lo"]).filter(F.col("earliest") < F.col("id")).select("id")
+
+
+def band_keys(most: int, together: int) -> Column:
+    """The keys of a hash (hi, lo): the number of a choice of bands and the hash with all other bits off, in one digest."""
+    n = most + together
+    edges = [64 * i // n for i in range(n + 1)]
+    keys = []
+    for k, bands in enumerate(combinations(range(n), together)):
+        mask = sum(1 << bit for b in bands for bit in range(edges[b], edges[b + 1]))
+        halves = (F.col(c).bitwiseAND(F.lit(mask >> shift & 0xFFFFFFFF)) for c, shift in (("hi", 32), ("lo", 0)))
+        keys.append(F.xxhash64(F.lit(k), *halves))
+    return F.array(*keys)
 
 
 def all_of(*conditions: Column) -> Column:

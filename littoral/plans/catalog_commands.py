@@ -143,17 +143,15 @@ def corrections_delivered(spark, d):
            p=f"SELECT station, run, lag(run) OVER (PARTITION BY station ORDER BY run) AS start FROM (SELECT DISTINCT source % 2 AS station, max(t) OVER (PARTITION BY source % 2, t // {5 * S.DAY}) AS run FROM reports)"),
 )
 def sitrep_tiles(spark, d):
-    """Reports between one situation report and the next: periods begin where the last one ended, whenever that was. A
-    report finds its period by a union of both sides in one ordered pass, not by a range join."""
-    r = V.reports(spark, d).select((F.col("source") % 2).alias("station"), "t", "id")
-    runs = r.groupBy("station", F.floor(F.col("t") / (5 * S.DAY))).agg(F.max("t").alias("run")).select("station", "run")
-    tiles = C.tiled(runs, "run", ["station"])
-    marks = tiles.select("station", F.col("run").alias("t"), F.lit(None).cast("long").alias("id"), F.col("run").alias("mark"))
-    both = r.select("station", "t", "id", F.lit(None).cast("long").alias("mark")).unionByName(marks)
-    # the first run after the report: at one time a run comes first, since its period doesn't hold its own end
-    w = Window.partitionBy("station").orderBy(F.desc("t"), F.col("mark").isNull().desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    owned = both.withColumn("run", F.min("mark").over(w)).filter("id IS NOT NULL AND run IS NOT NULL").groupBy("station", "run").agg(F.count("*").alias("n"))
-    return tiles.join(owned, ["station", "run"], "left").select("station", "run", F.col("period_start").alias("start"), F.coalesce("n", F.lit(0)).alias("reports"))
+    """Reports between one situation report and the next: periods begin where the last one ended, whenever that was. A run
+    is the last time of five days, so all but the reports of that very time belong to it, and those to the next one:
+    counts by time are all that is needed, and no report is sorted."""
+    r = V.reports(spark, d).select((F.col("source") % 2).alias("station"), "t", F.floor(F.col("t") / (5 * S.DAY)).alias("bin"))
+    at = r.groupBy("station", "bin", "t").agg(F.count("*").alias("k"))
+    runs = at.groupBy("station", "bin").agg(F.max("t").alias("run"), F.sum("k").alias("n"), F.max_by("k", "t").alias("late")).drop("bin")
+    w = Window.partitionBy("station").orderBy("run")
+    tiles = C.tiled(runs, "run", ["station"]).withColumn("before", F.coalesce(F.lag("late").over(w), F.lit(0)))
+    return tiles.select("station", "run", F.col("period_start").alias("start"), (F.col("n") - F.col("late") + F.col("before")).alias("reports"))
 
 
 _LIFE = """SELECT station_id, variable, t, z, CASE WHEN high AND was AND NOT silent THEN 'refreshed' WHEN high AND was THEN 'expired,opened' WHEN high THEN 'opened' WHEN was AND NOT silent THEN 'resolved' WHEN was THEN 'expired' END AS state
@@ -177,25 +175,40 @@ def anomaly_state(spark, d):
     return C.anomaly_life(scored, keys, 2.0, 2 * S.HOUR).withColumn("z", F.round("z", 4))
 
 
-_DUE = f"SELECT f.forecast_id, f.station, p.hours, p.level, f.issued + p.hours * {S.HOUR} AS due FROM (SELECT *, unnest(points) AS p FROM forecasts) f WHERE f.issued + 4 * {S.HOUR} <= (SELECT max(issued) FROM forecasts) - {S.DAY} AND f.forecast_id % 3 <> 0"
+LEADS, NEAR = (1, 2, 3, 6), 20 * R.MINUTE
+
+
+def _issued(spark, d):
+    """Stored sensor forecasts: each water level foretells itself, a fiftieth more for each hour ahead. One in three has been scored."""
+    r = V.readings(spark, d).filter("variable = 'water_level'")
+    points = F.array(*(F.struct(F.lit(h).alias("hours"), (F.col("t") + h * S.HOUR).alias("due"), (F.col("value") * (1 + h / 50)).alias("level")) for h in LEADS))
+    return r.select(F.col("event_id").alias("forecast_id"), "station_id", "variable", (F.col("event_id") % 3 == 0).alias("validated"), points.alias("points"))
+
+
+_DUE = f"""SELECT event_id AS forecast_id, station_id, variable, h AS hours, t + h * {S.HOUR} AS due, value * (1 + h / 50.0::DOUBLE) AS level
+  FROM readings, (VALUES {", ".join(f"({h})" for h in LEADS)}) l(h)
+  WHERE variable = 'water_level' AND event_id % 3 <> 0 AND t + {max(LEADS) * S.HOUR} <= (SELECT max(t) FROM readings)"""
 
 
 @query(
     "forecasts_validated",
-    oracle(["forecasts"], "SELECT due.station, hours, count(*) AS scored, count(*) FILTER (WHERE abs(level - a.actual) <= 1.0) AS hits, round(avg(abs(level - a.actual)), 4) AS mae FROM due JOIN a ON a.station = due.station AND a.day = due.due // 86400000000 GROUP BY ALL",
-           due=_DUE, a=f"SELECT station, issued // {S.DAY} AS day, min(points[1].level) AS actual FROM forecasts GROUP BY ALL"),
-)
+    oracle(
+        ["readings"],
+        "SELECT forecast_id, count(actual) AS scored_points, round(avg(abs(actual - level)), 4) AS mean_abs_error FROM met GROUP BY forecast_id",
+        due=_DUE,
+        met=f"SELECT d.forecast_id, d.hours, d.level, arg_min(r.value, (abs(r.t - d.due), r.event_id)) AS actual FROM due d LEFT JOIN readings r ON r.station_id = d.station_id AND r.variable = d.variable AND r.t BETWEEN d.due - {NEAR} AND d.due + {NEAR} GROUP BY ALL",
+    ),
+)
 def forecasts_validated(spark, d):
-    """Hit rates and errors by lead time of the forecasts that have fully elapsed and weren't scored before (one in
-    three was), against the level of the day each point is for."""
-    f = V.forecasts(spark, d)
-    now = f.agg((F.max("issued") - S.DAY).alias("now"))
-    level = f.groupBy("station", F.floor(F.col("issued") / S.DAY).alias("day")).agg(F.min(F.col("points")[0]["level"]).alias("actual"))
-    ripe = f.filter("forecast_id % 3 <> 0").crossJoin(F.broadcast(now)).filter(F.col("issued") + 4 * S.HOUR <= F.col("now"))
-    points = ripe.select("station", "issued", F.explode("points").alias("p")).withColumn("day", F.floor((F.col("issued") + F.col("p.hours") * S.HOUR) / S.DAY))
-    error = F.abs(F.col("p.level") - F.col("actual"))
-    g = points.join(level, ["station", "day"]).groupBy("station", F.col("p.hours").alias("hours"))
-    return g.agg(F.count("*").alias("scored"), F.count_if(error <= 1.0).alias("hits"), F.round(F.avg(error), 4).alias("mae"))
+    """Forecasts whose last point has passed and that weren't scored before, each point against the reading nearest to it
+    in time within the tolerance. Without any reading a forecast has no points scored and no error."""
+    now = V.readings(spark, d).agg(F.max("t").alias("now"))
+    ripe = _issued(spark, d).filter("NOT validated").crossJoin(F.broadcast(now)).filter(F.element_at("points", -1)["due"] <= F.col("now"))
+    points = ripe.select("forecast_id", "station_id", "variable", F.explode("points").alias("p")).select("forecast_id", "station_id", "variable", F.col("p.hours").alias("hours"), F.col("p.due").alias("t"), F.col("p.level").alias("level"))
+    met = S.nearest_in_time(points, V.readings(spark, d), ["station_id", "variable"], NEAR, "value", "event_id")
+    errors = met.groupBy("forecast_id").agg(F.count("*").alias("scored_points"), F.avg(F.abs(F.col("actual") - F.col("level"))).alias("error"))
+    out = ripe.select("forecast_id").join(errors, "forecast_id", "left")
+    return out.select("forecast_id", F.coalesce("scored_points", F.lit(0)).alias("scored_points"), F.round("error", 4).alias("mean_abs_error"))
 
 
 @query("forecast_inundation", oracle(["forecasts", "elevation"], "SELECT l.station, e.cell, round(l.level - e.elevation_m, 3) AS depth_m FROM l JOIN elevation e ON e.elevation_m <= l.level", l="SELECT station, points[2].level AS level FROM forecasts QUALIFY row_number() OVER (PARTITION BY station ORDER BY issued DESC, forecast_id DESC) = 1"))

@@ -349,11 +349,13 @@ def incident_merge(spark, d):
 
 @query("narrative_clusters")
 def narrative_clusters(spark, d):
-    """Rumours of half a day: clusters of at least three reports whose texts' vectors are alike. Reports pass on one of
-    some fifty texts, of which the first half have vectors here."""
+    """Rumours of half a day: clusters of at least three reports whose texts' vectors are alike. Reports come in runs of
+    forty that pass on one text, and texts are those of all vectors in turn."""
     r = V.reports(spark, d).withColumn("half_day", F.floor(F.col("t") / (12 * S.HOUR)))
-    e = V.table(spark, d, "embeddings").filter("vec_id < 25").select(F.col("vec_id").alias("said"), F.col("embedding").alias("v"))
-    return K.leader_clusters(r.withColumn("said", F.col("id") % 50).join(F.broadcast(e), "said"), ["half_day"])
+    e = V.table(spark, d, "embeddings")
+    known = e.agg(F.max("vec_id").alias("top"))
+    said = r.crossJoin(F.broadcast(known)).withColumn("said", F.expr("id div 40 % (top + 1)")).drop("top")
+    return K.leader_clusters(said.join(e.select(F.col("vec_id").alias("said"), F.col("embedding").alias("v")), "said"), ["half_day"])
 
 
 def _hotspots(spark, d):

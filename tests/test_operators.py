@@ -149,6 +149,14 @@ def test_near_hashes_equals_all_pairs(spark):
     assert got == [i for i, h in enumerate(hashes) if any((h ^ g).bit_count() <= 6 for g in hashes[:i])]
 
 
+def test_few_hashes_share_a_key(spark):
+    rng = np.random.default_rng(3)
+    hashes = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 1 << 32, (2000, 2))], "hi long, lo long")
+    keys = hashes.select("hi", "lo", F.explode(spatial.band_keys(6, 3)).alias("key"))
+    pairs = keys.join(keys.withColumnsRenamed({"hi": "hi2", "lo": "lo2"}), "key").filter("hi < hi2").count()
+    assert keys.count() == 84 * 2000 and pairs < 2000 * 2000 / 2 / 5000
+
+
 def test_names(spark):
     people = [(1, "Kavya Raman", 0), (2, "Kavia  Raman", 1), (3, "Suresh Pillai", 1), (4, None, 1), (5, "", 0), (6, "kavya raman ", 1), (7, "a.b*c", 0), (8, "a.b*d", 1)]
     df = spark.createDataFrame(people, "id long, name string, kind int")
