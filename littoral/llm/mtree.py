@@ -5,7 +5,8 @@ any x within r of c, q.x <= q.c + |q| r; and q.c <= q.p + |q| d(p, c), so a page
 to its parent p before q.c is computed, and an entry of a leaf page by its stored distance to c before q.x is.
 
 Scores are exact integers. Bounds are floating numbers; each is widened by more than its rounding error before it rules
-anything out, so a row that ties at the last rank is never lost.
+anything out, so a row that ties at the last rank is never lost. A product q.c may cancel, so its error is a share of
+|q| |c| and not of the product.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .common import cut
 from .vectors import best, bucketwise, clean, deal, dealt, matrix, merge, partial, sampled, spread
 
 
-#: A bound's share of its parts' size by which it is widened: far above the rounding of norms and distances.
+#: A bound's share of its parts' size by which it is widened: far above the rounding of norms, distances and products.
 SLACK = 1e-9
 #: Stands for no score.
 NONE = -(1 << 63)
@@ -85,34 +86,37 @@ def search_pages(root: Page, x: np.ndarray, points: dict, asking: dict, floor: n
     norm = np.sqrt((queries**2).sum(axis=1))
     have_ids = [np.zeros(0, dtype=np.int64)] * len(queries)
     have = [np.zeros(0, dtype=np.int64)] * len(queries)
-    least = floor.astype(float).copy()  # a score below it is not needed; one equal to it may win its tie
+    exact = floor.astype(np.int64)  # a score below it is not needed; one equal to it may win its tie
+    least = exact.astype(float)
     done = {"pages_pruned_by_parent": 0, "pages_pruned": 0, "rows_pruned": 0, "rows_scored": 0}
-    widened = lambda product, reach: product + reach + SLACK * (np.abs(product) + reach + 1)
+    size = lambda page: norm * np.sqrt((page.centre**2).sum())  # noqa: E731  what the terms of a product may add up to
+    widened = lambda product, reach, terms: product + reach + SLACK * (terms + reach + 1)
     at_root = queries @ root.centre
-    queue = [(-float(widened(at_root, norm * root.radius).max(initial=-np.inf)), 0, root, at_root)]
+    queue = [(-float(widened(at_root, norm * root.radius, size(root)).max(initial=-np.inf)), 0, root, at_root)]
     number = 0
     while queue:
         _, _, page, product = heapq.heappop(queue)
-        live = np.flatnonzero(widened(product, norm * page.radius) >= least)
+        terms = size(page)
+        live = np.flatnonzero(widened(product, norm * page.radius, terms) >= least)
         if not len(live):
             done["pages_pruned"] += 1
             continue
         for child in page.pages:
-            if not (widened(product, norm * (child.to_parent + child.radius))[live] >= least[live]).any():
+            if not (widened(product, norm * (child.to_parent + child.radius), terms)[live] >= least[live]).any():
                 done["pages_pruned_by_parent"] += 1
                 continue
             p = queries @ child.centre
             number += 1
-            heapq.heappush(queue, (-float(widened(p, norm * child.radius).max()), number, child, p))
+            heapq.heappush(queue, (-float(widened(p, norm * child.radius, size(child)).max()), number, child, p))
         if page.rows is not None and len(page.rows):
-            short = least - product - SLACK * (np.abs(product) + np.maximum(least, 0) + norm * page.radius + 1)
+            short = least - product - SLACK * (terms + np.maximum(least, 0) + norm * page.radius + 1)
             need = (short / np.maximum(norm, 1e-12))[live].min()  # entries nearer to the centre can't reach
             upto = int(np.searchsorted(-page.distances, -need, side="right")) if need > 0 else len(page.rows)
             done["rows_pruned"] += (len(page.rows) - upto) * len(live)
             done["rows_scored"] += upto * len(live)
             rows = page.rows[:upto]
             s = products(queries[live], x[rows], whole)
-            hit = s >= least[live][:, None]
+            hit = s >= exact[live][:, None]
             hit &= asking["rid"][live][:, None] != points["rid"][rows][None, :]
             for i in np.flatnonzero(hit.any(axis=1)).tolist():
                 q, on = live[i], hit[i]
@@ -120,7 +124,8 @@ def search_pages(root: Page, x: np.ndarray, points: dict, asking: dict, floor: n
                 j = best(a, b, k)
                 have_ids[q], have[q] = a[j], b[j]
                 if len(j) == k:
-                    least[q] = max(least[q], float(b[j[-1]]))
+                    exact[q] = max(exact[q], b[j[-1]])
+                    least[q] = float(exact[q])
     return have_ids, have, done
 
 
@@ -179,8 +184,9 @@ def search(table: DataFrame, asking: str, k: int = 20, scale: int = 64, routes:
         s = products(x, sample, whole)
         s[own[:, None] == rids[None, :]] = NONE
         floor = np.sort(s, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(x), NONE)
-        product, far = x @ centres.T, np.sqrt((x**2).sum(axis=1))[:, None] * np.maximum(radius, 0)[None, :]
-        reach = product + far + SLACK * (np.abs(product) + far + 1)
+        norm = np.sqrt((x**2).sum(axis=1))[:, None]
+        product, far = x @ centres.T, norm * np.maximum(radius, 0)[None, :]
+        reach = product + far + SLACK * (norm * np.sqrt((centres**2).sum(axis=1)) + far + 1)
         out = []
         for i in range(len(x)):
             open_cells = np.flatnonzero((reach[i] >= floor[i]) & (radius >= 0))

@@ -153,3 +153,26 @@ def test_large_components(spark):
 
     with pytest.raises(ValueError):
         mtree.search(spark.createDataFrame([(20, [1e300, 1.0])], "vec_id long, embedding array<double>"), "vec_id % 20 = 0")
+
+
+def test_products_that_cancel(spark):
+    """Equal rows and queries nearly orthogonal to them: products far smaller than their terms still find their rows."""
+    rng = np.random.default_rng(12)
+    tables = {}
+    for n, top in enumerate([20, 21, 22, 22, 22, 22]):
+        c = rng.integers(-(2**top) * 64, 2**top * 64, 8)
+        q = rng.integers(-(2**top) * 64, 2**top * 64, 8)
+        others = int(sum(int(a) * int(b) for a, b in zip(c[1:], q[1:])))
+        q[0] = -others // int(c[0])  # may be large itself: keep only what fits
+        if abs(int(q[0])) < 2 ** (top + 6.5):
+            tables[n] = [(i, (c if i else q).tolist()) for i in range(39)]
+    assert len(tables) >= 3
+    for rows in tables.values():
+        df = spark.createDataFrame([(i, [a / 64 for a in v]) for i, v in rows], "vec_id long, embedding array<double>")
+        got = sorted(map(tuple, mtree.search(df, "vec_id % 20 = 0").collect()))
+        want = []
+        for query in (0, 20):
+            v = dict(rows)[query]
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != query)[:20]
+            want += [(query, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
+        assert got == sorted(want)
