@@ -1,11 +1,12 @@
 """Line dedup by winnowing over line hashes, in DataFrame operations alone.
 
-Of every ``run`` consecutive lines the one of least hash is a fingerprint, so two equal runs of that many lines always
-share one. Fingerprints that stand in one place only hold no repeated run and go no further. From each place of the
-others the match is extended both ways: the runs of ``run`` lines about it are told apart by 128 bits of all their
-lines, and joined with the first place in the corpus that has the same lines. Runs that stand there earlier are marked;
-marked runs that overlap make up longer ones, each line of which is deleted. A repeated run of ``run`` lines and more is
-found wherever its earlier copies stand, and whatever stands about them; the first copy of every run stays.
+Of every ``run`` consecutive lines the one of least hash (the first on ties) is a fingerprint, and stands there once for
+all the windows that choose it: two equal runs of that many lines always share one. Positions of equal fingerprints are
+joined; a line that is chosen in one place only goes no further. From each place that is left the match is extended both
+ways over the windows that chose it, told apart by 128 bits of their lines, and held against the first place in the
+corpus with the same lines. Windows that stand earlier are marked; marked ones that overlap make up longer runs, each
+line of which is deleted. A repeated run of ``run`` lines and more is found wherever its earlier copies stand, and
+whatever stands about them; the first copy of every run stays.
 """
 
 from __future__ import annotations
@@ -16,28 +17,37 @@ from pyspark.sql import functions as F
 from .common import ROW, cut, join_counted, row_key
 
 
-def windows(docs: DataFrame, run: int) -> DataFrame:
-    """docs (doc_id, doc, row, text) to one row for each run of ``run`` lines: place (doc_id, doc, row, i), its
-    fingerprint, and a and b, 128 bits of its lines."""
+def positions(docs: DataFrame, run: int) -> DataFrame:
+    """docs (doc_id, doc, row, text) to one row for each position that is the least of some ``run`` lines: doc_id, doc, row,
+    its fingerprint, and windows, those that it is the least of: i, the first line, and a and b, 128 bits of the lines."""
     split = F.split("text", "\n", -1)
     hashed = lambda *salt: F.transform("lines", lambda x: F.xxhash64(*map(F.lit, salt), x))
     lines = docs.filter(F.col("text").isNotNull()).select("doc_id", *ROW, split.alias("lines")).filter(F.size("lines") >= run)
     lines = lines.select("doc_id", *ROW, hashed().alias("h"), hashed(1).alias("k"))
     part = lambda c, i: F.slice(c, i + 1, run)
-    of = F.transform(
-        F.sequence(F.lit(0), F.size("h") - run),
-        lambda i: F.struct(i.alias("i"), F.array_min(part("h", i)).alias("fingerprint"), F.xxhash64(part("h", i)).alias("a"), F.xxhash64(part("k", i)).alias("b")),
-    )
-    return lines.select("doc_id", *ROW, F.explode(of).alias("w")).select(F.struct("doc_id", *ROW, "w.i").alias("place"), "w.fingerprint", "w.a", "w.b")
+    least = lambda i: i + F.array_position(part("h", i), F.array_min(part("h", i))).cast("int") - 1
+    window = lambda i: F.struct(i.alias("i"), least(i).alias("at"), F.xxhash64(part("h", i)).alias("a"), F.xxhash64(part("k", i)).alias("b"))
+    every = lines.select("doc_id", *ROW, "h", F.transform(F.sequence(F.lit(0), F.size("h") - run), window).alias("w"))
+    chosen = every.select("doc_id", *ROW, "h", "w", F.array_distinct(F.col("w.at")).alias("at"))
+    near = lambda at: F.slice("w", F.greatest(at - run + 2, F.lit(1)), run)  # noqa: E731  windows that hold this line
+    own = lambda at: F.transform(F.filter(near(at), lambda x: x["at"] == at), lambda x: F.struct(x["i"].alias("i"), x["a"].alias("a"), x["b"].alias("b")))
+    print_of = lambda at: F.struct(F.element_at("h", at + 1).alias("fingerprint"), own(at).alias("windows"))
+    return chosen.select("doc_id", *ROW, F.explode(F.transform("at", print_of)).alias("p")).select("doc_id", *ROW, "p.fingerprint", "p.windows")
+
+
+def met(docs: DataFrame, run: int) -> DataFrame:
+    """The positions whose fingerprint stands in more than one place."""
+    every = cut(positions(docs, run))
+    shared = cut(every.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1"))
+    return join_counted(every, shared, ["fingerprint"])
 
 
 def repeated_lines(docs: DataFrame, run: int) -> DataFrame:
     """doc, row, gone: the numbers of the lines to delete, from 0."""
-    every = cut(windows(docs, run))
-    shared = cut(every.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1"))
-    met = cut(join_counted(every, shared, ["fingerprint"]).select("place", "a", "b"))
-    first = cut(met.groupBy("a", "b").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1"))
-    later = join_counted(met, first, ["a", "b"]).filter(F.col("place") > F.col("first"))
+    windows = met(docs, run).select("doc_id", *ROW, F.explode("windows").alias("w"))
+    held = cut(windows.select(F.struct("doc_id", *ROW, "w.i").alias("place"), "w.a", "w.b"))
+    first = cut(held.groupBy("a", "b").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    later = join_counted(held, first, ["a", "b"]).filter(F.col("place") > F.col("first"))
     lines = later.select("place.doc", "place.row", F.explode(F.sequence("place.i", F.col("place.i") + run - 1)).alias("i"))
     return lines.groupBy(*ROW).agg(F.collect_set("i").alias("gone"))
 

@@ -88,3 +88,23 @@ def df_col():
     from pyspark.sql import functions as F
 
     return F.lit("mine")
+
+
+def test_lines_that_repeat_nowhere_go_no_further(spark):
+    from littoral.llm.common import row_key
+
+    texts = ["\n".join(f"line {d} {i}" for i in range(50)) for d in range(200)] + ["line 3 7\nline 3 8\nother", "x", ""]
+    docs = frame(spark, texts).select("doc_id", *row_key(), "text")
+    chosen = line_dedup.positions(docs, 2)
+    assert 0.6 * 10_000 < chosen.count() < 0.72 * 10_000
+    assert line_dedup.met(docs, 2).count() == 2
+
+
+def test_each_window_has_one_position(spark):
+    from littoral.llm.common import row_key
+
+    texts = ["a\na\na\na\nb\nb", "p\nq\nr\ns\nt\nu\nv"]
+    for run in (2, 3, 4):
+        got = line_dedup.positions(frame(spark, texts).select("doc_id", *row_key(), "text"), run).collect()
+        starts = {d: sorted(w["i"] for r in got if r["doc_id"] == d for w in r["windows"]) for d in (0, 1)}
+        assert starts == {d: list(range(len(texts[d].split("\n")) - run + 1)) for d in (0, 1)}
