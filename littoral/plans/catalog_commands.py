@@ -296,16 +296,6 @@ def zones_refreshed(spark, d):
     return C.deleted(s, sectors, "sector").withColumn("batch", F.lit("old")).unionByName(new)
 
 
-@query("media_forensics", oracle([], "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 0.5 WHEN earlier THEN 0.0 WHEN km > 5 THEN 0.2 WHEN abs(hours) > 6 THEN 0.4 WHEN km IS NULL AND hours IS NULL THEN 0.6 ELSE 1.0 END::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey * 7919 % 6007 ORDER BY o_orderkey) > 1 AS earlier, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 8 END AS km, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 9 END AS hours FROM orders)"))
-def media_forensics(spark, d):
-    """Media scores from reuse of an earlier picture, distance from the claimed place and from the claimed time."""
-    k = F.col("o_orderkey")
-    o = V.table(spark, d, "orders").select(k.alias("id"), (k * 7919 % 6007).alias("hash"), F.when(k % 3 > 0, k % 8).alias("km"), F.when(k % 4 > 0, k % 9).alias("hours"))
-    first = o.groupBy("hash").agg(F.min("id").alias("first"))
-    score = scoring.media(F.col("id") % 5 != 0, F.col("first") < F.col("id"), F.col("km"), F.col("hours"))
-    return o.join(first, "hash").select("id", score.cast("double").alias("score"))
-
-
 @query("audit_global", oracle(["audit_events"], "SELECT count(*) AS n, min(id) FILTER (WHERE id % 1000 = 7) AS first_bad, count(*) FILTER (WHERE id < (SELECT min(id) FROM audit_events WHERE id % 1000 = 7)) AS good_before, (SELECT list_reduce(list_prepend('" + fixed.GENESIS + "', list(envelope ORDER BY id)), lambda a, e: sha256(a || e)) FROM audit_events) AS head FROM audit_events"))
 def audit_global(spark, d):
     """One chain over all events in order, verified after some entries were tampered with: up to the first bad one."""
