@@ -24,41 +24,6 @@ def prototype_class(vectors: DataFrame, protos: DataFrame) -> DataFrame:
     return each.select("vec_id", scored.alias("scored")).select("vec_id", F.array_max(ranked)["label"].alias("label"))
 
 
-def _blocks(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
-    """Rows as blocks of at most ``size``: ids, and the vectors scaled to length one as one string of doubles."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for k in range(0, len(pdf), size):
-                part = pdf.iloc[k : k + size]
-                x = np.stack(part[vector].to_numpy()).astype(float)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                yield pd.DataFrame({"ids": [part[key].to_numpy()], "x": [x.tobytes()]})
-
-    return rows.select(key, vector).dropna().mapInPandas(run, "ids array<long>, x binary")
-
-
-def topk_cosine(rows: DataFrame, questions: DataFrame, key: str, vector: str, k: int, size: int = 2048) -> DataFrame:
-    """q, key, s: for each question the k other rows of greatest cosine, ties to the smaller key. Blocks of questions
-    meet blocks of rows in matrix products; a block of questions keeps k rows of each block, so no pairs are emitted."""
-    asked = _blocks(questions, key, vector, size).select(F.col("ids").alias("q_ids"), F.col("x").alias("qx"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for r in pdf.itertuples():
-                q, own = np.asarray(r.q_ids), np.asarray(r.ids)
-                s = np.frombuffer(r.qx).reshape(len(q), -1) @ np.frombuffer(r.x).reshape(len(own), -1).T
-                s[q[:, None] == own[None, :]] = -np.inf
-                m = min(k, len(own))
-                order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :m]
-                out = pd.DataFrame({"q": np.repeat(q, m), key: own[order].ravel(), "s": np.take_along_axis(s, order, axis=1).ravel()})
-                yield out[out["s"] > -np.inf]
-
-    met = _blocks(rows, key, vector, size).crossJoin(asked).mapInPandas(run, f"q long, {key} long, s double")
-    w = Window.partitionBy("q").orderBy(F.desc("s"), key)
-    return met.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n")
-
-
 def _vectors(rows: pd.Series) -> np.ndarray:
     x = np.stack(rows.to_numpy()).astype(float)
     return np.column_stack([x, np.ones(len(x))])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed, scoring, text
-from ..operators import audit, ml, privacy
+from ..operators import audit, ml, privacy, retrieval
 from ..operators import reports as R
 from ..operators import series as S
 from . import views as V
@@ -172,11 +172,12 @@ def satellite_scores(spark, d):
     return s.groupBy("incident_id").agg(F.max(score).alias("score"))
 
 
-@query("rag_topk", oracle([], "SELECT q, vec_id, round(s, 4) AS score FROM (SELECT a.vec_id AS q, b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id) QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id) <= 4"))
+@query("rag_topk", oracle([], "SELECT q, vec_id, round(s, 4) AS score FROM (SELECT a.vec_id AS q, b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id) WHERE s >= 0.28 QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id) <= 4"))
 def rag_topk(spark, d):
-    """The four documents nearest to each question. Questions are the rows whose id is divisible by 20, met in blocks."""
+    """The four documents nearest to each question, if alike enough. Questions are the rows whose id is divisible by 20,
+    met in blocks."""
     e = V.table(spark, d, "embeddings")
-    top = ml.topk_cosine(e, e.filter("vec_id % 20 = 0"), "vec_id", "embedding", 4)
+    top = retrieval.nearest(e, e.filter("vec_id % 20 = 0"), "vec_id", "embedding", 4, 0.28)
     return top.select("q", "vec_id", r4("s").alias("score"))
 
 

@@ -30,6 +30,31 @@ def hazards_from_yaml(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "hazard_type string, place int, variables array<string>, recipe string, event_words array<string>, label string")
 
 
+def faq_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """id, title, content, lang of all questions and answers that hazard files hold, with English where none is said."""
+    import yaml
+
+    files = spark.sparkContext.wholeTextFiles(f"{folder}/*.yaml").collect()  # a few small files
+    entries = [e for _, body in sorted(files) for e in (yaml.safe_load(body) or {}).get("faq") or ()]
+    rows = [(e["id"], e["title"], e["content"], e.get("lang", "en")) for e in entries]
+    return spark.createDataFrame(rows, "id string, title string, content string, lang string")
+
+
+def seed_once(spark: SparkSession, table: str, source: str, schema: str, defaults: dict[str, object] | None = None) -> bool:
+    """Loads a JSON list into a Parquet table that is absent or empty; whether it did. An absent source loads nothing.
+    Nulls in the columns of ``defaults`` become those values."""
+
+    def there(path: str) -> bool:
+        sc = spark.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(sc._jsc.hadoopConfiguration()).exists(where)
+
+    if not there(source) or there(table) and not spark.read.schema(schema).parquet(table).isEmpty():
+        return False
+    spark.read.option("multiLine", True).schema(schema).json(source).fillna(defaults or {}).write.mode("overwrite").parquet(table)
+    return True
+
+
 def enabled_stations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).schema("id string, name string, lat double, lon double, variables array<string>, enabled boolean").json(path).filter("enabled")
 
