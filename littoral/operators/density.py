@@ -192,8 +192,9 @@ def clusters(points: DataFrame, group: list[str], least: int = 5, size: int = 10
 
 
 def hotspots(points: DataFrame, group: list[str], least: int = 5, size: int = 1000) -> DataFrame:
-    """Density clusters of the places (id, lat, lon) of each group, on kilometres about the group's mean latitude."""
+    """Density clusters of the places (id, lat, lon) of each group, on kilometres about the group's mean latitude, to the
+    millimetre: so equal distances stay equal in whatever order the mean was summed."""
     mean = points.groupBy(*group).agg(F.avg("lat").alias("_middle"))
     x = F.col("lon") * 111.320 * F.cos(F.radians("_middle"))
     placed = points.join(mean, group)
-    return clusters(placed.select(*group, "id", x.alias("x"), (F.col("lat") * 110.574).alias("y")), group, least, size)
+    return clusters(placed.select(*group, "id", F.round(x, 6).alias("x"), F.round(F.col("lat") * 110.574, 6).alias("y")), group, least, size)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from .state import SECOND, advance
+from .state import advance
 
 _READING = "array<struct<variable:string,time:timestamp,value:double>>"
 STATION = f"station_id string, id long, outcome string, name string, lat double, lon double, variables array<string>, readings {_READING}, topic string, payload string"
