@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .vectors import best, bucketwise, clean, deal, dealt, matrix, merge, partial, partial_type, sampled, spread
+from .vectors import best, bucketwise, clean, dealt, matrix, merge, partial, partial_type, sampled, spread
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -81,12 +81,44 @@ def grow(sample: np.ndarray, leaves: int, branching: int = 8, seed: int = 11) ->
             heapq.heappush(queue, (-int((near == j).sum()), len(centres), x[near == j]))
             centres.append(c[j])
         n_leaves += len(c) - 1
-    ends = [i for i, kids in enumerate(children) if not kids]
+    ends, stack = [], [0]
+    while stack:  # leaves are numbered along the tree, so neighbours have neighbouring numbers
+        node = stack.pop()
+        stack += reversed(children[node])
+        ends += [] if children[node] else [node]
     leaf = np.full(len(centres), -1)
     leaf[ends] = np.arange(len(ends))
     return Tree(np.array(centres), children, leaf, len(ends))
 
 
+def in_runs(counts: np.ndarray, per_bucket: int, least: int) -> dict[int, list[int]]:
+    """Leaves to buckets, runs of neighbouring leaves to the same one, and at least ``least`` buckets in all. A leaf that
+    lies over the end of a bucket goes to both, a crowded one to several."""
+    total = int(counts.sum())
+    share = max(1, min(per_bucket, -(-total // least)))
+    ends = np.cumsum(counts)
+    return {int(i): list(range(int(ends[i] - counts[i]) // share, int(ends[i] - 1) // share + 1)) for i in np.flatnonzero(counts)}
+
+
+def visited_products(x: np.ndarray, leaf: np.ndarray, q: np.ndarray, cells: list[list[int]]) -> tuple[np.ndarray, int]:
+    """Products of queries with the rows, sorted by leaf, of the leaves that each visits, -inf elsewhere; and how many
+    products that took."""
+    out = np.full((len(q), len(x)), -np.inf)
+    names, first = np.unique(leaf, return_index=True)
+    bounds = dict(zip(names.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(leaf)])))
+    asking: dict[int, list[int]] = {}
+    for i, visits in enumerate(cells):
+        for f in visits:
+            if f in bounds:
+                asking.setdefault(f, []).append(i)
+    done = 0
+    for f, queries in asking.items():
+        lo, hi = bounds[f]
+        out[queries, lo:hi] = q[queries] @ x[lo:hi].T
+        done += len(queries) * (hi - lo)
+    return out, done
+
+
 def exact(rows: DataFrame, rids: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
     """Brute force for a few queries held by every task: query_id, rank, vec_id, score."""
 
@@ -112,8 +144,9 @@ def search(table: DataFrame, asking: str, k: int = 20, recall: float = 0.96, row
     The tree is grown on about ``fit_rows`` rows, four or more to a leaf, so beyond ``rows_per_leaf`` * ``fit_rows`` / 4
     rows its leaves grow with the table; every row is indexed. Leaf visits are calibrated on about
     ``calibration`` queries whose true neighbours are found by brute force: they are widened until these queries' mean
-    recall reaches ``recall``. A query visits more leaves while those seen hold too few rows for k answers. Rows go to
-    buckets of about ``per_bucket``, a crowded leaf to several, and a query goes once to each bucket that it visits.
+    recall reaches ``recall``. A query visits more leaves while those seen hold too few rows for k answers. Neighbouring
+    leaves go to buckets of about ``per_bucket`` rows, a crowded leaf to several, and a query goes once to each bucket
+    that it visits, where it is multiplied by the rows of its leaves alone.
     Scores are double-precision products of the original vectors; ties go to the smaller vec_id. See clean() for what
     takes no part, for vectors of several lengths and for repeated ids. Empty tables give no rows.
     """
@@ -136,19 +169,20 @@ def search(table: DataFrame, asking: str, k: int = 20, recall: float = 0.96, row
     counts = np.array([counted.get(i, 0) for i in range(tree.leaves)])
 
     rids, ids, vectors = sampled(asked, "calibration", calibration, n_asked)
-    truth = exact(rows, rids, ids, vectors, k).select("query_id", "vec_id").join(indexed.select("vec_id", "leaf"), "vec_id")
+    by_row = rows.withColumn("vec_id", F.col("rid"))  # ids may repeat
+    truth = exact(by_row, rids, rids, vectors, k).select("query_id", "vec_id").join(indexed.select(F.col("rid").alias("vec_id"), "leaf"), "vec_id")
     where: dict[int, list[int]] = {}
     for r in truth.select("query_id", "leaf").collect():  # at most calibration * k
         where.setdefault(r.query_id, []).append(r.leaf)
     found = np.zeros(tree.leaves)
-    for q, v in zip(ids.tolist(), vectors):
+    for q, v in zip(rids.tolist(), vectors):
         order = {leaf: i for i, leaf in enumerate(tree.best_bins(v, tree.leaves, counts, 0))}
         for leaf in where.get(q, ()):
             found[order[leaf]] += 1
     shares = np.cumsum(found) / max(1, found.sum())
     visits = int(np.searchsorted(shares, recall)) + 1 if found.sum() else tree.leaves
 
-    where_to = deal({i: int(n) for i, n in enumerate(counts) if n}, per_bucket, 16)
+    where_to = in_runs(counts, per_bucket, 16)
 
     def place_point(own: np.ndarray, x: np.ndarray) -> list[dict[int, list[int]]]:
         leaf = held.value.leaf_of(x)
@@ -165,21 +199,22 @@ def search(table: DataFrame, asking: str, k: int = 20, recall: float = 0.96, row
         return out
 
     def work(points: dict, asking: dict) -> Iterator[pa.RecordBatch]:
+        if "leaf" not in points:
+            leaf = np.array([c[0] for c in points["cells"]])
+            order = np.argsort(leaf, kind="stable")
+            points |= {"leaf": leaf[order], "v": points["v"][order], "id": points["id"][order], "rid": points["rid"][order]}
+            points["longest"] = float(np.sqrt((points["v"] ** 2).sum(axis=1)).max())
         x, own, number = points["v"], points["id"], points["rid"]
-        leaf = np.array([c[0] for c in points["cells"]])
         q, q_ids = asking["v"], asking["id"]
-        open_to = np.zeros((len(q), int(leaf.max()) + 1), dtype=bool)
-        for i, cells in enumerate(asking["cells"]):
-            open_to[i, [c for c in cells if c < open_to.shape[1]]] = True
-        s = q @ x.T
-        s[~open_to[:, leaf]] = -np.inf
+        s, _ = visited_products(x, points["leaf"], q, asking["cells"])
         s[asking["rid"][:, None] == number[None, :]] = -np.inf
+        slack = 1e-9 * np.sqrt((q**2).sum(axis=1)) * points["longest"]
         got_ids, got_scores = [], []
         for i in range(len(q)):
             row = s[i]
             if len(row) > k:
                 edge = np.partition(row, len(row) - k)[len(row) - k]
-                at = np.flatnonzero((row >= edge - 1e-9) & (row > -np.inf))
+                at = np.flatnonzero((row >= edge - slack[i]) & (row > -np.inf))
             else:
                 at = np.flatnonzero(row > -np.inf)
             exactly = (x[at] * q[i]).sum(axis=1)

@@ -176,3 +176,37 @@ def test_products_that_cancel(spark):
             scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != query)[:20]
             want += [(query, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
         assert got == sorted(want)
+
+
+def test_only_visited_leaves_are_multiplied():
+    rng = np.random.default_rng(6)
+    x, q = rng.normal(size=(500, 6)), rng.normal(size=(40, 6))
+    leaf = np.sort(rng.integers(0, 20, 500)) * 3
+    cells = [rng.choice(np.unique(leaf), rng.integers(0, 5), replace=False).tolist() + [1] for _ in q]
+    s, done = ann_tree.visited_products(x, leaf, q, cells)
+    open_to = np.array([[f in visits for f in leaf] for visits in cells])
+    assert done == open_to.sum() < 0.3 * s.size
+    assert np.allclose(s[open_to], (q @ x.T)[open_to]) and np.isneginf(s[~open_to]).all()
+
+
+def test_neighbouring_leaves_share_buckets():
+    rng = np.random.default_rng(7)
+    counts = rng.integers(0, 400, 300)
+    counts[17] = 30_000
+    where = ann_tree.in_runs(counts, 4_096, 16)
+    assert sorted(where) == np.flatnonzero(counts).tolist() and len(where[17]) >= 7
+    flat = [b for leaf in sorted(where) for b in where[leaf]]
+    assert flat == sorted(flat) and max(flat) < len(set(flat)) and max(map(len, where.values())) < 12
+    load = {}
+    for leaf, buckets in where.items():
+        for b in buckets:
+            load[b] = load.get(b, 0) + counts[leaf] / len(buckets)
+    assert max(load.values()) < 2 * 4_096
+
+
+def test_repeated_ids_calibrate_by_row(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(i % 50), v.tolist()) for i, v in enumerate(rng.normal(size=(1_500, 8)))]
+    found, info = ann_tree.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 20 = 0", rows_per_leaf=64)
+    assert info["leaves"] > 10 and info["visits"] <= info["leaves"] and info["recall"] >= 0.96
+    assert found.count() == 20 * sum(i % 50 in (0, 20, 40) for i in range(1_500))
