@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, scoring, text
 from ..functions.geo import cell_centre, ring
 from ..lineage import cut
-from ..operators import density
+from ..operators import density, incidents
 from ..operators import kernels as K
 from ..operators import reports as R
 from ..operators import series as S
@@ -347,6 +347,21 @@ def incident_merge(spark, d):
     return K.merge_incidents(K.with_vectors(r, V.table(spark, d, "embeddings")), ["hazard_type", "region"], keep=("day",)).drop("region")
 
 
+@query("incident_table")
+def incident_table(spark, d):
+    """All merged incidents with what their reports say together."""
+    return incidents.table(V.reports(spark, d), incident_merge(spark, d)).withColumn("n_cells", F.size("cells").cast("long")).drop("cells")
+
+
+@query("incident_projections")
+def incident_projections(spark, d):
+    """The merged incidents of the last six hours that a forecast of spread is made for, and the cells about each."""
+    r = V.reports(spark, d)
+    now = r.agg(F.max("t").alias("now")).first()["now"]
+    due = incidents.to_project(incidents.table(r, incident_merge(spark, d)), now - 6 * S.HOUR)
+    return due.select("incident", "hazard_type", "status", F.explode("ahead").alias("c")).select("incident", "hazard_type", "status", "c.row", "c.col")
+
+
 @query("narrative_clusters")
 def narrative_clusters(spark, d):
     """Rumours of half a day: clusters of at least three reports whose texts' vectors are alike. Reports come in runs of

@@ -17,7 +17,7 @@ ELSEWHERE = {
     "forecast_horizon_pick": "test_forecasts",
     "hotspot_movement": "test_hotspots",
 }
-HERE = {"incident_merge", "narrative_clusters", "hotspots", "harmonic_forecast", *ELSEWHERE}
+HERE = {"incident_merge", "incident_table", "incident_projections", "narrative_clusters", "hotspots", "harmonic_forecast", *ELSEWHERE}
 
 
 def run(spark, name, d):
@@ -29,7 +29,7 @@ def cosine(a, b):
     return 0.0 if size == 0 else float(a @ b) / size
 
 
-def test_incident_merge(spark):
+def merged(spark):
     vectors = {r["vec_id"]: np.array(r["embedding"], dtype=float) for r in V.table(spark, SMALL, "embeddings").collect()}
     home, books = {}, {}
     for r in sorted(V.reports(spark, SMALL).collect(), key=lambda r: (r["t"], r["id"])):
@@ -49,10 +49,38 @@ def test_incident_merge(spark):
         i["n"], i["seen"] = i["n"] + 1, max(i["seen"], r["t"])
         i["cells"].add((r["row"], r["col"]))
         home[r["id"]] = i
+    return home
+
+
+def test_incident_merge(spark):
+    home = merged(spark)
     got = run(spark, "incident_merge", SMALL)
     assert {r["id"]: (r["incident"], r["n"]) for r in got} == {k: (i["id"], i["n"]) for k, i in home.items()}
 
 
+def test_incident_tables(spark):
+    home, reports = merged(spark), {r["id"]: r for r in V.reports(spark, SMALL).collect()}
+    members = {}
+    for id, i in home.items():
+        members.setdefault(i["id"], []).append(reports[id])
+    want = {}
+    for incident, rows in members.items():
+        said = {r["status"] for r in rows}
+        status = "rejected" if said == {"rejected"} else next((s for s in ("verified", "corroborated") if s in said), "new")
+        want[incident] = rows[0]["hazard_type"], len(rows), min(r["t"] for r in rows), max(r["t"] for r in rows), len({(r["row"], r["col"]) for r in rows}), status
+    got = {r["incident"]: r for r in run(spark, "incident_table", SMALL)}
+    assert {k: tuple(r[c] for c in ("hazard_type", "n", "first_seen", "last_seen", "n_cells", "status")) for k, r in got.items()} == want
+    for k, rows in members.items():
+        assert abs(got[k]["lat"] - np.mean([float(r["lat"]) for r in rows])) < 1e-5
+    now = max(r["t"] for r in reports.values())
+    ahead = set()
+    for k, rows in members.items():
+        if want[k][3] >= now - 6 * HOUR and want[k][5] != "rejected":
+            own = {(r["row"], r["col"]) for r in rows}
+            ahead |= {(k, a + i, b + j) for a, b in own for i in (-1, 0, 1) for j in (-1, 0, 1) if (a + i, b + j) not in own}
+    assert ahead and {(r["incident"], r["row"], r["col"]) for r in run(spark, "incident_projections", SMALL)} == ahead
+
+
 def test_narrative_clusters(spark):
     vectors = {r["vec_id"]: np.array(r["embedding"], dtype=float) for r in V.table(spark, SMALL, "embeddings").collect()}
     halves = {}
