@@ -50,6 +50,29 @@ def relief_created(spark, d):
     return C.created(stored, rows, "id", "category", V.SEGMENTS[:4])
 
 
+@query(
+    "shelter_created",
+    oracle(["shelters"], "SELECT name, lat, lon, capacity, coalesce(status, 'open') AS status FROM a UNION ALL SELECT name, lat::DOUBLE, lon::DOUBLE, capacity, status FROM shelters",
+           a="SELECT c_name AS name, (1280 + c_custkey % 60) / 100 AS lat, (7990 + c_custkey % 37) / 100 AS lon, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 500 END AS capacity, CASE c_custkey % 4 WHEN 0 THEN 'full' WHEN 1 THEN 'closed' END AS status FROM customer WHERE c_mktsegment = 'BUILDING'"),
+)
+def shelter_created(spark, d):
+    """The table of shelters after new ones were added: open unless they say otherwise, capacity as far as it is known."""
+    c, k = V.table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'"), F.col("c_custkey")
+    asks = c.select(F.col("c_name").alias("name"), ((1280 + k % 60) / 100).alias("lat"), ((7990 + k % 37) / 100).alias("lon"), F.when(k % 3 == 0, k % 500).alias("capacity"), F.expr("CASE c_custkey % 4 WHEN 0 THEN 'full' WHEN 1 THEN 'closed' END").alias("status"))
+    return V.shelters(spark, d).select("name", "lat", "lon", "capacity", "status").unionByName(asks.fillna("open", ["status"]))
+
+
+@query(
+    "sitreps_newest",
+    oracle(["reports"], "SELECT station, day, last AS issued, n, verified FROM (SELECT source % 2 AS station, t // " + str(S.DAY) + " AS day, max(t) AS last, count(*) AS n, count(*) FILTER (WHERE status = 'verified') AS verified FROM reports GROUP BY ALL) ORDER BY issued DESC, station LIMIT 200"),
+)
+def sitreps_newest(spark, d):
+    """The newest situation reports, one a day and station, two hundred at most."""
+    g = V.reports(spark, d).groupBy((F.col("source") % 2).alias("station"), F.floor(F.col("t") / S.DAY).alias("day"))
+    runs = g.agg(F.max("t").alias("issued"), F.count("*").alias("n"), F.count_if(F.col("status") == "verified").alias("verified"))
+    return runs.orderBy(F.desc("issued"), "station").limit(200)
+
+
 @query("shelter_deleted", oracle(["shelters"], "SELECT shelter_id FROM shelters WHERE shelter_id NOT IN (SELECT n_nationkey FROM nation)"))
 def shelter_deleted(spark, d):
     gone = V.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("shelter_id"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.fixed import HAZARDS, LANDMARKS
 
@@ -30,6 +31,40 @@ def hazards_from_yaml(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "hazard_type string, place int, variables array<string>, recipe string, event_words array<string>, label string")
 
 
+LANGUAGES = ("en", "ta", "te")
+
+
+def labels(spark: SparkSession, folder: str, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
+    """hazard_type, lang, menu, speech, alert: what each hazard is called in each language by hazard files. A menu or speech
+    label that a language lacks is the English one; alerts use their own English text, and other languages' speech."""
+    import yaml
+
+    rows = []
+    for _, body in sorted(spark.sparkContext.wholeTextFiles(f"{folder}/*.yaml").collect()):  # a few small files
+        raw = yaml.safe_load(body) or {}
+        plain = title(raw["key"])
+        menu, speech = ({"en": plain} | (raw.get(kind) or {}) for kind in ("menu_label", "speech_label"))
+        alert = raw.get("alert_label_en") or plain
+        for lang in languages:
+            own = alert if lang == "en" else speech.get(lang) or alert
+            rows.append((raw["key"], lang, menu.get(lang) or menu["en"], speech.get(lang) or speech["en"], own))
+    return spark.createDataFrame(rows, "hazard_type string, lang string, menu string, speech string, alert string")
+
+
+def title(key: str) -> str:
+    return key.replace("_", " ").title()
+
+
+def labelled(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows (hazard_type, lang) with menu, speech and alert labels; a hazard that isn't known is called by its key, and a
+    language that isn't by its English labels."""
+    english = known.filter("lang = 'en'").select("hazard_type", *(F.col(c).alias(f"{c}_en") for c in ("menu", "speech", "alert")))
+    both = rows.join(F.broadcast(known), ["hazard_type", "lang"], "left").join(F.broadcast(english), "hazard_type", "left")  # nine hazards, few languages
+    plain = F.initcap(F.replace("hazard_type", F.lit("_"), F.lit(" ")))
+    names = {c: F.coalesce(c, f"{c}_en", plain) for c in ("menu", "speech", "alert")}
+    return both.withColumns(names).drop(*(f"{c}_en" for c in names))
+
+
 def faq_entries(spark: SparkSession, folder: str) -> DataFrame:
     """id, title, content, lang of all questions and answers that hazard files hold, with English where none is said."""
     import yaml

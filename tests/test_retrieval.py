@@ -67,3 +67,13 @@ def test_seeds_load_once(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps([{"name": "c", "lat": 1.0, "lon": 2.0}]))
     assert not registry.seed_once(spark, table, source, schema)
     assert sorted((r["name"], r["status"]) for r in spark.read.parquet(table).collect()) == [("a", "open"), ("b", "full")]
+
+
+def test_labels_fall_back(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text("key: red_tide\nmenu_label: {en: Red tide, ta: T}\nspeech_label: {en: red tide, ta: S}\nalert_label_en: Red tide seen\n")
+    (tmp_path / "b.yaml").write_text("key: odd_one\n")
+    known = registry.labels(spark, str(tmp_path))
+    assert {tuple(r) for r in known.filter("hazard_type = 'red_tide'").collect()} == {("red_tide", "en", "Red tide", "red tide", "Red tide seen"), ("red_tide", "ta", "T", "S", "S"), ("red_tide", "te", "Red tide", "red tide", "Red tide seen")}
+    asks = spark.createDataFrame([(1, "red_tide", "ta"), (2, "red_tide", "hi"), (3, "odd_one", "te"), (4, "no_such", "en"), (5, None, None)], "id int, hazard_type string, lang string")
+    got = {r["id"]: (r["menu"], r["speech"], r["alert"]) for r in registry.labelled(asks, known).collect()}
+    assert got == {1: ("T", "S", "S"), 2: ("Red tide", "red tide", "Red tide seen"), 3: ("Odd One",) * 3, 4: ("No Such",) * 3, 5: (None,) * 3}
