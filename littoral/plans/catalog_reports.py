@@ -405,16 +405,21 @@ def hotspot_movement(spark, d):
 
 @query("propagation_hits", oracle(["reports"], f"SELECT f.id, 9::BIGINT AS cells, count(DISTINCT (r.row, r.col)) AS hits FROM reports f LEFT JOIN reports r ON abs(r.row - f.row) <= 1 AND abs(r.col - f.col) <= 1 AND r.t >= f.t AND r.t <= f.t + {3 * S.HOUR} GROUP BY ALL"))
 def propagation_hits(spark, d):
-    """Of the cells about each report, those that got any report within three hours."""
+    """Of the cells about each report, those that got any report within three hours. In bins of that width they are in the
+    report's own bin, where the cell's last time tells, or in the next, where its first time does."""
     r = V.reports(spark, d)
     width = 3 * S.HOUR
-    f = r.select("id", "t", F.explode(ring(F.col("row"), F.col("col"))).alias("c"))
-    bin_of = lambda x: F.floor(x / width)
-    f = f.select("id", "t", "c.row", "c.col", F.explode(F.array(bin_of(F.col("t")), bin_of(F.col("t")) + 1)).alias("bin"))
-    times = r.select("row", "col", F.col("t").alias("rt"), bin_of(F.col("t")).alias("bin"))
-    met = f.join(times, ["row", "col", "bin"]).filter((F.col("rt") >= F.col("t")) & (F.col("rt") <= F.col("t") + width))
-    hits = met.groupBy("id").agg(F.countDistinct("row", "col").alias("hits"))
-    return r.join(hits, "id", "left").select("id", F.lit(9).cast("long").alias("cells"), F.coalesce("hits", F.lit(0)).alias("hits"))
+    here = F.floor(F.col("t") / width)
+    seen = r.groupBy("row", "col", here.alias("bin")).agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    own = seen.select("row", "col", "bin", "last", F.lit(None).cast("long").alias("first"))
+    after = seen.select("row", "col", F.col("bin") - 1, F.lit(None).cast("long"), "first")
+    cells = own.union(after).groupBy("row", "col", "bin").agg(F.max("last").alias("last"), F.max("first").alias("first"))
+    about = cells.select("bin", "last", "first", F.explode(ring(F.col("row"), F.col("col"))).alias("c"))
+    about = about.groupBy("c.row", "c.col", "bin").agg(F.collect_list(F.struct("last", "first")).alias("about"))  # nine at most
+    hit = lambda c: F.coalesce(c["last"] >= F.col("t"), F.lit(False)) | F.coalesce(c["first"] <= F.col("t") + width, F.lit(False))
+    met = r.select("id", "t", "row", "col", here.alias("bin")).join(about, ["row", "col", "bin"], "left")
+    hits = F.coalesce(F.size(F.filter("about", hit)).cast("long"), F.lit(0).cast("long"))
+    return met.select("id", F.lit(9).cast("long").alias("cells"), F.when(F.col("about").isNull(), F.lit(0).cast("long")).otherwise(hits).alias("hits"))
 
 
 @query("keyword_classify", oracle([], "SELECT doc_id, CASE WHEN best.hits > 0 THEN best.hazard END AS hazard_type, best.hits::BIGINT AS hits FROM (SELECT doc_id, list_max([" + ", ".join("{'hits': " + " + ".join(f"contains(lower(coalesce(text, '')), '{w.lower()}')::INT" for w in ws) + f", 'back': {-i}, 'hazard': '{k}'" + "}" for i, (k, ws) in enumerate(fixed.KEYWORDS.items())) + "]) AS best FROM documents)"))
