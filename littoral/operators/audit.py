@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import GENESIS
+from ..lineage import cut
 
 
 def _ordered(events: DataFrame, subject: str, order: str, envelope: str) -> DataFrame:
@@ -46,11 +47,15 @@ def forks(log: DataFrame, prev: str, order: str) -> DataFrame:
 
 def global_chain(events: DataFrame, order: str, envelope: str) -> DataFrame:
     """seq, id, envelope, prev, hash: one chain over all events. Each hash needs the one before, so this is one task's
-    sequence, as a log with a lock is one writer's; it streams, and holds a batch at a time."""
+    sequence, as a log with a lock is one writer's; it streams over events that many tasks have sorted, and holds a batch
+    at a time."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, seq = GENESIS, 0
+        last, seq, top = GENESIS, 0, None
         for pdf in frames:
+            if len(pdf) and top is not None and pdf["id"].iloc[0] < top:
+                raise RuntimeError("sorted partitions came out of order")
+            top = pdf["id"].iloc[-1] if len(pdf) else top
             prev = []
             hashes = []
             for text in pdf["envelope"]:
@@ -61,14 +66,19 @@ def global_chain(events: DataFrame, order: str, envelope: str) -> DataFrame:
             seq += len(pdf)
 
     rows = events.select(F.col(order).cast("long").alias("id"), F.col(envelope).alias("envelope"))
-    return rows.coalesce(1).sortWithinPartitions("id").mapInPandas(run, "seq long, id long, envelope string, prev string, hash string")
+    return cut(rows.orderBy("id")).coalesce(1).mapInPandas(run, "seq long, id long, envelope string, prev string, hash string")
 
 
-def verify_global(chain: DataFrame) -> DataFrame:
+def verify_global(chain: DataFrame, stretch: int = 1 << 16) -> DataFrame:
     """n, first_bad, good_before, head: how far the chain holds. Entries are checked in parallel, each against its own
-    envelope and against the hash of the entry before it, which an equi-join on the sequence number brings."""
-    before = chain.select((F.col("seq") + 1).alias("seq"), F.col("hash").alias("stored"))
-    held = chain.join(before, "seq", "left").withColumn("ok", (F.col("prev") == F.coalesce("stored", F.lit(GENESIS))) & (F.col("hash") == F.sha2(F.concat("prev", "envelope"), 256)))
+    envelope and against the hash of the entry before it, in stretches of sequence numbers that also get the entry before
+    their first: so the chain is read once and isn't joined with itself."""
+    on = F.floor(F.col("seq") / stretch)
+    dealt = chain.withColumn("_on", F.explode(F.when(F.col("seq") % stretch == stretch - 1, F.array(on, on + 1)).otherwise(F.array(on)))).repartition("_on")  # from the one writer to many tasks
+    order = Window.partitionBy("_on").orderBy("seq")
+    stored = F.when(F.lag("seq").over(order) == F.col("seq") - 1, F.lag("hash").over(order))
+    held = dealt.withColumn("stored", stored).filter(F.col("_on") == on)
+    held = held.withColumn("ok", (F.col("prev") == F.coalesce("stored", F.lit(GENESIS))) & (F.col("hash") == F.sha2(F.concat("prev", "envelope"), 256)))
     first = F.min(F.when(~F.col("ok"), F.struct("seq", "id")))
     summed = held.agg(F.count("*").alias("n"), first.alias("bad"), F.max_by("hash", "seq").alias("head"))
     return summed.select("n", F.col("bad.id").alias("first_bad"), F.coalesce(F.col("bad.seq") - 1, F.col("n")).alias("good_before"), "head")
