@@ -27,6 +27,16 @@ def within_km(left: DataFrame, right: DataFrame, km: float, on: list[str] | None
     return pairs.filter(F.col("distance_km") <= km).drop("_row", "_col")
 
 
+def within_km_by_place(left: DataFrame, right: DataFrame, km: float, on: list[str] | None = None, lat_max: float = 60.0, at: tuple[str, str, str, str] = ("lat", "lon", "rlat", "rlon")) -> DataFrame:
+    """As within_km, where many rows have the same place: distances are taken between distinct places, and rows meet the
+    rows of near places by equality alone. What is met by places is dealt out
+    anew before it meets rows: by size it would end up in a few tasks."""
+    keys = on or []
+    near = within_km(left.select(*keys, *at[:2]).distinct(), right.select(*keys, *at[2:]).distinct(), km, on, lat_max, at)
+    dealt = left.join(near, [*keys, *at[:2]]).repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.join(right, [*keys, *at[2:]])
+
+
 def nearest(left: DataFrame, right: DataFrame, key: str, name: str, side: float = 0.25, rounds: int = 6, at: tuple[str, str, str, str] = ("lat", "lon", "rlat", "rlon")) -> DataFrame:
     """Each left row's nearest right row (ties: smaller name): key, name, distance_km.
 

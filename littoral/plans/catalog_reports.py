@@ -125,7 +125,7 @@ def instrument_score(spark, d):
 
 @query("aid_matches", oracle(["requests", "offers"], f"SELECT r.id, o.offer_id, round({km('lat', 'lon', 'rlat', 'rlon')}, 2) AS distance_km FROM requests r JOIN offers o USING (category) WHERE r.status = 'open' AND {km('lat', 'lon', 'rlat', 'rlon')} <= 5"))
 def aid_matches(spark, d):
-    met = P.within_km(V.requests(spark, d).filter("status = 'open'"), V.offers(spark, d), 5.0, on=["category"])
+    met = P.within_km_by_place(V.requests(spark, d).filter("status = 'open'"), V.offers(spark, d), 5.0, on=["category"])
     return met.select("id", "offer_id", F.round("distance_km", 2).alias("distance_km"))
 
 

@@ -2,10 +2,12 @@
 
 import random
 import re
+from hashlib import sha256
 
 from pyspark.sql import functions as F
 
-from littoral.operators import reports, series
+from littoral.functions.fixed import GENESIS
+from littoral.operators import audit, reports, series, spatial
 from littoral.plans import catalog
 
 MINUTE = 60_000_000
@@ -55,3 +57,28 @@ def test_propagation_hits_meet_one_row_a_cell_and_bin(spark):
     got = catalog.QUERIES["propagation_hits"](spark, "/root/testdata/sf0.001")
     text = plan(got)
     assert len(joins(got)) == 1 and "collect_list" in text.split("Join", 1)[1] and got.filter("hits < 1 OR hits > 9").isEmpty()
+
+
+def test_global_chain_sorts_in_many_tasks_and_is_read_once(spark):
+    events = spark.createDataFrame([(i * 7919 % 3001, f"e{i}") for i in range(3000)], "id long, envelope string").repartition(6)
+    chain = audit.global_chain(events, "id", "envelope")
+    head = GENESIS
+    for r in sorted(events.collect()):
+        head = sha256((head + r.envelope).encode()).hexdigest()
+    assert audit.verify_global(chain, 64).first()[:] == (3000, None, 3000, head)
+    ids = [r.id for r in chain.orderBy("seq").collect()]
+    for bad in (ids[63], ids[64], ids[127], ids[2999]):
+        changed = chain.withColumn("envelope", F.when(F.col("id") == bad, "x").otherwise(F.col("envelope")))
+        assert audit.verify_global(changed, 64).first()[:3] == (3000, bad, ids.index(bad))
+    assert audit.verify_global(chain.filter(F.col("id") != ids[63]), 64).first()[1] == ids[64]
+    assert not joins(audit.verify_global(chain)) and "Sort" not in plan(chain)  # the one writer's task doesn't sort
+
+
+def test_aid_matches_take_distances_of_places(spark):
+    got = catalog.QUERIES["aid_matches"](spark, "/root/testdata/sf0.001")
+    top = plan(got).split("ASIN", 1)
+    assert len(joins(got)) == 3 and "Join" in top[0] and "Aggregate" in top[1]  # rows are joined above the distances, places below
+    a = spark.createDataFrame([(i, "x", 13 + i % 3 / 50, 80.0) for i in range(30)] + [(99, "x", None, 80.0)], "id long, c string, lat double, lon double")
+    b = spark.createDataFrame([(i, "xy"[i % 2], 13 + i % 5 / 50, 80.0) for i in range(20)], "rid long, c string, rlat double, rlon double")
+    pairs = lambda f: sorted((r.id, r.rid, r.distance_km) for r in f(a, b, 3.0, on=["c"]).collect())
+    assert pairs(spatial.within_km_by_place) == pairs(spatial.within_km) != []
