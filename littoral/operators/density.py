@@ -1,10 +1,11 @@
-"""Density clusters of places, window by window, without a task that compares all points of a window.
-
-Points are put into tiles: runs of grid cells in Z-order with at most some hundred points each. Core distances come from
-a tile and those tiles about it that can hold nearer points. The spanning tree over mutual reachability is made of the
-trees of pairs of tiles: the tree of the whole has no edge that isn't in the tree of some pair. A pair is left out where
-its boxes are farther apart than any edge on a way between them that is known before. What is left for one task a window
-is linear: the edges of those trees, from which the condensed tree is built.
+"""Density clusters of places, window by window, without comparing all points of a window.
+
+Equal points are one place that counts as often. Places are put into tiles: runs of grid cells in Z-order with at most
+``size`` places each, within which only near places meet (``planar``). A window of one tile is done by its task. In a
+larger one core distances come from a tile and those tiles about it that can hold nearer places. The spanning tree over
+mutual reachability is made of the trees of pairs of tiles: the tree of the whole has no edge that isn't in the tree of
+some pair. A pair is left out where its boxes are farther apart than any edge on a way between them that is known before.
+What is left for one task a window is linear: the edges of those trees, from which the condensed tree is built.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-from .kernels import condensed, hdbscan, spanning_tree
+from . import planar
+from .kernels import condensed, hdbscan
 
 
 def _interleaved(x: F.Column, y: F.Column, bits: int) -> F.Column:
@@ -30,31 +32,29 @@ def _interleaved(x: F.Column, y: F.Column, bits: int) -> F.Column:
 
 
 def tiles(points: DataFrame, group: list[str], size: int, bits: int = 10) -> DataFrame:
-    """points (group, id, x, y) to group, tile, box, and the tile's ids, xs and ys. Tiles are numbered along the Z-order of
-    a grid of 2**bits cells a side over the window; a cell with more than ``size`` points is dealt out by id."""
+    """points (group, id, x, y, and copies if not 1) to group, tile, box, and the tile's ids, xs, ys and ks (copies). Tiles
+    are numbered along the Z-order of a grid of 2**bits cells a side over the window; a cell with more than ``size`` points
+    is dealt out by id."""
+    points = points if "copies" in points.columns else points.withColumn("copies", F.lit(1).cast("long"))
     extent = points.groupBy(*group).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9)).alias("wide"))
     index = lambda c: F.least(F.floor((F.col(c) - F.col(f"{c}0")) / F.col("wide") * (1 << bits)), F.lit((1 << bits) - 1))
-    placed = cut(points.join(extent, group).select(*group, "id", "x", "y", _interleaved(index("x"), index("y"), bits).alias("cell")))
+    placed = cut(points.join(extent, group).select(*group, "id", "x", "y", "copies", _interleaved(index("x"), index("y"), bits).alias("cell")))
     counts = placed.groupBy(*group, "cell").agg(F.count("*").alias("n")).withColumn("deals", F.ceil(F.col("n") / size))
     before = Window.partitionBy(*group).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     runs = counts.withColumn("run", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / size))
     dealt = placed.join(runs, [*group, "cell"]).withColumn("deal", F.pmod(F.xxhash64("id"), F.col("deals")))
     packed = dealt.groupBy(*group, "run", "deal").agg(
-        F.array_sort(F.collect_list(F.struct("id", "x", "y"))).alias("p"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
+        F.array_sort(F.collect_list(F.struct("id", "x", "y", "copies"))).alias("p"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
     )
     tile = F.row_number().over(Window.partitionBy(*group).orderBy("run", "deal")).cast("int")
-    columns = (F.col(f"p.{c}").alias(f"{c}s") for c in ("id", "x", "y"))
+    columns = (F.col(f"p.{c}").alias(name) for c, name in (("id", "ids"), ("x", "xs"), ("y", "ys"), ("copies", "ks")))
     return cut(packed.select(*group, tile.alias("tile"), "x0", "x1", "y0", "y1", *columns))
 
 
 def _apart(a: pd.Series, b: pd.DataFrame) -> np.ndarray:
     """Least distances between one box and others."""
     gap = lambda c: np.maximum(0, np.maximum(b[f"{c}0"] - a[f"{c}1"], a[f"{c}0"] - b[f"{c}1"]))
-    return np.hypot(gap("x"), gap("y")).to_numpy()
-
-
-def _between(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return np.sqrt((x[:, None] - u) ** 2 + (y[:, None] - v) ** 2)
+    return np.hypot(gap("x"), gap("y")).to_numpy() * (1 - 1e-12)
 
 
 def _pairs(summary: DataFrame, group: list[str], near) -> DataFrame:
@@ -101,26 +101,27 @@ def _by_row(frame: DataFrame, group: list[str], schema: str, step) -> DataFrame:
 def core_distances(packed: DataFrame, group: list[str], least: int) -> DataFrame:
     """group, tile, cores: how far each point of a tile is from the ``least``-th nearest point, itself the first; infinite
     in a window of fewer points."""
+    columns = ["xs", "ys", "ks"]
+    own = lambda r: planar.cores(np.column_stack((r["xs"], r["ys"])), np.asarray(r["ks"]), least)
 
     def reach(r: dict) -> pd.DataFrame:
-        d = _between(*(np.asarray(r[c]) for c in ("xs", "ys", "xs", "ys")))
-        far = np.partition(d, least - 1, axis=1)[:, least - 1].max() if len(d) >= least else np.inf
-        return pd.DataFrame({c: [r[c]] for c in ("tile", "x0", "x1", "y0", "y1")} | {"reach": [far]})
+        return pd.DataFrame({c: [r[c]] for c in ("tile", "x0", "x1", "y0", "y1")} | {"reach": [own(r).max()]})
 
-    boxes = _by_row(packed.select(*group, "tile", "x0", "x1", "y0", "y1", "xs", "ys"), group, "tile int, x0 double, x1 double, y0 double, y1 double, reach double", reach)
+    boxes = _by_row(packed.select(*group, "tile", "x0", "x1", "y0", "y1", *columns), group, "tile int, x0 double, x1 double, y0 double, y1 double, reach double", reach)
 
     def near(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         rows = [np.flatnonzero(_apart(r, pdf) <= r["reach"]) for _, r in pdf.iterrows()]
         return np.repeat(np.arange(len(rows)), list(map(len, rows))), np.concatenate(rows)
 
     def nearest(r: dict) -> pd.DataFrame:
-        d = _between(*(np.asarray(r[c]) for c in ("xs", "ys", "xs2", "ys2")))
-        d = np.sort(np.partition(d, least - 1, axis=1)[:, :least] if d.shape[1] > least else d, axis=1)
-        return pd.DataFrame({"tile": np.int32(r["a"]), "k": np.repeat(np.arange(len(d), dtype=np.int32), d.shape[1]), "d": d.ravel()})
-
-    found = _by_row(_met(_pairs(boxes, group, near), packed, group, ["xs", "ys"]), group, "tile int, k int, d double", nearest)
-    order = F.row_number().over(Window.partitionBy(*group, "tile", "k").orderBy("d"))
-    kept = found.withColumn("n", order).filter(F.col("n") == least)
+        x, y, u, v, k = (np.asarray(r[c]) for c in ("xs", "ys", "xs2", "ys2", "ks2"))
+        at, by, d = planar.nearest(np.column_stack((x, y)), np.column_stack((u, v)), own(r), least)
+        return pd.DataFrame({"tile": np.int32(r["a"]), "k": at.astype("int32"), "d": d, "copies": k[by]})
+
+    met = _met(_pairs(boxes, group, near), packed, group, columns)
+    found = _by_row(met, group, "tile int, k int, d double, copies long", nearest)
+    upto = F.sum("copies").over(Window.partitionBy(*group, "tile", "k").orderBy("d").rowsBetween(Window.unboundedPreceding, 0))
+    kept = found.withColumn("upto", upto).filter(F.col("upto") >= least).groupBy(*group, "tile", "k").agg(F.min("d").alias("d"))
     lists = kept.groupBy(*group, "tile").agg(F.array_sort(F.collect_list(F.struct("k", "d"))).alias("c"))
     sized = packed.select(*group, "tile", F.size("xs").alias("size")).join(lists, [*group, "tile"], "left")
     none = F.array_repeat(F.lit(float("inf")), F.col("size"))
@@ -133,9 +134,9 @@ def tree_edges(packed: DataFrame, group: list[str]) -> DataFrame:
     def tree(r: dict) -> pd.DataFrame:
         same = r["a"] == r["b"]
         both = lambda c: np.asarray(r[c]) if same else np.concatenate((r[c], r[f"{c}2"]))
-        w, a, b = spanning_tree(np.column_stack((both("xs"), both("ys"))), both("cores"))
         ids = both("ids")
-        return pd.DataFrame({"tile": np.int32(r["a"]), "w": w, "a": ids[a], "b": ids[b]})
+        w, a, b = planar.spanning_tree(np.column_stack((both("xs"), both("ys"))), both("cores"), ids)
+        return pd.DataFrame({"tile": np.int32(r["a"]), "w": w, "a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
 
     columns, schema = ["ids", "xs", "ys", "cores"], "tile int, w double, a long, b long"
     number = Window.partitionBy(*group).orderBy("tile")
@@ -163,35 +164,42 @@ def _kept(ids: np.ndarray, label: np.ndarray) -> pd.DataFrame:
     return out[out["cluster"] >= 0]
 
 
-def clusters(points: DataFrame, group: list[str], least: int = 5, size: int = 1000) -> DataFrame:
+def clusters(points: DataFrame, group: list[str], least: int = 5, size: int = 50_000) -> DataFrame:
     """group, id, cluster of the points (id, x, y) of each group that are in a density cluster; noise goes. ids are unique
     within a group. Groups of fewer than twice ``least`` points have no cluster; those of one tile need no joins."""
     wanted = cut(points.select(*group, "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
-    packed = tiles(wanted, group, size)
+    places = wanted.groupBy(*group, "x", "y").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    packed = tiles(places, group, size)
     several = cut(packed.groupBy(*group).agg(F.count("*").alias("n")).filter("n > 1").select(*group))
-    alone = _by_row(packed.join(several, group, "left_anti"), group, "id long, cluster int", lambda r: _kept(r["ids"], hdbscan(np.column_stack((r["xs"], r["ys"])), least)))
-    if several.isEmpty():
-        return alone
-    packed = cut(packed.join(several, group))
-    cored = cut(packed.join(core_distances(packed, group, least), [*group, "tile"]))
-    edges = tree_edges(cored, group)
-    kinds = dict(edges.dtypes)
-    schema = ", ".join(f"{g} {kinds[g]}" for g in group) + ", id long, cluster int"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, at = np.unique(np.concatenate((pdf["a"], pdf["b"])), return_inverse=True)
-        a, b = at[: len(pdf)], at[len(pdf) :]
-        order = np.lexsort((b, a, pdf["w"].to_numpy()))
-        label = condensed(len(ids), pdf["w"].to_numpy()[order], a[order], b[order], least)
-        out = _kept(ids, label)
-        for g in reversed(group):
-            out.insert(0, g, pdf[g].iloc[0])
-        return out
-
-    return alone.unionByName(edges.groupBy(*group).applyInPandas(run, schema))
-
-
-def hotspots(points: DataFrame, group: list[str], least: int = 5, size: int = 1000) -> DataFrame:
+    schema = "id long, cluster int"
+
+    def one(r: dict) -> pd.DataFrame:
+        return _kept(r["ids"], hdbscan(np.column_stack((r["xs"], r["ys"])), least, np.asarray(r["ks"]), np.asarray(r["ids"])))
+
+    found = _by_row(packed.join(several, group, "left_anti"), group, schema, one)
+    if not several.isEmpty():
+        packed = cut(packed.join(several, group))
+        cored = cut(packed.join(core_distances(packed, group, least), [*group, "tile"]))
+        edges = tree_edges(cored, group)
+        kinds = dict(edges.dtypes)
+        held = packed.select(*group, F.explode(F.arrays_zip("ids", "ks")).alias("p")).select(*group, F.lit(None).cast("double").alias("w"), F.col("p.ids").alias("a"), F.col("p.ks").alias("b"))
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            copies, known = pdf[pdf["w"].isna()].sort_values("a"), pdf[pdf["w"].notna()].sort_values(["w", "a", "b"])
+            ids = copies["a"].to_numpy()
+            a, b = (np.searchsorted(ids, known[c].to_numpy()) for c in "ab")
+            kept = planar.lightest(len(ids), a, b)
+            out = _kept(ids, condensed(known["w"].to_numpy()[kept], a[kept], b[kept], least, copies["b"].to_numpy(), ids))
+            for g in reversed(group):
+                out.insert(0, g, pdf[g].iloc[0])
+            return out
+
+        found = found.unionByName(edges.unionByName(held).groupBy(*group).applyInPandas(run, ", ".join(f"{g} {kinds[g]}" for g in group) + ", " + schema))
+    labels = found.join(places, [*group, "id"]).select(*group, "x", "y", "cluster")
+    return wanted.join(labels, [*group, "x", "y"]).select(*group, "id", "cluster")
+
+
+def hotspots(points: DataFrame, group: list[str], least: int = 5, size: int = 50_000) -> DataFrame:
     """Density clusters of the places (id, lat, lon) of each group, on kilometres about the group's mean latitude, to the
     millimetre: so equal distances stay equal in whatever order the mean was summed."""
     mean = points.groupBy(*group).agg(F.avg("lat").alias("_middle"))

@@ -382,10 +382,10 @@ def _hotspots(spark, d):
     points = cut(r.select("window", "hazard_type", "id", "t", "confidence", jitter("lat", 7919).alias("lat"), jitter("lon", 104729).alias("lon")))
     group = ["window", "cluster"]
     placed = cut(density.hotspots(points, ["window"]).join(points, ["window", "id"]))
-    kinds = placed.groupBy(*group, "hazard_type").agg(F.count("*").alias("k"), F.min(F.struct("t", "id")).alias("first"), F.sum("lat").alias("lat"), F.sum("lon").alias("lon"), F.sum("confidence").alias("confidence"))
+    kinds = placed.groupBy(*group, "hazard_type").agg(F.count("*").alias("k"), F.min(F.struct("t", "id")).alias("first"), F.sum("lat").alias("lat"), F.sum("lon").alias("lon"), F.sum(F.col("confidence").cast("decimal(12,6)")).alias("confidence"))
     best = F.min_by("hazard_type", F.struct(-F.col("k"), F.col("first")))
     n = F.sum("k")
-    spots = kinds.groupBy(*group).agg(n.alias("n"), F.round(F.sum("lat") / n, 5).alias("lat"), F.round(F.sum("lon") / n, 5).alias("lon"), F.round(F.sum("confidence"), 3).alias("confidence"), best.alias("hazard_type"), F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("hazard_type", "k"))))).alias("hazards"))
+    spots = kinds.groupBy(*group).agg(n.alias("n"), F.round(F.sum("lat") / n, 5).alias("lat"), F.round(F.sum("lon") / n, 5).alias("lon"), F.round(F.sum("confidence"), 3).cast("double").alias("confidence"), best.alias("hazard_type"), F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("hazard_type", "k"))))).alias("hazards"))
     return spots, placed
 
 

@@ -4,10 +4,11 @@ import random
 import re
 from hashlib import sha256
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from littoral.functions.fixed import GENESIS
-from littoral.operators import audit, kernels, reports, series, spatial
+from littoral.operators import audit, density, kernels, planar, reports, series, spatial
 from littoral.plans import catalog
 
 MINUTE = 60_000_000
@@ -91,3 +92,59 @@ def test_incidents_are_summed_before_they_meet_their_reports(spark):
     got = kernels.merge_incidents(df, ["h"])
     assert "Window" not in plan(got)
     assert {(r.id, r.incident, r.n) for r in got.collect()} == {(i, i // 40 * 40, 40) for i in range(400)}
+
+
+def test_density_takes_near_places_once(spark, monkeypatch):
+    """Distances are taken between near places alone, and equal points are one place, in one tile as in several."""
+    rng = np.random.default_rng(3)
+    taken, between = [], planar.between
+
+    def counted(x, y, u, v):
+        taken.append(len(x) * len(u))
+        return between(x, y, u, v)
+
+    monkeypatch.setattr(planar, "between", counted)
+    for points in (rng.uniform(0, 10, (6000, 2)), np.concatenate([c + rng.normal(0, 0.05, (300, 2)) for c in rng.uniform(-20, 20, (20, 2))]), np.repeat(rng.uniform(0, 9, (60, 2)), 100, axis=0)):
+        taken.clear()
+        kernels.hdbscan(points, 5)
+        assert 0 < sum(taken) < 6000 * 6000 / 6
+    places = np.round(rng.uniform(0, 9, (150, 2)), 1)
+    points = np.repeat(places, rng.integers(1, 9, len(places)), axis=0)
+    df = spark.createDataFrame([(0, i, float(x), float(y)) for i, (x, y) in enumerate(points)], "window int, id long, x double, y double")
+    want = [(i, int(c)) for i, c in enumerate(kernels.hdbscan(points, 5)) if c >= 0]
+    for size in (20, 1000):
+        got = [(r["id"], r["cluster"]) for r in density.clusters(df, ["window"], 5, size).collect()]
+        assert sorted(got) == want and len({c for _, c in want}) > 3  # the numbers too
+
+
+def test_tree_of_equal_weights_is_the_one_of_least_names():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 150):
+        points = rng.permutation(np.unique(np.round(rng.uniform(0, 2, (n, 2)), 1), axis=0))
+        copies, names = rng.integers(1, 4, len(points)), rng.permutation(len(points)) * 3
+        d = planar.between(*points.T, *points.T)
+        core = planar.cores(points, copies, 5)
+        assert core.tolist() == [np.sort(np.repeat(row, copies))[4] if copies.sum() >= 5 else np.inf for row in d]
+        reach = np.maximum(np.maximum(d, core[:, None]), core)
+        home, want = list(range(len(points))), []
+        for w, a, b in sorted((reach[i, j], *sorted((int(names[i]), int(names[j])))) for i in range(len(points)) for j in range(i)):
+            i, j = home[names.tolist().index(a)], home[names.tolist().index(b)]
+            if i != j:
+                home = [i if h == j else h for h in home]
+                want.append((w, a, b))
+        w, a, b = planar.spanning_tree(points, core, names)
+        assert sorted((x, *sorted((int(names[i]), int(names[j])))) for x, i, j in zip(w, a, b)) == want
+
+
+def test_spots_are_matched_in_order(spark):
+    rng = np.random.default_rng(2)
+    rows = [("d", c * 2000 + i, float(lat), float(lon), bool(c)) for c in (0, 1) for i, (lat, lon) in enumerate(rng.uniform((13, 80), (13.6, 80.6), (700, 2)))]
+    km = lambda a, b: 2 * 6371 * np.arcsin(np.sqrt(np.sin(np.radians(b[2] - a[2]) / 2) ** 2 + np.cos(np.radians(a[2])) * np.cos(np.radians(b[2])) * np.sin(np.radians(b[3] - a[3]) / 2) ** 2))
+    free, want = [r for r in rows if not r[4]], []
+    for r in (r for r in rows if r[4]):
+        near = next((p for p in free if km(r, p) <= 3.0), None)
+        free = [p for p in free if p is not near]
+        want.append((r[1], "persisting" if near else "new"))
+    want += [(p[1], "cleared") for p in free]
+    got = kernels.match_hotspots(spark.createDataFrame(rows, "day string, id long, lat double, lon double, current boolean"), ["day"])
+    assert sorted((r.id, r.movement) for r in got.collect()) == sorted(want) and len({m for _, m in want}) == 3
