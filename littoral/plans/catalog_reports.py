@@ -218,14 +218,18 @@ def phash_reuse(spark, d):
 
 @query("missing_matches")
 def missing_matches(spark, d):
-    """For each missing or found person the people of the other kind with a similar name, near where both places are
-    known, ranked."""
-    from ..operators.recovery import ranked_matches
+    """Who may be whom among missing and found people, by classes of people with one name, kind and place. A member row
+    gives a person's id, class and number of candidates (links); a match row gives two classes with names alike, near where
+    both places are known, and first_rank, from which a class's candidates of equal score follow by id."""
+    from ..operators.recovery import class_matches, same_people
 
     k = F.col("id")
     place = lambda first, n: F.when(k % 7 > 0, (first + k * 31 % n) / 100)
-    p = V.persons(spark, d).select("id", "name", "kind", place(1280, 60).alias("lat"), place(7990, 37).alias("lon"))
-    return ranked_matches(p, 0.72, 5.0)
+    p = cut(same_people(V.persons(spark, d).select("id", "name", "kind", place(1280, 60).alias("lat"), place(7990, 37).alias("lon"))))
+    matches = cut(class_matches(p, 0.72, 5.0))
+    links = matches.groupBy("class").agg(F.sum("candidates").alias("links"))
+    members = p.select("class", "id").join(links.hint("merge"), "class", "left").select(F.lit("member").alias("row"), "class", "id", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    return members.unionByName(matches.withColumn("row", F.lit("match")), allowMissingColumns=True)
 
 
 _COHERENCE = f"SELECT a.id, count(DISTINCT b.reporter_id) AS k FROM reports a JOIN reports b ON a.hazard_type = b.hazard_type AND a.row = b.row AND a.col = b.col AND a.reporter_id <> b.reporter_id AND b.status <> 'rejected' AND abs(a.t - b.t) <= {30 * R.MINUTE} GROUP BY a.id"

@@ -1,15 +1,18 @@
 """Steps that must not grow with the square of a group: against brute force on crowded rows, and by their plans."""
 
+import math
 import random
 import re
+from difflib import SequenceMatcher
 from hashlib import sha256
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from littoral.functions.fixed import GENESIS
-from littoral.operators import audit, density, kernels, planar, reports, series, spatial
+from littoral.operators import audit, density, kernels, planar, recovery, reports, series, spatial
 from littoral.plans import catalog
+from littoral.plans import views as V
 
 MINUTE = 60_000_000
 
@@ -148,3 +151,58 @@ def test_spots_are_matched_in_order(spark):
     want += [(p[1], "cleared") for p in free]
     got = kernels.match_hotspots(spark.createDataFrame(rows, "day string, id long, lat double, lon double, current boolean"), ["day"])
     assert sorted((r.id, r.movement) for r in got.collect()) == sorted(want) and len({m for _, m in want}) == 3
+
+
+def test_missing_people_match_by_classes(spark):
+    """People alike are one row of matches, however many they are, and their members give all pairs with their ranks."""
+    names = ["Kavya Raman", "Kavia Raman", "kavya  ramon", "Anbu", "Anbu K", None]
+    people = [(i, names[i % 6], i % 2, *((13.0 + i % 4 / 50, 80.0) if i % 5 else (None, None))) for i in range(1200)]
+    df = spark.createDataFrame(people, "id long, name string, kind int, lat double, lon double")
+    classed = recovery.same_people(df)
+    matches = recovery.class_matches(classed, 0.72, 5.0).collect()
+    assert len({r["class"] for r in classed.collect()}) == 18 and len(matches) < 18 * 18
+    members = {}
+    for r in classed.collect():
+        members.setdefault(r["class"], []).append(r.id)
+    got = {}
+    for r in matches:
+        assert r.candidates == len(members[r.other_class])
+        for i in members[r["class"]]:
+            got.setdefault(i, []).extend((-r.name_score, j, r.distance_km, r.first_rank) for j in members[r.other_class])
+    assert sum(map(len, got.values())) > 100 * len(matches)
+    seen = {}
+    for r in recovery.ranked_matches(df.filter("id < 240"), 0.72, 5.0).collect():
+        seen.setdefault(r.id, []).append((r.rank, -r.name_score, r.candidate, r.distance_km))
+    assert len(seen) == 200
+    for i, rows in seen.items():
+        rows.sort()
+        assert [r[1:] for r in rows] == sorted((s, j, km) for s, j, km, _ in got[i] if j < 240)
+    for rows in got.values():
+        scores = sorted(s for s, *_ in rows)
+        assert all(first == 1 + scores.index(s) for s, _, _, first in rows)
+
+
+def test_missing_matches_are_whole(spark):
+    people = {r.id: r for r in V.persons(spark, "/root/testdata/sf0.001").collect()}
+    rows = catalog.QUERIES["missing_matches"](spark, "/root/testdata/sf0.001").collect()
+    members, links, got = {}, {}, set()
+    for r in rows:
+        if r["row"] == "member":
+            members.setdefault(r["class"], []).append(r.id)
+            links[r.id] = r.links
+    assert sorted(links) == sorted(people)
+    for r in rows:
+        if r["row"] == "match":
+            got |= {(i, j, r.name_score, r.distance_km is None) for i in members[r["class"]] for j in members[r.other_class]}
+    place = lambda k: ((1280 + k * 31 % 60) / 100, (7990 + k * 31 % 37) / 100)
+    want = set()
+    for i, a in people.items():
+        for j, b in people.items():
+            score = SequenceMatcher(None, a.name.strip().lower(), b.name.strip().lower()).ratio()
+            if a.kind != b.kind and score >= 0.72:
+                loose = i % 7 == 0 or j % 7 == 0
+                (p, q), (u, v) = (map(math.radians, place(k)) for k in (i, j))
+                km = 2 * 6371 * math.asin(math.sqrt(math.sin((u - p) / 2) ** 2 + math.cos(p) * math.cos(u) * math.sin((v - q) / 2) ** 2))
+                if loose or km <= 5:
+                    want.add((i, j, round(score, 3), loose))
+    assert got == want and links == {i: sum(w[0] == i for w in want) for i in people}
