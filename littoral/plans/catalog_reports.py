@@ -374,7 +374,7 @@ def narrative_clusters(spark, d):
     e = V.table(spark, d, "embeddings")
     known = e.agg(F.max("vec_id").alias("top"))
     said = r.crossJoin(F.broadcast(known)).withColumn("said", F.expr("id div 40 % (top + 1)")).drop("top")
-    return K.leader_clusters(said.join(e.select(F.col("vec_id").alias("said"), F.col("embedding").alias("v")), "said"), ["half_day"])
+    return K.leader_clusters(said.join(e.select(F.col("vec_id").alias("said"), F.col("embedding").alias("v")), "said"), ["half_day"], key="said")
 
 
 def _hotspots(spark, d):

@@ -206,3 +206,36 @@ def test_missing_matches_are_whole(spark):
                 if loose or km <= 5:
                     want.add((i, j, round(score, 3), loose))
     assert got == want and links == {i: sum(w[0] == i for w in want) for i in people}
+
+
+def test_leaders_are_read_in_batches(spark):
+    """No task takes a group whole; clusters go on from one batch of reports to the next."""
+    rng = np.random.default_rng(4)
+    texts = np.repeat(np.eye(6), 3, axis=0) + rng.normal(0, 0.3, (18, 6))
+    rows = [(i % 2, i, 1000 - i // 3, int(k), texts[k].tolist()) for i, k in enumerate(rng.integers(0, 18, 300))]
+    rows += [(0, 900, 5, 18, [0.0] * 6), (2, 901, 5, 19, [1.0] * 6)]
+    want = set()
+    for g in (0, 1, 2):
+        clusters = []
+        for _, i, _, _, v in sorted((r for r in rows if r[0] == g), key=lambda r: (r[2], r[1])):
+            v = np.array(v)
+            near = [(kernels._cosine(m, v), c) for c, (m, _) in enumerate(clusters)]
+            if near and max(near)[0] >= 0.55:
+                c = max(near)[1]
+                m, held = clusters[c]
+                clusters[c] = (m * len(held) + v) / (len(held) + 1), [*held, (i, v)]
+            else:
+                clusters.append((v, [(i, v)]))
+        for m, held in clusters:
+            if len(held) >= 3:
+                best = int(np.argmax([kernels._cosine(v, m) for _, v in held]))
+                want |= {(g, held[0][0], i, k == best) for k, (i, _) in enumerate(held)}
+    df = spark.createDataFrame(rows, "g int, id long, t long, said int, v array<double>").repartition(3)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for key in ("id", "said"):
+            assert {r[:] for r in kernels.leader_clusters(df, ["g"], key=key).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(want) > 200 and "FlatMapGroupsInPandas" not in plan(kernels.leader_clusters(df, ["g"]))
