@@ -29,6 +29,13 @@ def test_all_open_incidents_are_candidates(spark, crowded):
     assert got == {i: (i, 1) for i in range(62)} | {0: (0, 2), 60: (0, 2)}
 
 
+def test_projections_are_of_all_open_incidents(spark, crowded):
+    """The first incident was seen within six hours of the end only by the report that it got after sixty others."""
+    got = {(r.incident, r.row, r.col) for r in catalog.QUERIES["incident_projections"](spark, crowded).collect()}
+    around = {(1307 + a, 8000 + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} - {(1307, 8000)}
+    assert got == {(i, *c) for i in (0, 61) for c in around}
+
+
 def test_oldest_open_incident_is_found_by_place(spark):
     """The only incident near a report without a vector, behind sixty newer ones, and closed six hours after it was seen."""
     far = [(i, i, 0, 9, [float(i == j) for j in range(61)]) for i in range(1, 61)]
