@@ -36,6 +36,11 @@ def test_projections_are_of_all_open_incidents(spark, crowded):
     assert got == {(i, *c) for i in (0, 61) for c in around}
 
 
+def test_table_has_what_all_open_incidents_got(spark, crowded):
+    got = {r.incident: (r.n, r.first_seen, r.last_seen) for r in catalog.QUERIES["incident_table"](spark, crowded).collect()}
+    assert got == {i: (1, i * MINUTE, i * MINUTE) for i in range(1, 60)} | {0: (2, 0, 5 * HOUR), 61: (1, 8 * HOUR, 8 * HOUR)}
+
+
 def test_oldest_open_incident_is_found_by_place(spark):
     """The only incident near a report without a vector, behind sixty newer ones, and closed six hours after it was seen."""
     far = [(i, i, 0, 9, [float(i == j) for j in range(61)]) for i in range(1, 61)]
